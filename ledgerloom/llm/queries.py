@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, line_dedup, near_dup, packing, quality
+from . import decontamination, embedding_dedup, license_scan, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,11 +20,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digest(found)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.fit(documents, table(spark, sf_dir, "labels")).score(documents)
+    return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     weights = quality.train(documents, table(spark, sf_dir, "labels"))
@@ -32,6 +46,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (quality.fold("id") == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,7 +67,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op5_quality_classifier, op8_packing, op9_minhash_near_dedup, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_benchmark_decontamination, op3_license_scan, op4_toxicity, op5_quality_classifier, op6_substring_dedup,
+        op7_embedding_near_dedup, op8_packing, op9_minhash_near_dedup, op10_line_dedup,
+    )
+}
 
 ORACLE = {
     "op2_benchmark_decontamination": r"""
