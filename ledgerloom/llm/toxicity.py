@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import SPACED, blocks, words
+from .blocks import SPACED, blocks, mix, powers, words
 from .lineage import cut
 from .quality import labelled_sample
 
@@ -38,7 +38,7 @@ YOU = "you your yours yourself youre u ur tu te ti tus tuyo usted ustedes vosotr
 #: Digits and symbols that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
 
-FEATURES = ["strong", "weak", "fixed", "strong_count", "fixed_count", "weight", "you", "near_you", "capitals", "all_capitals", "exclamation", "punctuation", "mixed", "hidden", "masked", "log_words"]
+FEATURES = ["strong", "weak", "fixed", "strong_count", "fixed_count", "weight", "you", "near_you", "capitals", "all_capitals", "exclamation", "punctuation", "mixed", "hidden", "masked", "log_words", "top"]
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -64,6 +64,24 @@ def bare_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return words(data, bounds, _BARE)
 
 
+STEMS = (4, 5, 6)
+
+
+def with_stems(data: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of bare words, then of their first 4, 5 and 6 bytes (0 for shorter words); starts, and each row's first."""
+    h, s, first = bare_words(data, bounds)
+    t, up = np.concatenate([_BARE[data], np.zeros(max(STEMS), np.uint64)]), powers(max(STEMS) + 1)[0]
+    # a word ends before the next separator: its length is known from the bytes that follow
+    ends = np.searchsorted(edges := np.flatnonzero(t == 0), s)
+    size = np.minimum(edges[ends], bounds[np.repeat(np.arange(len(bounds) - 1), np.diff(first)) + 1]) - s if len(s) else s
+    out, total = [h], np.zeros(len(s), np.uint64)
+    for k in range(max(STEMS)):
+        total = total + t[s + k] * up[k]
+        if k + 1 in STEMS:
+            out.append(np.where(size > k + 1, mix(total + np.uint64(k + 1)), np.uint64(0)))
+    return out, s, first
+
+
 def folded_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the spaced words with symbols read as letters, for those that have some between letters; and their rows."""
     odd = _SYMBOL[data] | ((data >= 48) & (data <= 57))
@@ -80,15 +98,15 @@ def folded_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def lexicon(sample: DataFrame) -> dict[int, float]:
-    """Log odds of at most ``LEXICON_WORDS`` words that mark the toxic rows of sample (text, y), by the words' hashes."""
+    """Log odds of at most ``LEXICON_WORDS`` words and stems that mark the toxic rows of sample (text, y), by their hashes."""
     schema = pa.schema([("h", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False) > 0
             for a, b, data, bounds in blocks(batch.column(0)):
-                h, _, first = bare_words(data, bounds)
-                sets = [np.unique(h[x:z]) for x, z in zip(first[:-1], first[1:])]
+                forms, _, first = with_stems(data, bounds)
+                sets = [np.unique(np.concatenate([f[x:z] for f in forms])) for x, z in zip(first[:-1], first[1:])]
                 toxic = [s for s, t in zip(sets, y[a:b]) if t]
                 clean = [s for s, t in zip(sets, y[a:b]) if not t]
                 both = [np.unique(np.concatenate(x) if x else np.zeros(0, np.uint64), return_counts=True) for x in (toxic, clean)]
@@ -113,19 +131,22 @@ def dense(df: DataFrame, marks: dict[int, float], text_col: str = "text", keep:
     keys, weights = np.array([h for h, _ in odds], dtype=np.uint64), np.array([o for _, o in odds])
     fixed = np.array(sorted(_hash(w) for w in INSULTS), dtype=np.uint64)
     you = np.array(sorted(_hash(w) for w in YOU), dtype=np.uint64)
-    # a word is a strong mark if its odds are twenty times those of other words
     strong = keys[weights >= math.log(20)]
 
     def row_features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         rows = len(bounds) - 1
-        h, s, first = bare_words(data, bounds)
-        n = np.diff(first)
+        forms, s, first = with_stems(data, bounds)
+        h, n = forms[0], np.diff(first)
         row = np.repeat(np.arange(rows), n)
         add = lambda r, w=None: np.bincount(r, weights=w, minlength=rows)[:rows]
         per = lambda x, of: x / np.maximum(of, 1)
-        at = np.searchsorted(keys, h) if len(keys) else np.zeros(len(h), np.int64)
-        weight = np.where(keys[np.minimum(at, len(keys) - 1)] == h, weights[np.minimum(at, len(keys) - 1)], 0.0) if len(keys) else np.zeros(len(h))
-        is_strong, is_fixed, is_you = np.isin(h, strong), np.isin(h, fixed), np.isin(h, you)
+        weight = np.zeros(len(h))
+        if len(keys):
+            for f in forms:
+                at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
+                weight = np.maximum(weight, np.where(keys[at] == f, weights[at], 0.0))
+        # a word is a strong mark if its odds are twenty times those of other words
+        is_strong, is_fixed, is_you = weight >= math.log(20), np.isin(h, fixed), np.isin(h, you)
         near = np.zeros(len(h), bool)
         for k in range(1, NEAR + 1):
             same = row[k:] == row[:-k]
@@ -140,11 +161,13 @@ def dense(df: DataFrame, marks: dict[int, float], text_col: str = "text", keep:
         hidden = np.isin(folded, np.concatenate([strong, fixed]))
         star = np.zeros(len(data), bool)
         star[1:-1] = (data[1:-1] == 42) & letters[:-2] & (letters[2:] | (data[2:] == 42))
-        marked = (is_strong | is_fixed)
+        marked = is_strong | is_fixed
+        top = np.zeros(rows)
+        np.maximum.at(top, row, weight)
         return np.stack([
             per(add(row, is_strong.astype(float)), n), per(add(row, (weight > 0).astype(float)), n), per(add(row, is_fixed.astype(float)), n), add(row, is_strong.astype(float)), add(row, is_fixed.astype(float)), per(add(row, weight), n),
             per(add(row, is_you.astype(float)), n), per(add(row, (near & marked).astype(float)), n), per(add(chars, upper.astype(float)), add(chars, letters.astype(float))), per(add(row, caps.astype(float)), n),
-            per(add(chars, bang.astype(float)), size), per(add(chars, symbol.astype(float)), size), per(add(folded_row), n), add(folded_row, hidden.astype(float)), add(chars, star.astype(float)), np.log1p(n),
+            per(add(chars, bang.astype(float)), size), per(add(chars, symbol.astype(float)), size), per(add(folded_row), n), add(folded_row, hidden.astype(float)), add(chars, star.astype(float)), np.log1p(n), top,
         ], axis=1)
 
     kept = list(keep)
