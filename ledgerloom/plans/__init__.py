@@ -1 +1,4 @@
+"""All registered queries of the invoice and ledger operators."""
 
+from . import fiscal_queries  # noqa: F401
+from .views import registry  # noqa: F401
