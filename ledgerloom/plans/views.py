@@ -63,14 +63,14 @@ VIEWS = {
     "master": f"""
         SELECT case when c_custkey % 19 = 0 then lower({nif("c_custkey")}) else {nif("c_custkey")} end AS nif, case when c_custkey % 23 = 0 then '' else c_name end AS nombre, '2020-01-' || lpad(cast(c_custkey % 28 + 1 as string), 2, '0') AS fecha_alta,
           cast(c_custkey % 17 as int) AS documentos, case when c_custkey % 6 = 0 then null else '2021-0' || cast(c_custkey % 9 + 1 as string) || '-01' end AS ultima, c_custkey AS pos
-        FROM {{customer}} WHERE c_custkey % 4 <> 0""",
+        FROM {{customer}} WHERE c_mktsegment <> 'HOUSEHOLD'""",
     "suppliers": f"""
         SELECT case when p_partkey % 13 = 0 then ' ' else ' ' || lower({cif("(p_partkey % 10)")}) end AS nif, case when p_partkey % 3 = 0 then '' else cast(600 + p_partkey % 9 as string) end AS account, 'transporte' AS concept,
-          case when p_partkey % 2 = 0 then null else cast(0.96 as decimal(5,4)) end AS confidence, p_partkey AS pos FROM {{part}} WHERE p_partkey < 200""",
+          case when p_partkey % 2 = 0 then null else cast(0.96 as decimal(5,4)) end AS confidence, p_partkey AS pos FROM {{part}}""",
     "finals": """
         SELECT doc_id, book || '_' || lpad(cast(doc_id as string), 9, '0') AS folder, book, case when doc_id % 5 = 0 then lower(client) || ' ' else client end AS client_nif, case when doc_id % 8 = 0 then null else date end AS date,
           case when doc_id % 3 = 0 then date else null end AS operation_date, case when doc_id % 4 = 0 then ' ' else 'Name ' || cast(doc_id % 5 as string) end AS name, doc_id AS finalized_seq,
-          case doc_id % 11 when 0 then 'cancelled' when 1 then 'error' else 'done' end AS status, doc_id % 13 = 0 AS rejected, 'NIF' || cast(doc_id % 10 as string) AS hash_nif, 'f- 00' || cast(doc_id % 300 as string) AS hash_number, case when doc_id % 40 = 7 then null else '2024-01-0' || cast(doc_id % 9 + 1 as string) end AS hash_date
+          case when doc_id % 11 = 0 or doc_id % 22 = 1 then 'cancelled' when doc_id % 11 = 1 then 'error' else 'done' end AS status, doc_id % 13 = 0 AS rejected, 'NIF' || cast(doc_id % 10 as string) AS hash_nif, 'f- 00' || cast(doc_id % 300 as string) AS hash_number, case when doc_id % 40 = 7 then null else '2024-01-0' || cast(doc_id % 9 + 1 as string) end AS hash_date
         FROM (SELECT doc_id, book, date, case when book = 'ventas' then issuer_nif else receiver_nif end AS client FROM docs) f""",
 }
 NEEDS = {"finals": ("docs",)}
