@@ -104,6 +104,32 @@ def _may_link(a: str, b: str, threshold: float) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (far <= BITS)
 
 
+def _linked(a: str, b: str, threshold: float) -> Column:
+    """The full sets of two rows have a similarity of the threshold or more."""
+    both = F.size(F.array_intersect(f"{a}.set", f"{b}.set"))
+    return 100 * both >= round(100 * threshold) * (F.size(f"{a}.set") + F.size(f"{b}.set") - both)
+
+
+def texts_of(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents with these ids (a column id); the ids are broadcast if a count finds them few."""
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def full_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, set) of the documents with these ids."""
+    kind = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, bounds in blocks(batch.column(1)):
+                sets = [s.view(np.int64) for s in shingle_sets(data, bounds, shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ragged(sets, pa.int64())], schema=kind)
+
+    return texts_of(ids, df, id_col, text_col).mapInArrow(run, "id long, set array<long>")
+
+
 def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of the threshold or more."""
     pairs = cut(pairs)
@@ -121,13 +147,9 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shing
                     keep.append(len(x) > 0 and len(y) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=kind).filter(pa.array(keep, pa.bool_()))
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), df, id_col, text_col)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if needed.count() <= BROADCAST_IDS:  # else the joins below shuffle all texts
-        left = left.join(F.broadcast(needed.withColumnRenamed("id", "a")), "a", "left_semi")
-        right = right.join(F.broadcast(needed.withColumnRenamed("id", "b")), "b", "left_semi")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -163,29 +185,47 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = cut(first)
     joined = components(first)
 
-    # what these links don't join, in small nodes; larger nodes branch
     def with_component(x: DataFrame, at: str, name: str) -> DataFrame:
         return x.join(joined.select(F.col("id").alias(at), F.col("component_id").alias(name)), at, "left").withColumn(name, F.coalesce(name, at))
 
+    # the other pivots of members that this leaves apart
+    apart = with_component(with_component(stars, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    more = cut(confirmed(apart, df, id_col, text_col, shingle, threshold))
+    first = first.union(more)
+    joined = components(first)
+
+    # what all these links don't join, in small nodes; larger nodes branch
     rows = with_component(rows.select("path", "id", "n", "s1", "s2", "tokens"), "id", "c")
-    pairs = []
+    def met(members_of_nodes: DataFrame, also: Column) -> DataFrame:
+        x, y = members_of_nodes.alias("x"), members_of_nodes.alias("y")
+        both = x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", threshold) & also)
+        return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    pairs, linked = [], []
     for depth in range(root_depth, last_depth + 1):
         mixed = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         rows = cut(rows.join(mixed.select("path", "size"), "path"))
-        small = rows.where((F.col("size") <= small_node) | F.lit(depth == last_depth)).select("path", "id", "n", "s1", "s2", "c")
-        x, y = small.alias("x"), small.alias("y")
-        met = x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", threshold))
-        pairs.append(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        if depth < last_depth:
+        small = rows.where(F.col("size") <= small_node).select("path", "id", "n", "s1", "s2", "c")
+        pairs.append(met(small, F.lit(True)))
+        if depth == last_depth:
+            # large nodes of similar documents: their full sets meet in the join, and only links come out
+            large = rows.where(F.col("size") > small_node).select("path", "id", "n", "s1", "s2", "c")
+            if not large.isEmpty():
+                sets = full_sets(large.select("id").distinct(), df, id_col, text_col, shingle)
+                linked.append(met(large.join(sets, "id"), _linked("x", "y", threshold)))
+        else:
             rows = rows.where(F.col("size") > small_node)
             if rows.isEmpty():
                 break
             rows = rows.select(F.xxhash64("path", F.element_at("tokens", depth + 1)).alias("path"), "id", "n", "s1", "s2", "tokens", "c")
-    left = with_component(with_component(stars, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    for p in pairs:
+    left = pairs[0]
+    for p in pairs[1:]:
         left = left.union(p)
     second = confirmed(left.distinct(), df, id_col, text_col, shingle, threshold)
-    final = components(first.union(second))
+    links = first.union(second)
+    for x in linked:
+        links = links.union(x)
+    final = components(links)
 
     place = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("found"))
     # ids with several texts: the class of one text may have a smaller id than the others'
