@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination, embedding_dedup, license_scan, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
+from .oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -89,4 +90,4 @@ ORACLE = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN names ON d.doc_id = names.doc_id""",
-}
+} | ORACLES
