@@ -11,6 +11,7 @@ among the pieces of their length.
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -25,11 +26,38 @@ from .lineage import cut
 
 WIDTH = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 SEGMENT = 1 << 20
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
-_TAIL = b".,!?;:#$%&*|"
+
+#: ASCII symbols that no letters after an apostrophe make special.
+_SYMBOLS = b"!#$%&()*+,-./:;=?@[]^_{|}~"
+
+#: What a text may hold besides points and commas so that no run of symbols needs to be looked for.
+_QUIET = bytes(b for b in range(256) if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789 " or 128 <= b < 192 or b == 0xC3)
+
+#: A point or comma that may belong to a longer run of symbols: one after anything but ASCII letters, digits and the letters of Latin-1.
+_RUN = re.compile(rb"(?:[^a-z0-9\x80-\xbf ]|(?<!\xc3)[\x80-\xbf]|\xc3[\x97\xb7])[.,] ")
+
+
+def _has_run(text: bytes) -> bool:
+    if text.translate(None, _QUIET).strip(b".,") or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return _RUN.search(text) is not None
+    return b".." in text or b".," in text or b",." in text or b",," in text
+
+
+def _words(text: bytes) -> list[bytes]:
+    """A text's space-separated words, A-Z lowered; points and commas at the ends of words stand alone, as they do for the tokenizer, so that fewer words differ."""
+    text = text.translate(_PLAIN) + b" "
+    if not _has_run(text):
+        text = text.replace(b". ", b" . ").replace(b", ", b" , ")
+    return text.split(b" ")
+
+
+def _is_plain(word: str) -> bool:
+    """Letters only, before and after the tokenizer's normalisation."""
+    return word.isalpha() and word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
 
 
 class WordIds:
@@ -49,59 +77,44 @@ class WordIds:
         self.known: dict[bytes, bytes] = {b"": b""}
 
     def learn(self, new: set[bytes]) -> None:
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {b"": b""}
-        split = {w: (w.rstrip(_TAIL), w[len(w.rstrip(_TAIL)) :]) for w in new}
-        letters, whole = set(), set()
-        for w, (head, tail) in split.items():
-            text = head.decode()
-            if text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text):
-                letters.add(head)
-                whole.add(tail)
+        """Ids of new words. A word of letters is one piece for the tokenizer, so its last token alone ends a word: such words are encoded together."""
+        known, letters, rest, tailed = self.known, [], [], []
+        for w in new:
+            if w.isalpha() or _is_plain(w.decode()):
+                letters.append(w)
+            elif (head := w.rstrip(_SYMBOLS)) and head != w and (head.isalpha() or _is_plain(head.decode())):
+                tailed.append((w, head, w[len(head) :]))
             else:
-                split[w] = (w, b"")
-                whole.add(w)
-        found = self.known
-        # a word of letters is one piece for the tokenizer, so its last token alone ends a word
-        if heads := [h for h in letters if h not in found]:
-            ids = np.array(self.tokenizer.encode(b" ".join(heads).decode(), add_special_tokens=False).ids, dtype="<u4")
+                rest.append(w)
+        # symbols after letters are a piece of their own
+        if tailed:
+            letters += {head for _, head, _ in tailed}.difference(known, letters)
+            rest += {tail for _, _, tail in tailed}.difference(known, rest)
+        if letters:
+            ids = np.array(self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(heads) and stops[-1] == len(ids):
-                raw = ids.tobytes()
-                found.update(zip(heads, (raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist()))))
+            if len(stops) == len(letters) and stops[-1] == len(ids):
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                known.update(zip(letters, map(raw.__getitem__, map(slice, [0, *stops], stops))))
             else:
-                whole.update(heads)
-        if rest := [w for w in whole if w not in found]:
+                rest += letters
+        if rest:
             for w, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
-                found[w] = np.array(e.ids, dtype="<u4").tobytes()
-        found.update((w, found[head] + found[tail]) for w, (head, tail) in split.items())
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known.update((w, known[head] + known[tail]) for w, head, tail in tailed)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        get, out, words = self.known.get, [], []
-        new: set[bytes] = set()
-        for t in texts:
-            w = t.translate(_PLAIN).split(b" ")
-            ids = list(map(get, w))
-            if None in ids:
-                new.update(x for x, y in zip(w, ids) if y is None)
-                words.append(w)
-                out.append(None)
-            else:
-                out.append(b"".join(ids))
+        words = [_words(t) for t in texts]
+        every = set().union(*words)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {b"": b""}
+            new = every - {b""}
         if new:
             self.learn(new)
-            known, later = self.known, iter(words)
-            for k, x in enumerate(out):
-                if x is None:
-                    w = next(later)
-                    try:
-                        out[k] = b"".join([known[y] for y in w])
-                    except KeyError:  # the store was emptied for the new words
-                        self.learn({y for y in w if y not in self.known})
-                        known = self.known
-                        out[k] = b"".join([known[y] for y in w])
-        return out
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
     def encode_long(self, text: bytes) -> bytes:
         """The ids of one text of any length, taken in segments that end at a space."""

@@ -125,15 +125,19 @@ def lexicon(sample: DataFrame) -> dict[int, float]:
     return {r["h"]: r["odds"] for r in n.orderBy(F.desc("z"), "h").limit(LEXICON_WORDS).collect()}
 
 
-def dense(df: DataFrame, marks: dict[int, float], text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """df's kept columns and ``features``, an array in the order of FEATURES; a null or empty text has zeros."""
-    odds = sorted((int(np.int64(h).view(np.uint64)), o) for h, o in marks.items())
-    keys, weights = np.array([h for h, _ in odds], dtype=np.uint64), np.array([o for _, o in odds])
-    fixed = np.array(sorted(_hash(w) for w in INSULTS), dtype=np.uint64)
-    you = np.array(sorted(_hash(w) for w in YOU), dtype=np.uint64)
-    strong = keys[weights >= math.log(20)]
-
-    def row_features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+class Features:
+    """Dense features of a block's rows, in the order of FEATURES."""
+
+    def __init__(self, marks: dict[int, float]):
+        odds = sorted((int(np.int64(h).view(np.uint64)), o) for h, o in marks.items())
+        keys, weights = np.array([h for h, _ in odds], dtype=np.uint64), np.array([o for _, o in odds])
+        fixed = np.array(sorted(_hash(w) for w in INSULTS), dtype=np.uint64)
+        you = np.array(sorted(_hash(w) for w in YOU), dtype=np.uint64)
+        strong = keys[weights >= math.log(20)]
+        self.keys, self.weights, self.strong, self.fixed, self.you = keys, weights, strong, fixed, you
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        keys, weights, strong, fixed, you = self.keys, self.weights, self.strong, self.fixed, self.you
         rows = len(bounds) - 1
         forms, s, first = with_stems(data, bounds)
         h, n = forms[0], np.diff(first)
@@ -170,12 +174,16 @@ def dense(df: DataFrame, marks: dict[int, float], text_col: str = "text", keep:
             per(add(chars, bang.astype(float)), size), per(add(chars, symbol.astype(float)), size), per(add(folded_row), n), add(folded_row, hidden.astype(float)), add(chars, star.astype(float)), np.log1p(n), top,
         ], axis=1)
 
+
+def dense(df: DataFrame, marks: dict[int, float], text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """df's kept columns and ``features``, an array in the order of FEATURES; a null or empty text has zeros."""
+    features = Features(marks)
     kept = list(keep)
     schema = df.select(*kept, F.lit(None).cast("array<double>").alias("features")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [row_features(data, bounds) for _, _, data, bounds in blocks(batch.column(len(kept)))]
+            found = [features(data, bounds) for _, _, data, bounds in blocks(batch.column(len(kept)))]
             flat = np.concatenate(found) if found else np.zeros((0, len(FEATURES)))
             arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(FEATURES)), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(kept)} | {"features": arrays})
