@@ -1,14 +1,12 @@
-"""Repeated runs of lines, found by winnowing over line hashes.
+"""Repeated runs of lines, found by the hashes of their windows.
 
 Lines are compared without case of A-Z and with spaces and tabs collapsed; blank
-lines don't count. A window is the shortest stretch of lines, from each line
-on, that has ``least_words`` words; the smallest line hash of each window is
-a fingerprint. So any repeated run of whole lines with that many words shares
-a fingerprint, in all its places. Each fingerprint is held against its first
-place in the corpus, and the match is extended both ways while lines agree, up
-to a window's width, where the next fingerprint takes over. Runs of repeated
-lines with ``least_words`` words or more are deleted in all but their first
-place.
+lines don't count. A window is the shortest stretch of lines, ahead or back from
+each line, that has ``least_words`` words. A line lies in a repeated run with
+that many words if and only if it lies in a window that stands earlier: the run
+holds the window ahead or back of its lines, or one ahead of its first line. So
+each window is held against the first place of its own lines, and all lines of
+windows that have an earlier place are deleted.
 """
 
 from __future__ import annotations
@@ -36,36 +34,33 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def repeated_lines(df: DataFrame, id_col: str, text_col: str, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, n): the numbers, among a document's lines that aren't blank, of lines that occur before, in runs with a fingerprint."""
+    """(key, n): the numbers, among a document's lines that aren't blank, of lines in runs of ``least_words`` words or more that stand earlier."""
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.split(text_col, "\n").alias("lines"))
     lines = docs.select("id", "key", F.posexplode("lines").alias("pos", "line")).withColumn("line", line_key(F.col("line"))).where("line <> ''")
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lines = lines.select("id", "key", "pos", F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long").alias("h"), words.cast("long").alias("words")).dropDuplicates(["key", "pos"])
 
     order = W.partitionBy("key").orderBy("pos")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    lines = lines.select("id", "key", "h", "words", (F.row_number().over(order) - 1).cast("long").alias("n"), F.coalesce(F.sum("words").over(before), F.lit(0)).cast("long").alias("at"))
-    window = W.partitionBy("key").orderBy("at").rangeBetween(0, least_words - 1)
-    chosen = F.min(F.struct("h", (-F.col("n")).alias("m"))).over(window)
+    upto = F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0))
+    lines = lines.select("id", "key", "h", "words", (F.row_number().over(order) - 1).cast("long").alias("n"), (upto - F.col("words")).alias("at"), upto.alias("end"))
+    # each line has a word, so a window has least_words lines at most
+    ahead = W.partitionBy("key").orderBy("at").rangeBetween(0, least_words - 1)
+    back = W.partitionBy("key").orderBy("end").rangeBetween(1 - least_words, 0)
     lines = lines.select(
-        "id", "key", "n", "h",
-        F.when(F.sum("words").over(window) >= least_words, -chosen["m"]).alias("pick"),
-        F.reverse(F.collect_list("h").over(W.partitionBy("key").orderBy("at").rowsBetween(-least_words, -1))).alias("above"),
-        F.collect_list("h").over(W.partitionBy("key").orderBy("at").rowsBetween(1, least_words)).alias("below"),
+        "id", "key", "n", "words", F.collect_list("h").over(ahead).alias("down"), F.sum("words").over(ahead).alias("below"),
+        F.collect_list("h").over(back).alias("up"), F.sum("words").over(back).alias("above"),
     )
-    # a line is a fingerprint if a window picks it; each line has a word, so these windows begin near
-    picks = F.collect_set("pick").over(W.partitionBy("key").orderBy("n").rowsBetween(-least_words, 0))
-    prints = cut(lines.withColumn("picks", picks).where("array_contains(picks, n)").drop("pick", "picks"))
 
-    first = prints.groupBy("h").agg(F.min(F.struct("id", "key", "n", "above", "below")).alias("f"), F.count("*").alias("times")).where("times > 1").drop("times")
-    met = prints.join(first, "h").where("not (key <=> f.key and n = f.n)")
+    def window(hashes: str, start: Column) -> Column:
+        return F.struct(F.xxhash64(hashes).alias("w1"), F.xxhash64(F.lit(1), hashes).alias("w2"), start.alias("n"), F.size(hashes).alias("size"))
 
-    def agreeing(side: str) -> Column:
-        same = F.zip_with(F.col(side), F.col(f"f.{side}"), lambda x, y: x.eqNullSafe(y))
-        stop = F.array_position(same, F.lit(False))
-        return F.when(stop == 0, F.size(same)).otherwise(stop - 1).cast("long")
+    # a window back from a line that its last line isn't needed for; the others are windows ahead too
+    both = F.array(F.when(F.col("below") >= least_words, window("down", F.col("n"))), F.when(F.col("above") - F.col("words") >= least_words, window("up", F.col("n") - F.size("up") + 1)))
+    windows = cut(lines.select("id", "key", F.inline(F.array_compact(both))))
 
-    return met.select("key", F.explode(F.sequence(F.col("n") - agreeing("above"), F.col("n") + agreeing("below"))).alias("n")).distinct()
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "key", "n")).alias("f"), F.count("*").alias("times")).where("times > 1").drop("times")
+    met = windows.join(first, ["w1", "w2"]).where("not (key <=> f.key and n = f.n)")
+    return met.select("key", F.explode(F.sequence(F.col("n"), F.col("n") + F.col("size") - 1)).alias("n")).distinct()
 
 
 def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, removed: str | None = None) -> DataFrame:

@@ -371,6 +371,40 @@ def test_line_dedup(spark):
     assert line_dedup.remove_repeated_lines(documents(spark, [])).count() == 0
 
 
+def every_repeated_line(docs, least):
+    """By the definition: each line of any run of ``least`` words or more, of any length, that stands earlier."""
+    lines = {k: [(i, " ".join(lower(x).split())) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r")] for k, t in docs}
+    seen, gone = set(), {k: set() for k in lines}
+    for k in sorted(lines):
+        rows = lines[k]
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows) + 1):
+                run = tuple(x for _, x in rows[i:j])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone[k].update(rows[m][0] for m in range(i, j))
+                    seen.add(run)
+    return gone
+
+
+@pytest.mark.parametrize("frequent", range(4))
+def test_line_dedup_meets_every_earlier_run(spark, frequent):
+    # a frequent short line between headlines: for some of these lines, its hash is the smallest of its windows
+    rng = random.Random(frequent)
+    heads = [prose(rng, 6) for _ in range(12)]
+    docs = []
+    for k in range(14):
+        body = [x for h in rng.sample(heads, 5) for x in (h, f"read more{frequent}")]
+        docs.append((k, "\n".join(body)))
+    docs += [(k, "\n".join([*docs[rng.randrange(14)][1].split("\n")[2:8], prose(rng, 2)])) for k in range(20, 30)]
+    docs += [(40, docs[20][1] + "\n" + "\n".join(heads)), (41, "\n".join([prose(rng, 12), "a tail"] * 2))]
+    out = line_dedup.remove_repeated_lines(documents(spark, docs), removed="gone").collect()
+    got = {r["doc_id"]: r["text"] for r in out}
+    for k, gone in every_repeated_line(docs, line_dedup.LEAST_WORDS).items():
+        want = [x for i, x in enumerate(dict(docs)[k].split("\n")) if i not in gone]
+        assert got[k].split("\n") == (want or [""]), k
+
+
 # all together
 
 
