@@ -199,15 +199,28 @@ def str01_stream_last_status(spark, sf):
 def str02_stream_violations(spark, sf):
     return _drained(spark, sf, status.violations, "append")
 
+#: Files in one trigger of a drained stream.
+FILES = 100
+
 def _drained(spark, sf, operator, mode):
-    """The operator over the event log as a stream, run to its end, as a table in the warehouse folder."""
+    """The operator over the event log as a stream, run to its end, as a table in the warehouse folder.
+
+    Ranges of seq arrive one after the other, each in one trigger, however many partitions the log has.
+    """
     root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams/{uuid.uuid4().hex}"
-    view(spark, sf, "doc_events").select("doc_id", "seq", "status").write.parquet(f"{root}/in")
-    stream = operator(status.read_events(spark, f"{root}/in", "doc_id long, seq long, status string", 100))
+    log = view(spark, sf, "doc_events").select("doc_id", "seq", "status")
+    n = -(-log.rdd.getNumPartitions() // FILES)
+    bounds = log.approxQuantile("seq", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
+    part = sum((F.coalesce((F.col("seq") >= b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
+    log.withColumn("part", part).write.partitionBy("part").parquet(f"{root}/log")
+    ranges = spark.read.schema("doc_id long, seq long, status string, part int").parquet(f"{root}/log")
 
     def save(batch, n):
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    writer.start().awaitTermination()
+    for k in range(n):
+        ranges.where(F.col("part") == k).drop("part").coalesce(FILES).write.mode("append").parquet(f"{root}/in")
+        stream = operator(status.read_events(spark, f"{root}/in", "doc_id long, seq long, status string", FILES))
+        writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        writer.start().awaitTermination()
     return spark.read.parquet(f"{root}/out")

@@ -214,3 +214,25 @@ def test_stream_master_updates(spark, tmp_path):
     status.master_updates(stream, lambda: held["m"], lambda df: held.update(m=spark.createDataFrame(df.collect(), s)), str(tmp_path / "state")).awaitTermination()
     r = held["m"].first()
     assert (r["nombre"], r["documentos"], r["libros"]) == ("N", 3, ["compras", "ventas"])
+
+
+
+def test_drained_streams_take_events_in_order(spark, monkeypatch):
+    from ledgerloom.plans import scalar_queries
+
+    # one file a trigger, and the partitions of the log in falling order of seq
+    read = status.read_events
+    monkeypatch.setattr(scalar_queries.status, "read_events", lambda spark, path, schema, files: read(spark, path, schema, 1))
+    monkeypatch.setattr(scalar_queries, "FILES", 1, raising=False)
+    names = sorted(events.TRANSITIONS)
+    rows = [(k % 5, k, names[k * k % 11 % len(names)]) for k in range(1, 61)]
+    log = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], 6), "doc_id long, seq long, status string")
+    monkeypatch.setattr(scalar_queries, "view", lambda *_: log)
+    last, want = {}, set()
+    for k, seq, now in rows:
+        if now not in events.TRANSITIONS.get(last.get(k) or "", ()):
+            want.add((k, seq, last.get(k), now))
+        last[k] = now
+    got = scalar_queries.str02_stream_violations(spark, None).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {(r["doc_id"], r["status"]) for r in scalar_queries.str01_stream_last_status(spark, None).collect()} == set(last.items())
