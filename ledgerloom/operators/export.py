@@ -43,7 +43,7 @@ def files(invoices: DataFrame, day: str) -> DataFrame:
     name = F.min_by("client_name", F.when(F.coalesce("client_name", F.lit("")) != "", F.col("doc_id")))
     out = keyed(invoices).groupBy("file_nif", "file_kind").agg(F.coalesce(name, F.lit("")).alias("client_name"), F.count_distinct("doc_id").alias("invoices"))
     n = F.row_number().over(W.orderBy("file_nif", "file_kind"))
-    return out.withColumn("sequence", n).withColumn("file", F.concat_ws("_", F.lit(day), "file_nif", F.lpad(n.cast("string"), 2, "0"), F.concat("file_kind", F.lit(".csv"))))
+    return out.withColumn("sequence", n).withColumn("file", F.concat_ws("_", F.lit(day), "file_nif", F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string")), F.concat("file_kind", F.lit(".csv"))))
 
 
 def contents(invoices: DataFrame, lines: DataFrame) -> DataFrame:

@@ -216,6 +216,11 @@ def test_stream_master_updates(spark, tmp_path):
     assert (r["nombre"], r["documentos"], r["libros"]) == ("N", 3, ["compras", "ventas"])
 
 
+def test_export_sequences_are_never_cut(spark):
+    rows = [(k, "ventas", f"B{k:08d}", "A", "X", "B") for k in range(1, 121)]
+    got = export.files(spark.createDataFrame(rows, "doc_id long, book string, issuer_nif string, issuer_name string, receiver_nif string, receiver_name string"), "20260101").collect()
+    assert {r["file"].split("_")[2] for r in got} == {f"{k:02d}" for k in range(1, 121)}
+
 
 def test_drained_streams_take_events_in_order(spark, monkeypatch):
     from ledgerloom.plans import scalar_queries
