@@ -4,38 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .lineage import cut
+from .lineage import cut, drop
+from .salted import with_facts
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: list[int] | None = None) -> DataFrame:
     """(id, component_id) for every id that has a link to another; component_id is the smallest id reachable.
 
-    Each round moves every id to the smallest of its neighbours, renames the
-    links accordingly and drops those within one component; what is left
-    shrinks by a factor at least, and a star ends in two rounds. Links and
-    members stay distributed: the driver only sees whether a link is left.
-    Null ends and links of an id to itself are ignored.
+    Each round gives every id a random rank of that round. An id moves to its
+    neighbour of the least rank, if that is less than its own, and on to where
+    that one moves; links are renamed accordingly and those within one place
+    are dropped. Half the ids or more are expected to move, whatever the graph
+    and its numbering, so the rounds grow with the logarithm of the longest
+    chain. ``rounds`` collects the number of links that each round began with.
+
+    Links and moves stay distributed: the driver only sees how many links are
+    left. Sums are combined before each shuffle, and both inputs of each join
+    are shuffled as they are read, so that adaptive execution splits the rows
+    of an id with very many links. Null ends and links of an id to itself are
+    ignored.
     """
-    links = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-    links = cut(links)
-    members = None
-    while not links.isEmpty():
+    links = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+    moves: list[DataFrame] = []
+    while left := links.count():
+        turn = len(moves)
+        if rounds is not None:
+            rounds.append(left)
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("to"))  # noqa: E731, B023
         both = links.union(links.select("b", "a"))
-        # the smallest neighbour, and then that one's smallest
-        near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
-        near = cut(near)
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("n")).select(F.col("a").alias("id"), F.least("n", rank("a"))["to"].alias("to"))
         far = near.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        moves = cut(near.join(far, "to").select("id", F.col("next").alias("to")))
-        if members is None:
-            members = moves.select("id", F.col("to").alias("component_id"))
-        else:
-            step = moves.select(F.col("id").alias("component_id"), "to")
-            members = members.join(step, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
-        members = cut(members)
-        left = moves.select(F.col("id").alias("a"), F.col("to").alias("a_to"))
-        right = moves.select(F.col("id").alias("b"), F.col("to").alias("b_to"))
-        links = links.join(left, "a").join(right, "b").where("a_to <> b_to")
-        links = cut(links.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
-    if members is None:
+        step = cut(near.join(far, "to").select("id", F.col("next").alias("to")))
+        moves.append(step)
+        from_a, from_b = (step.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
+        renamed = links.join(from_a, "a").join(from_b, "b").where("a_to <> b_to")
+        before, links = links, cut(renamed.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        drop(before)
+    if not moves:
         return links.select(F.col("a").alias("id"), F.col("a").alias("component_id"))
-    return members
+    # where each id came to lie in the end, from the last round back
+    place = moves[-1]
+    for step in moves[-2::-1]:
+        place = step.join(place.select(F.col("id").alias("to"), F.col("to").alias("end")), "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+    place = cut(place)
+    out = cut(with_facts(place, ["to"], ["id"], [F.min("id").alias("component_id")]).select("id", "component_id"))
+    drop(links, place, *moves)
+    return out

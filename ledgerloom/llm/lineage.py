@@ -1,19 +1,37 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage by tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session on one machine may go without: it gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="scratch"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's checkpoint folder.
-
-    The folder is the one that spark.checkpoint.dir names. Where that is unset,
-    as in tests on one machine, a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    """df, computed once and kept as a Parquet table in the shared folder; a lost executor loses nothing of it."""
+    path = f"{shared_folder(df.sparkSession)}/ledgerloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that :func:`cut` wrote and that no table in use depends on any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            if "/ledgerloom-" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

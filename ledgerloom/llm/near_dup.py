@@ -1,14 +1,19 @@
 """Near-duplicate documents by a chosen-path set similarity join over word shingles.
 
-A document's set holds its distinct shingles. Independent trees branch the
-documents by minwise tokens: a node is a path of chosen tokens, and its members
-agree on all of them. Small nodes are compared exhaustively; larger ones branch
-by the next token, down to a last depth, where they are compared whatever their
-size. Copies of a set are one member from the start. In each first node all
-members are held against one pivot before anything else, so that a large group
-of near copies is joined in a number of comparisons that grows with the group,
-not with its square; later nodes only compare members that no chain of found
-links joins yet. Every link is confirmed on the full sets.
+A document's set holds its distinct shingles; copies of a set are one member
+from the start. Each member has a pool of minwise tokens, and independent trees
+branch the members by them: a node is a path of chosen tokens, and its members
+agree on all of them. The trees' first nodes are chosen by three tokens. A node
+that isn't small branches further, by one or two tokens that its path selects:
+1 / threshold on average, so that a pair at the threshold is expected in as many
+nodes at each level as at the one before. Small nodes are compared exhaustively.
+
+In every node that isn't small, members are first held against one pivot, a new
+one at each level, so that a large group of near copies is joined in a number of
+comparisons that grows with the group, not with its square. What found links
+already join is not compared again. Only (node, member) rows move through the
+trees; tokens are fetched for members of nodes that branch. Every link is
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .blocks import SPACED, blocks, follow, mix, ragged, words
 from .components import components
-from .lineage import cut
+from .lineage import cut, drop
+from .salted import looked_up, salts_of, spread, with_facts
 
 TREES = 16
+POOL = 48
 ROOT_DEPTH = 3
-LAST_DEPTH = 8
+LAST_DEPTH = 12
 SMALL_NODE = 24
 THRESHOLD = 0.8
 SHINGLE = 2
@@ -36,6 +43,8 @@ BROADCAST_IDS = 1_000_000
 #: Bits of 128 in which the one-bit sketches of a linked pair may differ: 5 standard deviations over what a similarity of 0.8 gives.
 BITS = 30
 
+_ODD = 0x9E3779B97F4A7C15
+
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row of a block; shorter rows have their whole sequence as one."""
@@ -62,9 +71,9 @@ def _minima(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, trees: int, depth: int) -> DataFrame:
-    """(id, n, d1, d2, tokens, s1, s2): set size, digest, the trees' minwise tokens and a one-bit sketch."""
-    factors = mix(np.arange(1, trees * depth + 1, dtype=np.uint64)) | np.uint64(1)
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, pool: int = POOL) -> DataFrame:
+    """(id, n, d1, d2, tokens, s1, s2): set size, digest, the pool of minwise tokens and a one-bit sketch."""
+    factors = mix(np.arange(1, pool + 1, dtype=np.uint64)) | np.uint64(1)
     bit_factors = mix(np.arange(10_001, 10_129, dtype=np.uint64)) | np.uint64(1)
     both = np.concatenate([factors, bit_factors])
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -93,7 +102,21 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, trees: int
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, tokens array<int>, s1 long, s2 long")
 
 
-_ODD = 0x9E3779B97F4A7C15
+def first_nodes(members: DataFrame, trees: int, root_depth: int, pool: int) -> DataFrame:
+    """(path, id, n, s1, s2): the first node of each member in each tree, by ``root_depth`` different tokens of the pool."""
+    rng = np.random.default_rng(9)
+    chosen = [rng.choice(pool, root_depth, replace=False).tolist() for _ in range(trees)]
+    paths = F.array(*(F.xxhash64(F.lit(t), *(F.element_at("tokens", k + 1) for k in at)) for t, at in enumerate(chosen)))
+    return members.select(F.explode(paths).alias("path"), "id", "n", "s1", "s2")
+
+
+def branches(rows: DataFrame, tokens: DataFrame, depth: int, threshold: float, pool: int) -> DataFrame:
+    """The nodes one level below those of rows: each path selects one token, and a second with the probability that makes 1 / threshold on average."""
+    draw = lambda k: F.pmod(F.xxhash64("path", F.lit(depth), F.lit(k)), F.lit(pool)).cast("int") + 1
+    second = F.pmod(F.xxhash64("path", F.lit(depth), F.lit(-1)), F.lit(1000)) < round(1000 * (1 / threshold - 1))
+    at = F.array_distinct(F.when(second, F.array(draw(0), draw(1))).otherwise(F.array(draw(0))))
+    below = rows.join(tokens, "id").withColumn("at", F.explode(at))
+    return below.select(F.xxhash64("path", "at", F.element_at("tokens", F.col("at"))).alias("path"), "id", "n", "s1", "s2", "c")
 
 
 def _may_link(a: str, b: str, threshold: float) -> Column:
@@ -104,12 +127,6 @@ def _may_link(a: str, b: str, threshold: float) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (far <= BITS)
 
 
-def _linked(a: str, b: str, threshold: float) -> Column:
-    """The full sets of two rows have a similarity of the threshold or more."""
-    both = F.size(F.array_intersect(f"{a}.set", f"{b}.set"))
-    return 100 * both >= round(100 * threshold) * (F.size(f"{a}.set") + F.size(f"{b}.set") - both)
-
-
 def texts_of(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of the documents with these ids (a column id); the ids are broadcast if a count finds them few."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -117,22 +134,9 @@ def texts_of(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataF
     return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def full_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, set) of the documents with these ids."""
-    kind = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, bounds in blocks(batch.column(1)):
-                sets = [s.view(np.int64) for s in shingle_sets(data, bounds, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ragged(sets, pa.int64())], schema=kind)
-
-    return texts_of(ids, df, id_col, text_col).mapInArrow(run, "id long, set array<long>")
-
-
 def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have a similarity of the threshold or more."""
-    pairs = cut(pairs)
+    """The pairs (a, b) whose full sets have a similarity of the threshold or more, as a table; a may be one document of very many pairs."""
+    pairs = cut(pairs.distinct())
     percent = round(100 * threshold)
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -147,88 +151,105 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shing
                     keep.append(len(x) > 0 and len(y) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=kind).filter(pa.array(keep, pa.bool_()))
 
-    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), df, id_col, text_col)
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = texts_of(ids, df, id_col, text_col)
+    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    # the texts of a document with very many pairs go to several tasks
+    left = spread(pairs.groupBy("a").agg(salts_of(["b"]).alias("mask")), "mask").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+    met = right.withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int")).join(left, ["a", "__salt"])
+    out = cut(met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+    drop(pairs, ids)
+    return out
+
+
+def _placed(rows: DataFrame, labels: DataFrame, at: str, name: str) -> DataFrame:
+    """rows with the component of the id in column ``at``; an id without links is its own."""
+    return rows.join(labels.select(F.col("id").alias(at), F.col("component_id").alias(name)), at, "left").withColumn(name, F.coalesce(name, at))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, root_depth: int = ROOT_DEPTH, last_depth: int = LAST_DEPTH, small_node: int = SMALL_NODE) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links, which move whole components."""
+    moved = components(_placed(_placed(links, labels, "a", "ca"), labels, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    to = moved.select(F.col("id").alias("component_id"), F.col("component_id").alias("to"))
+    old = labels.join(to, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
+    out = cut(old.union(moved.join(labels, "id", "left_anti")))
+    drop(moved, labels)
+    return out
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, root_depth: int = ROOT_DEPTH, last_depth: int = LAST_DEPTH, small_node: int = SMALL_NODE, pool: int = POOL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
     Words lie between ASCII white space, A-Z lowered; a text of fewer words
-    than a shingle has its whole sequence as its one shingle. A pair at the
-    threshold meets in one tree at least with probability
-    1 - (1 - threshold^d)^trees, d being the depth of its nodes: 0.99999 at
-    depth 3, 0.94 at depth 8, more for more similar pairs.
+    than a shingle has its whole sequence as its one shingle. At a threshold of
+    0.8 a pair at the threshold shares a first node of one of 16 trees with a
+    probability over 0.999, in crowds that stay large it still shares a node
+    after two levels more with 0.99, after five with 0.97 and after nine, at
+    the last depth, with 0.91 (simulated; a pair at 0.85 with 0.97). What is
+    mixed at the last depth is compared exhaustively, whatever its size, in
+    blocks.
 
     Null and empty texts have the empty set and are linked with nothing. Rows
     with one id are one document, linked by any of its texts. Rows without id
     are kept, without component. An empty table gives an empty result.
     """
-    sketch = cut(sketches(df, id_col, text_col, shingle, trees, last_depth))
-    classes = sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    classes = cut(classes)
-    members = sketch.where("n > 0").join(classes.withColumnRenamed("rep", "id"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
-
-    # the first nodes of every tree
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = members.select("id", "n", "s1", "s2", "tokens", tree)
-    rows = rows.select("id", "n", "s1", "s2", F.expr(f"slice(tokens, tree * {last_depth} + 1, {last_depth})").alias("tokens"), F.expr(f"xxhash64(tree, slice(tokens, tree * {last_depth} + 1, {root_depth}))").alias("path"))
-    pivots = rows.groupBy("path").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    rows = cut(rows.join(pivots, "path"))
-
-    # every member against its node's pivot
-    stars = rows.alias("r").where("id <> p.id").where(_may_link("r", "p", threshold)).select(F.col("p.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    stars = cut(stars)
-    first = confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), df, id_col, text_col, shingle, threshold)
-    first = cut(first)
-    joined = components(first)
-
-    def with_component(x: DataFrame, at: str, name: str) -> DataFrame:
-        return x.join(joined.select(F.col("id").alias(at), F.col("component_id").alias(name)), at, "left").withColumn(name, F.coalesce(name, at))
-
-    # the other pivots of members that this leaves apart
-    apart = with_component(with_component(stars, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    more = cut(confirmed(apart, df, id_col, text_col, shingle, threshold))
-    first = first.union(more)
-    joined = components(first)
-
-    # what all these links don't join, in small nodes; larger nodes branch
-    rows = with_component(rows.select("path", "id", "n", "s1", "s2", "tokens"), "id", "c")
-    def met(members_of_nodes: DataFrame, also: Column) -> DataFrame:
-        x, y = members_of_nodes.alias("x"), members_of_nodes.alias("y")
-        both = x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", threshold) & also)
-        return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    pairs, linked = [], []
+    sketch = cut(sketches(df, id_col, text_col, shingle, pool))
+    known = sketch.where("n > 0 and id is not null")
+    classes = cut(known.groupBy("d1", "d2").agg(F.min("id").alias("rep"), salts_of(["id"]).alias("mask")))
+    members = known.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["id", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    members = cut(members.select("id", "n", "s1", "s2", "tokens"))
+
+    # ids with several texts join the classes of all of them
+    several = known.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("id")
+    own = known.join(several, "id", "left_semi").select("id", "d1", "d2").join(classes, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    labels = components(own)
+
+    pivot = F.min(F.struct("id", "n", "s1", "s2")).alias("p")
+    rows = cut(with_facts(first_nodes(members, trees, root_depth, pool), ["path"], ["id"], [pivot, F.count("*").alias("size")], "size > 1"))
+
+    # every member against the pivots of its first nodes: first one of them, then those that this leaves apart
+    stars = cut(rows.alias("r").where("id <> p.id").where(_may_link("r", "p", threshold)).select(F.col("p.id").alias("a"), F.col("r.id").alias("b")).distinct())
+    labels = joined(labels, confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), df, id_col, text_col, shingle, threshold))
+    apart = _placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
+    labels = joined(labels, confirmed(apart, df, id_col, text_col, shingle, threshold))
+    drop(stars)
+
+    before, rows = rows, rows.select("path", "id", "n", "s1", "s2")
     for depth in range(root_depth, last_depth + 1):
-        mixed = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        rows = cut(rows.join(mixed.select("path", "size"), "path"))
-        small = rows.where(F.col("size") <= small_node).select("path", "id", "n", "s1", "s2", "c")
-        pairs.append(met(small, F.lit(True)))
-        if depth == last_depth:
-            # large nodes of similar documents: their full sets meet in the join, and only links come out
-            large = rows.where(F.col("size") > small_node).select("path", "id", "n", "s1", "s2", "c")
-            if not large.isEmpty():
-                sets = full_sets(large.select("id").distinct(), df, id_col, text_col, shingle)
-                linked.append(met(large.join(sets, "id"), _linked("x", "y", threshold)))
-        else:
-            rows = rows.where(F.col("size") > small_node)
-            if rows.isEmpty():
-                break
-            rows = rows.select(F.xxhash64("path", F.element_at("tokens", depth + 1)).alias("path"), "id", "n", "s1", "s2", "tokens", "c")
-    left = pairs[0]
-    for p in pairs[1:]:
-        left = left.union(p)
-    second = confirmed(left.distinct(), df, id_col, text_col, shingle, threshold)
-    links = first.union(second)
-    for x in linked:
-        links = links.union(x)
-    final = components(links)
-
-    place = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("found"))
-    # ids with several texts: the class of one text may have a smaller id than the others'
-    out = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), F.when(F.col("n") > 0, F.col("d2")).alias("d2")).join(place, ["d1", "d2"], "left")
+        # nodes that hold two components or more; each with a new pivot
+        if "c" in rows.columns:
+            rows = rows.drop("c")
+        order = F.struct(F.xxhash64("id", F.lit(depth)).alias("turn"), "id", "n", "s1", "s2", "c")
+        facts = [F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("p")]
+        rows = cut(with_facts(_placed(rows, labels, "id", "c"), ["path"], ["id"], facts, "low < high"))
+        drop(before)
+        before = rows
+        small = rows.where(F.col("size") <= small_node) if depth < last_depth else rows
+        x, y = (_tiled(small, small_node, k) for k in (0, 1))
+        met = x.alias("x").join(y.alias("y"), ["path", "i", "j"])
+        met = met.where("(i < j or x.id < y.id) and x.c <> y.c").where(_may_link("x", "y", threshold)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        large = rows.where(F.col("size") > small_node)
+        stars = large.alias("r").where("c <> p.c").where(_may_link("r", "p", threshold)).select(F.col("p.id").alias("a"), F.col("r.id").alias("b"))
+        found = confirmed(met if depth == last_depth else met.union(stars), df, id_col, text_col, shingle, threshold)
+        labels = joined(labels, found)
+        drop(found)
+        if depth == last_depth or large.isEmpty():
+            break
+        rows = branches(large, members.select("id", "tokens"), depth, threshold, pool)
+    drop(before, members)
+
+    place = spread(_placed(classes, labels, "rep", "found"), "mask")
+    out = sketch.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("d1")).alias("d1"), "d2", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("__salt"))
+    out = out.join(place.select("d1", "d2", "__salt", "found"), ["d1", "d2", "__salt"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _tiled(rows: DataFrame, size: int, side: int) -> DataFrame:
+    """rows once for each pair of tiles (i <= j) of its node in which it is on this side; a small node is one tile."""
+    tiles = F.ceil(F.col("size") / size).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), tiles).cast("int")
+    other = F.sequence(own, tiles - 1) if side == 0 else F.sequence(F.lit(0), own)
+    out = rows.select("path", "id", "n", "s1", "s2", "c", own.alias("own"), F.explode(other).alias("other"))
+    i, j = ("own", "other") if side == 0 else ("other", "own")
+    return out.select("path", "id", "n", "s1", "s2", "c", F.col(i).alias("i"), F.col(j).alias("j"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import blocks, components, decontamination, embedding_dedup, license_scan, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
+from ledgerloom.llm import blocks, components, decontamination, embedding_dedup, license_scan, line_dedup, near_dup, packing, quality, salted, substring_dedup, toxicity, url_filter
 from ledgerloom.llm.queries import ORACLE, QUERIES, tokenizer_path
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,6 +77,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_rising_path(spark):
+    rounds = []
+    out = components.components(spark.range(1000).selectExpr("id a", "id + 1 b"), rounds=rounds)
+    assert out.where("component_id = 0").count() == out.count() == 1001
+    assert len(rounds) <= 12 and rounds[0] == 1000
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_salted_joins_equal_plain_ones(spark, n):
+    rows = spark.range(n * 1000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) k")
+    out = salted.with_facts(rows, ["k"], ["id"], [F.count("*").alias("n")], "n > 1")
+    assert sorted(map(tuple, out.groupBy("k", "n").count().collect())) == sorted((r["k"], r["n"], r["n"]) for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect())
+    table = spark.range(30).selectExpr("id k", "id * 2 v")
+    for how in ("inner", "left"):
+        got = salted.looked_up(rows, "k", ["id"], table, how)
+        assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, rows.join(table, "k", how).select("id", "k", "v").collect()))
+
+
 # 1
 
 
@@ -297,6 +315,7 @@ def brute_near(rows, shingle, percent):
         w = re.findall(SPACED, lower(t))
         sets.append((k, frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)] if w else [])))
     links = [(a, b) for (a, x), (b, y) in combinations(sets, 2) if x and y and 100 * len(x & y) >= percent * len(x | y)]
+    links += [(a[0], b[0]) for (a, b) in combinations(rows, 2) if a[0] == b[0]]
     return sets, grouped(links, {k for k, _ in rows})
 
 
@@ -318,6 +337,8 @@ def test_near_duplicates(spark, shingle, small_node):
             w[rng.randrange(100)] = f"n{rng.randrange(99)}"
         rows.append((1000 - k, " ".join(w)))
     rows += [(3000, "one"), (3001, "ONE"), (3002, rows[-1][1].upper()), (3003, None), (3000, "one")]
+    many = [" ".join(rng.choices([f"z{j}" for j in range(500)], k=30)) for _ in range(4)]  # chains over ids with two texts
+    rows += [(4003, many[0]), (4002, many[0]), (4002, many[1]), (4001, many[1]), (4005, many[2]), (4005, many[3]), (4004, many[3]), (4006, many[2])]
     sets, want = brute_near(rows, shingle, 80)
     out = near_dup.near_duplicates(documents(spark, [*rows, (None, "one")]), shingle=shingle, small_node=small_node).collect()
     assert len(out) == len(rows) + 1
