@@ -6,12 +6,14 @@ branch the members by them: a node is a path of chosen tokens, and its members
 agree on all of them. The trees' first nodes are chosen by three tokens. A node
 that isn't small branches further, by one or two tokens that its path selects:
 1 / threshold on average, so that a pair at the threshold is expected in as many
-nodes at each level as at the one before. Small nodes are compared exhaustively.
-
-In every node that isn't small, members are first held against one pivot, a new
-one at each level, so that a large group of near copies is joined in a number of
-comparisons that grows with the group, not with its square. What found links
-already join is not compared again. Only (node, member) rows move through the
+nodes at each level as at the one before.
+
+Members that found links join are one component, and only what is not joined yet
+is compared. A node is small if few of its members lie outside of its largest
+component: these are compared with all others. In other nodes, members are held
+against one pivot, a new one at each level, so that a large group of near copies
+is joined in a number of comparisons that grows with the group, not with its
+square; then the node branches. Only (node, member) rows move through the
 trees; tokens are fetched for members of nodes that branch. Every link is
 confirmed on the full sets.
 """
@@ -27,13 +29,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .blocks import SPACED, blocks, follow, mix, ragged, words
 from .components import components
 from .lineage import cut, drop
-from .salted import looked_up, salts_of, spread, with_facts
+from .salted import salt, salts_of, spread, with_facts
 
 TREES = 16
 POOL = 48
 ROOT_DEPTH = 3
 LAST_DEPTH = 12
-SMALL_NODE = 24
+SMALL_NODE = 64
 THRESHOLD = 0.8
 SHINGLE = 2
 
@@ -127,16 +129,27 @@ def _may_link(a: str, b: str, threshold: float) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (far <= BITS)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if a count finds them few; joined by a shuffle else, with the same result."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def texts_of(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the documents with these ids (a column id); the ids are broadcast if a count finds them few."""
+    """(id, text) of the documents with these ids (a column id)."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return texts.join(_few(ids), "id", "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """df without the rows that have one of these ids (a column of the same name); rows without id stay."""
+    return df.join(_few(cut(ids)), id_col, "left_anti")
 
 
 def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of the threshold or more, as a table; a may be one document of very many pairs."""
     pairs = cut(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs
     percent = round(100 * threshold)
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -156,7 +169,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shing
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     # the texts of a document with very many pairs go to several tasks
     left = spread(pairs.groupBy("a").agg(salts_of(["b"]).alias("mask")), "mask").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    met = right.withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int")).join(left, ["a", "__salt"])
+    met = right.withColumn("__salt", salt("b")).join(left, ["a", "__salt"])
     out = cut(met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
     drop(pairs, ids)
     return out
@@ -216,40 +229,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     before, rows = rows, rows.select("path", "id", "n", "s1", "s2")
     for depth in range(root_depth, last_depth + 1):
-        # nodes that hold two components or more; each with a new pivot
-        if "c" in rows.columns:
-            rows = rows.drop("c")
-        order = F.struct(F.xxhash64("id", F.lit(depth)).alias("turn"), "id", "n", "s1", "s2", "c")
-        facts = [F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("p")]
-        rows = cut(with_facts(_placed(rows, labels, "id", "c"), ["path"], ["id"], facts, "low < high"))
+        # nodes that hold two components or more
+        rows = cut(mixed_nodes(_placed(rows.select("path", "id", "n", "s1", "s2"), labels, "id", "c"), depth))
         drop(before)
         before = rows
-        small = rows.where(F.col("size") <= small_node) if depth < last_depth else rows
-        x, y = (_tiled(small, small_node, k) for k in (0, 1))
-        met = x.alias("x").join(y.alias("y"), ["path", "i", "j"])
-        met = met.where("(i < j or x.id < y.id) and x.c <> y.c").where(_may_link("x", "y", threshold)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        large = rows.where(F.col("size") > small_node)
-        stars = large.alias("r").where("c <> p.c").where(_may_link("r", "p", threshold)).select(F.col("p.id").alias("a"), F.col("r.id").alias("b"))
-        found = confirmed(met if depth == last_depth else met.union(stars), df, id_col, text_col, shingle, threshold)
-        labels = joined(labels, found)
+        small = F.col("minor") <= small_node
+        pairs = against_minor(rows.where(small), threshold)
+        if depth == last_depth:
+            pairs = pairs.union(in_tiles(rows.where(~small), small_node, threshold))
+        else:
+            stars = rows.where(~small).alias("r").where("c <> p.c").where(_may_link("r", "p", threshold))
+            pairs = pairs.union(stars.select(F.col("p.id").alias("a"), F.col("r.id").alias("b")))
+        found = confirmed(pairs, df, id_col, text_col, shingle, threshold)
+        if not found.isEmpty():
+            labels = joined(labels, found)
         drop(found)
+        large = rows.where(~small)
         if depth == last_depth or large.isEmpty():
             break
         rows = branches(large, members.select("id", "tokens"), depth, threshold, pool)
     drop(before, members)
 
     place = spread(_placed(classes, labels, "rep", "found"), "mask")
-    out = sketch.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("d1")).alias("d1"), "d2", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("__salt"))
+    out = sketch.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("d1")).alias("d1"), "d2", salt("id").alias("__salt"))
     out = out.join(place.select("d1", "d2", "__salt", "found"), ["d1", "d2", "__salt"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _tiled(rows: DataFrame, size: int, side: int) -> DataFrame:
-    """rows once for each pair of tiles (i <= j) of its node in which it is on this side; a small node is one tile."""
+def mixed_nodes(rows: DataFrame, depth: int) -> DataFrame:
+    """rows (path, id, n, s1, s2, c) of nodes with two components or more, with the node's ``size``, the component ``main`` with most members, the number of ``minor`` members outside of it, and a pivot ``p``, a new one at each depth."""
+    order = F.struct(F.xxhash64("id", F.lit(depth)).alias("turn"), "id", "n", "s1", "s2", "c")
+    by = rows.groupBy("path", "c").agg(F.count("*").alias("many"), F.min(order).alias("p"), salts_of(["id"]).alias("mask"))
+    nodes = by.groupBy("path").agg(F.sum("many").alias("size"), F.max(F.struct("many", "c")).alias("most"), F.min("p").alias("p"), F.bit_or("mask").alias("mask"), F.count("*").alias("components")).where("components > 1")
+    nodes = nodes.select("path", "size", F.col("most.c").alias("main"), (F.col("size") - F.col("most.many")).alias("minor"), "p", F.col("mask").alias("salts"), "mask")
+    return rows.withColumn("__salt", salt("id")).join(spread(nodes, "mask"), ["path", "__salt"])
+
+
+def _cross(x: DataFrame, y: DataFrame, on: list[str], also: str, threshold: float) -> DataFrame:
+    met = x.alias("x").join(y.alias("y"), on).where(f"x.c <> y.c and {also}").where(_may_link("x", "y", threshold))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def against_minor(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components in nodes with few minor members: each of these with every member of its node. Grows with the node, not with its square."""
+    side = ["path", "__salt", "id", "n", "s1", "s2", "c"]
+    minor = spread(rows.where("c <> main").drop("__salt"), "salts").select(*side)
+    return _cross(minor, rows.select(*side, "main"), ["path", "__salt"], "(y.c = y.main or x.id < y.id)", threshold)
+
+
+def in_tiles(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different components of each node, tile by tile, so that no task holds a node."""
     tiles = F.ceil(F.col("size") / size).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(3)), tiles).cast("int")
-    other = F.sequence(own, tiles - 1) if side == 0 else F.sequence(F.lit(0), own)
-    out = rows.select("path", "id", "n", "s1", "s2", "c", own.alias("own"), F.explode(other).alias("other"))
-    i, j = ("own", "other") if side == 0 else ("other", "own")
-    return out.select("path", "id", "n", "s1", "s2", "c", F.col(i).alias("i"), F.col(j).alias("j"))
+    sides = []
+    for k in (0, 1):
+        other = F.sequence(own, tiles - 1) if k == 0 else F.sequence(F.lit(0), own)
+        out = rows.select("path", "id", "n", "s1", "s2", "c", own.alias("own"), F.explode(other).alias("other"))
+        i, j = ("own", "other") if k == 0 else ("other", "own")
+        sides.append(out.select("path", "id", "n", "s1", "s2", "c", F.col(i).alias("i"), F.col(j).alias("j")))
+    return _cross(*sides, ["path", "i", "j"], "(i < j or x.id < y.id)", threshold)
