@@ -20,7 +20,7 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def _table(separators) -> np.ndarray:
+def separated_by(separators) -> np.ndarray:
     """Byte values plus one, A-Z as a-z, and 0 for each separator."""
     t = np.arange(1, 257, dtype=np.uint64)
     t[65:91] += np.uint64(32)
@@ -29,9 +29,9 @@ def _table(separators) -> np.ndarray:
 
 
 #: Words of letters, digits and everything beyond ASCII: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lower case.
-ALNUM = _table(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
+ALNUM = separated_by(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 #: Words between ASCII white space: [^\x20\x09-\x0D]+.
-SPACED = _table([32, *range(9, 14)])
+SPACED = separated_by([32, *range(9, 14)])
 
 #: The same words as bytes: text.translate(ALNUM_BYTES).split(b" ") without its empty strings.
 ALNUM_BYTES = bytes(int(x) - 1 if x else 32 for x in ALNUM)
