@@ -4,7 +4,9 @@ Every rolling k-gram hash of every text is joined to the templates' positions
 (a constant table, so it is broadcast). Hits vote for a diagonal, document
 position minus template position; neighbouring diagonals are merged, so that a
 dropped or added word doesn't part a notice; a merged span counts if it covers
-enough of its template and isn't much longer.
+enough of its template and isn't much longer. Of notices with different labels
+at one place, only the best covered count: "CC BY-NC 4.0" isn't "CC BY 4.0"
+with a word more.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .blocks import ALNUM, blocks, follow, word_hashes, words
+from .salted import looked_up
 
 K = 2
 COVERAGE = 0.8
@@ -99,7 +102,13 @@ def spans(df: DataFrame, phrases=PHRASES, notices=NOTICES, coverage: float = COV
     merged = merged.agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("covered"), F.min("start").alias("start"), F.max("end").alias("end"))
     share = F.col("covered") / F.col("grams")
     whole = F.when(F.col("base"), F.col("covered") == F.col("grams")).otherwise((share >= coverage) & (F.col("end") - F.col("start") <= F.col("size") + 2 * drift))
-    return merged.where(whole).select("key", "template", "label", "base", "start", "end", share.alias("coverage"))
+    found = merged.where(whole).select("key", "template", "label", "base", "start", "end", "covered", share.alias("coverage"))
+    # spans have at most this many words, so few others begin near enough to overlap
+    reach = max(sizes) + 2 * drift
+    near = W.partitionBy("key").orderBy("start").rangeBetween(-reach, reach)
+    others = F.collect_set(F.when(~F.col("base"), F.struct("coverage", "covered", "label", "start", "end"))).over(near)
+    better = F.exists("others", lambda o: (o["label"] != F.col("label")) & (o["start"] < F.col("end")) & (o["end"] > F.col("start")) & (F.struct(o["coverage"], o["covered"]) > F.struct("coverage", "covered")))
+    return found.withColumn("others", others).where(F.col("base") | ~better).select("key", "template", "label", "base", "start", "end", "coverage")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -116,5 +125,5 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settin
         F.sum(base.cast("long")).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("coverage").alias("score"),
     )
-    out = word_counts(docs).join(each, "key", "left")
+    out = looked_up(word_counts(docs), "key", ["doc_id"], each, "left")  # very many documents may have one text
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

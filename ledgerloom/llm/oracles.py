@@ -43,40 +43,40 @@ def url_verdicts() -> str:
 
 
 def license_labels() -> str:
-    """Votes of word pairs by template diagonal."""
-    both = [*license_scan.PHRASES, *license_scan.NOTICES]
-    pairs = ", ".join(f"({k}, {t}, '{a} {b}')" for k, (text, _) in enumerate(both) for t, (a, b) in enumerate(zip(text.split(), text.split()[1:])))
-    info = ", ".join(f"({k}, '{label}', {str(k < len(license_scan.PHRASES)).lower()}, {len(text.split()) - 1}, {len(text.split())})" for k, (text, label) in enumerate(both))
+    """Phrases by comparing words at each place; notices by the word pairs of a template that stand at places a word or two apart."""
+    same = lambda text: " AND ".join(f"w[p + {k}] = '{x}'" for k, x in enumerate(text.split()))
+    phrases = [f"SELECT doc_id, p - 1 AS p, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w) WHERE {same(text)}" for text, label in license_scan.PHRASES]
+    pairs = ", ".join(f"({k}, {t}, '{a} {b}')" for k, (text, _) in enumerate(license_scan.NOTICES) for t, (a, b) in enumerate(zip(text.split(), text.split()[1:])))
+    info = ", ".join(f"({k}, '{label}', {len(text.split()) - 1}, {len(text.split())})" for k, (text, label) in enumerate(license_scan.NOTICES))
     return rf"""
-        WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), pairs(template, t, x) AS (VALUES {pairs}), info(template, label, base, grams, size) AS (VALUES {info}),
+        WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), pairs(template, t, x) AS (VALUES {pairs}), info(template, label, grams, size) AS (VALUES {info}),
+        base AS ({" UNION ALL ".join(phrases)}),
         g AS (SELECT doc_id, p - 1 AS pos, w[p] || ' ' || w[p + 1] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM w)),
         hits AS (SELECT DISTINCT doc_id, template, t, pos, pos - t AS diagonal FROM g JOIN pairs USING (x)),
-        lanes AS (SELECT DISTINCT doc_id, template, diagonal FROM hits),
-        apart AS (SELECT l.*, base, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, l.template ORDER BY diagonal) AS step FROM lanes l JOIN info i ON l.template = i.template),
-        grouped AS (SELECT doc_id, template, diagonal, sum(CASE WHEN step IS NULL OR step > CASE WHEN base THEN 0 ELSE {license_scan.DRIFT} END THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM apart),
+        lanes AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS step FROM (SELECT DISTINCT doc_id, template, diagonal FROM hits)),
+        grouped AS (SELECT doc_id, template, diagonal, sum(CASE WHEN step IS NULL OR step > {license_scan.DRIFT} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM lanes),
         spans AS (SELECT h.doc_id, h.template, grp, count(DISTINCT t) AS covered, min(pos) AS start, max(pos) + 2 AS stop FROM hits h JOIN grouped USING (doc_id, template, diagonal) GROUP BY 1, 2, 3),
-        ok AS (SELECT doc_id, label, base, start, covered / grams AS share FROM spans JOIN info USING (template) WHERE CASE WHEN base THEN covered = grams ELSE covered / grams >= {license_scan.COVERAGE} AND stop - start <= size + {2 * license_scan.DRIFT} END),
-        found AS (SELECT doc_id, count_if(base) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word, string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM ok GROUP BY doc_id)
-        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM w LEFT JOIN found ON w.doc_id = found.doc_id"""
+        ok AS (SELECT doc_id, label, covered, start, stop, covered / grams AS share FROM spans JOIN info USING (template) WHERE covered / grams >= {license_scan.COVERAGE} AND stop - start <= size + {2 * license_scan.DRIFT}),
+        best AS (SELECT * FROM ok a WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.doc_id = a.doc_id AND b.label <> a.label AND b.start < a.stop AND b.stop > a.start AND (b.share > a.share OR b.share = a.share AND b.covered > a.covered))),
+        every AS (SELECT doc_id, label, share FROM best UNION ALL SELECT doc_id, label, 1 FROM base),
+        firsts AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+        found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM every GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+        FROM w LEFT JOIN firsts ON w.doc_id = firsts.doc_id LEFT JOIN found ON w.doc_id = found.doc_id"""
 
 
 def lines_kept() -> str:
-    """Winnowed line hashes, their first places, extension both ways and deletion."""
+    """By the definition: every line of a run of enough words that stands earlier goes. Runs of so many lines hold a shorter one about each line."""
     least = line_dedup.LEAST_WORDS
-    reach = lambda sign: f"SELECT id, n, fid, fn, coalesce(min(CASE WHEN same THEN NULL ELSE k END), {least + 1}) - 1 AS reach FROM (SELECT m.*, k, coalesce(x.h = y.h, false) AS same FROM met m CROSS JOIN range(1, {least + 1}) s(k) LEFT JOIN numbered x ON x.id = m.id AND x.n = m.n {sign} k LEFT JOIN numbered y ON y.id = m.fid AND y.n = m.fn {sign} k) GROUP BY 1, 2, 3, 4"
     return rf"""
         WITH raw AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
         cleaned AS (SELECT id, pos, trim(regexp_replace({_LOWER.format("line")}, '[ \t\r]+', ' ', 'g')) AS c FROM raw),
-        hashed AS (SELECT id, pos, CAST('0x' || substr(md5(c), 1, 15) AS BIGINT) AS h, length(c) - length(replace(c, ' ', '')) + 1 AS words FROM cleaned WHERE c <> ''),
-        numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS n, CAST(coalesce(sum(words) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM hashed),
-        windows AS (SELECT id, min(struct_pack(h := h, m := -n)) OVER w AS chosen, sum(words) OVER w AS total FROM numbered WINDOW w AS (PARTITION BY id ORDER BY before RANGE BETWEEN CURRENT ROW AND {least - 1} FOLLOWING)),
-        prints AS (SELECT numbered.* FROM numbered JOIN (SELECT DISTINCT id, -chosen.m AS n FROM windows WHERE total >= {least}) USING (id, n)),
-        first AS (SELECT h, min(struct_pack(id := id, n := n)) AS f FROM prints GROUP BY h HAVING count(*) > 1),
-        met AS (SELECT p.id, p.n, f.id AS fid, f.n AS fn FROM prints p JOIN first USING (h) WHERE NOT (p.id = f.id AND p.n = f.n)),
-        up AS ({reach("-")}), down AS ({reach("+")}),
-        marks AS (SELECT DISTINCT id, unnest(range(n - up.reach, n + down.reach + 1)) AS n FROM up JOIN down USING (id, n, fid, fn)),
-        islands AS (SELECT id, n, words, pos, n - row_number() OVER (PARTITION BY id ORDER BY n) AS island FROM marks JOIN numbered USING (id, n)),
-        gone AS (SELECT id, pos FROM (SELECT *, sum(words) OVER (PARTITION BY id, island) AS size FROM islands) WHERE size >= {least}),
+        numbered AS (SELECT id, pos, c, length(c) - length(replace(c, ' ', '')) + 1 AS words, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM cleaned WHERE c <> ''),
+        lists AS (SELECT id, list(c ORDER BY n) AS cs, list(words ORDER BY n) AS ws FROM numbered GROUP BY id),
+        runs AS (SELECT id, s, k, md5(array_to_string(cs[s:s + k - 1], chr(10))) AS x FROM (SELECT id, cs, ws, unnest(range(1, len(cs) + 1)) AS s FROM lists), range(1, {2 * least}) t(k) WHERE s + k - 1 <= len(cs) AND list_sum(ws[s:s + k - 1]) >= {least}),
+        first AS (SELECT x, min(struct_pack(id := id, s := s)) AS f FROM runs GROUP BY x HAVING count(*) > 1),
+        marks AS (SELECT DISTINCT id, unnest(range(s, s + k)) AS n FROM runs JOIN first USING (x) WHERE NOT (id = f.id AND s = f.s)),
+        gone AS (SELECT id, pos FROM marks JOIN numbered USING (id, n)),
         kept AS (SELECT raw.id, string_agg(line, chr(10) ORDER BY raw.pos) FILTER (gone.id IS NULL) AS text, count(gone.id) AS n FROM raw LEFT JOIN gone ON raw.id = gone.id AND raw.pos = gone.pos GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n_lines_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text FROM documents d LEFT JOIN kept ON d.doc_id = kept.id"""
 
