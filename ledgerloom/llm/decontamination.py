@@ -1,13 +1,16 @@
 """Benchmark decontamination by a generalised suffix automaton of the normalised test items.
 
-The automaton is built on the driver from blocks of items of bounded size, one
-broadcast for each block; a test set of any usual size is one block. Training
-texts stream through it where they lie, with no shuffle.
+The automaton is built on the driver from blocks of items of bounded size; a
+test set of up to a million words is one block. Each block is frozen into
+sorted arrays, some 80 bytes a word, and broadcast. Training texts stream
+through it where they lie, with no shuffle; with several blocks, the spans found
+so far are written between them, so that a task holds one block at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +20,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import ALNUM_BYTES
+from .lineage import cut, drop
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -27,30 +31,14 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(ALNUM_BYTES).split()
 
 
-class Automaton:
-    """All substrings of the items' word sequences; each state knows how long its strings are and whose they are."""
+class _Builder:
+    """All substrings of the items' word sequences, while items are added: a state's edges, suffix link and longest string."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.whole: dict[int, int] = {}  # state of an item shorter than the window: its length
-        owners: list[tuple[int, str]] = []
-        pairs = set()
-        for name, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            pairs.update(a << 32 | b for a, b in zip(ids, ids[1:]))
-            last = 0
-            for i in ids:
-                last = self._append(last, i)
-                owners.append((last, name))
-        #: Neighbouring words of items; a match of two words or more runs over these only.
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.shortest = min((min(len(w), window) for _, w in items if w), default=window)
-        self.mark(items, owners)
 
-    def _append(self, last: int, c: int) -> int:
+    def append(self, last: int, c: int) -> int:
         """The state of the item so far with c at its end."""
         nxt, link, length = self.next, self.link, self.length
         if (q := nxt[last].get(c)) is not None:
@@ -81,52 +69,87 @@ class Automaton:
             p = link[p]
         return copy
 
+
+class Automaton:
+    """The items' substrings as sorted arrays: edges by state and word, suffix links, lengths, and the items of each window's state."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        self.window = window
+        self.vocabulary: dict[bytes, int] = {}
+        #: Items without id mark words, but are not named.
+        self.names = sorted({name for name, _ in items if name is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        build, ends, pairs, short = _Builder(), [], set(), []
+        for name, words in items:
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+            pairs.update(a << 32 | b for a, b in zip(ids, ids[1:]))
+            last = 0
+            for i in ids:
+                last = build.append(last, i)
+                ends.append((last, number.get(name, -1)))
+            if 0 < len(ids) < window:
+                short.append((name, ids))
+        #: Neighbouring words of items; a match of two words or more runs over these only.
+        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.shortest = min((min(len(w), window) for _, w in items if w), default=window)
+        edges = sorted((s << 32 | c, t) for s, by in enumerate(build.next) for c, t in by.items())
+        self.edges, self.targets = array("q", [e for e, _ in edges]), array("i", [t for _, t in edges])
+        self.link, self.length = array("i", build.link), array("i", build.length)
+        # which items a window's state stands for: a state of an item's prefix has a window of it as its suffix
+        owned = {(self.up(s, window), k) for s, k in ends if self.length[s] >= window}
+        self.whole: dict[int, int] = {}  # state of an item shorter than the window: its length
+        for name, ids in short:
+            state = 0
+            for c in ids:
+                state = self.step(state, c)
+            state = self.up(state, len(ids))
+            owned.add((state, number.get(name, -1)))
+            self.whole[state] = len(ids)
+        owned = sorted((s, k) for s, k in owned if k >= 0)
+        self.owned, self.owners = array("i", [s for s, _ in owned]), array("i", [k for _, k in owned])
+
+    def step(self, state: int, c: int) -> int:
+        """The state after one word more, or -1."""
+        key = state << 32 | c
+        at = bisect_left(self.edges, key)
+        return self.targets[at] if at < len(self.edges) and self.edges[at] == key else -1
+
     def up(self, state: int, size: int) -> int:
         """The state of the suffix of that size."""
         while self.length[self.link[state]] >= size:
             state = self.link[state]
         return state
 
-    def mark(self, items: list[tuple[str, list[bytes]]], owners: list[tuple[int, str]]) -> None:
-        """Which items a window's state stands for."""
-        self.items: dict[int, set[str]] = {}
-        for state, name in owners:
-            if self.length[state] >= self.window:
-                # the state is that of a prefix of the item: its suffix of a window's size is a window of it
-                self.items.setdefault(self.up(state, self.window), set()).add(name)
-        for name, words in items:
-            if 0 < len(words) < self.window:
-                state = 0
-                for w in words:
-                    state = self.next[state][self.vocabulary[w]]
-                state = self.up(state, len(words))
-                self.items.setdefault(state, set()).add(name)
-                self.whole[state] = len(words)
+    def of(self, state: int) -> list[int]:
+        """The numbers of the items whose window the state is."""
+        return self.owners[bisect_left(self.owned, state) : bisect_right(self.owned, state)].tolist()
 
     def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged [start, end) spans of words in windows, and the items whose windows occur."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words], dtype=np.int64)
         hits: list[tuple[int, int]] = []
-        seen: set[str] = set()
+        states: set[int] = set()
         for a, b in self.runs(ids):
             state, size = 0, 0
             for i, c in enumerate(ids[a:b].tolist(), a):
-                while state and c not in self.next[state]:
+                after = self.step(state, c)
+                while state and after < 0:
                     state = self.link[state]
                     size = self.length[state]
-                if c in self.next[state]:
-                    state, size = self.next[state][c], size + 1
+                    after = self.step(state, c)
+                if after >= 0:
+                    state, size = after, size + 1
                 matched = 0
                 if size >= self.window:
                     matched = self.window
-                    seen |= self.items[self.up(state, self.window)]
+                    states.add(self.up(state, self.window))
                 if self.whole:
                     s = state
                     while s > 0:
                         if (n := self.whole.get(s)) and n <= size:
                             matched = max(matched, n)
-                            seen |= self.items[s]
+                            states.add(s)
                         s = self.link[s]
                 if matched:
                     start = i + 1 - matched
@@ -134,7 +157,7 @@ class Automaton:
                         while hits and hits[-1][1] >= start:
                             start = min(start, hits.pop()[0])
                     hits.append((start, i + 1))
-        return hits, seen
+        return hits, {self.names[k] for s in states for k in self.of(s)}
 
     def runs(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """Stretches that may hold a window: each pair of neighbours is one of some item, and there are enough."""
@@ -153,8 +176,8 @@ class Automaton:
                 yield a, b + more
 
 
-def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
-    """One broadcast automaton for each block of items; a block has about ``block_words`` words or one item.
+def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[tuple[int, Broadcast]]:
+    """(number of the blocks after it, broadcast automaton) for each block of items; a block has about ``block_words`` words or one item.
 
     The size of the test set is checked before any of it is fetched: from its
     characters follows the number of blocks, and one block at a time comes to
@@ -163,26 +186,31 @@ def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     many = max(1, -(-size // (5 * block_words)))
-    out = []
     for k in range(many):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(many)) == k)
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k)
         rows = [(r["item"], tokens(r["text"].encode())) for r in block.toLocalIterator()]
-        out.append(items.sparkSession.sparkContext.broadcast(Automaton([r for r in rows if r[1]], window)))
-    return out
+        yield many - 1 - k, items.sparkSession.sparkContext.broadcast(Automaton([r for r in rows if r[1]], window))
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row: id, text, n_words, spans (array of [start, end) word numbers, merged) and items (array, sorted).
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] = ()) -> DataFrame:
+    """Per row: id, text, n_words, spans (array of [start, end) word numbers, merged), items (array, sorted) and the kept columns.
 
     A span is a maximal stretch of words that lie in windows of ``window``
     consecutive words of some item; an item of fewer words is one window. Null
-    and empty texts have no words and no spans; null items have no windows; a
-    repeated row is judged like the first; an empty table gives an empty result.
+    and empty texts have no words and no spans; null items have no windows;
+    items without id mark words, but are not among ``items``; a repeated row is
+    judged like the first; an empty table gives an empty result.
     """
-    schema = "id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    kind = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    own = ["__id", "__text", "__n_words", "__spans", "__items"]
+    spans = "array<struct<start:long,end:long>>"
+    out = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(None).cast(spans).alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), *keep)
+    schema = out.schema
+    for name in own:
+        schema[name].nullable = True
 
     def step(handle: Broadcast):
+        kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = handle.value
             for batch in batches:
@@ -195,14 +223,19 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                         n.append(len(words))
                         spans.append([{"start": s, "end": e} for s, e in merged([*((x["start"], x["end"]) for x in had or ()), *found])])
                         items.append(sorted({*(names or ()), *seen}))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(spans, kind.field(3).type), pa.array(items, kind.field(4).type)], schema=kind)
+                    made = {"__n_words": pa.array(n, pa.int64()), "__spans": pa.array(spans, kinds[0]), "__items": pa.array(items, kinds[1])}
+                    yield pa.RecordBatch.from_pydict({f.name: part.column(i) for i, f in enumerate(part.schema)} | made)
 
         return run
 
-    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for handle in automata(benchmark, item_col, item_text_col, window, block_words):
+    before = None
+    for left, handle in automata(benchmark, item_col, item_text_col, window, block_words):
         out = out.mapInArrow(step(handle), schema)
-    return out
+        if left:
+            out = cut(out)
+            drop(before)
+            before = out
+    return out.withColumnsRenamed({c: c[2:] for c in own})
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,18 +254,21 @@ def n_hit() -> F.Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
 
 
+def contaminated() -> F.Column:
+    """The verdict on a row of :func:`contamination`: 5 % of its words or more are hit."""
+    return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
+
+
 def digest(found: DataFrame) -> DataFrame:
-    """The counts and the contamination verdict of each row of :func:`contamination`: 5 % of the words or more are hit."""
-    hit = found.withColumn("n_hit", n_hit())
-    return hit.select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    """The counts and the contamination verdict of each row of :func:`contamination`."""
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
 
 
-def remove_spans(found: DataFrame, least_words: int = WINDOW) -> DataFrame:
-    """(doc_id, text) with the words of every span of ``least_words`` or more taken out; the rest keeps its bytes."""
-    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def remove_spans(found: DataFrame, least_words: int = WINDOW, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, text, kept columns) with the words of every span of ``least_words`` or more taken out; the rest keeps its bytes."""
+    source = found.select("id", "text", "spans", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,9 +276,10 @@ def remove_spans(found: DataFrame, least_words: int = WINDOW) -> DataFrame:
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 long = [(x["start"], x["end"]) for x in spans or () if x["end"] - x["start"] >= least_words]
                 texts.append(text if text is None or not long else _without(text.encode(), long).decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=kind)
+            columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name != "spans"}
+            yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, batch.schema.field(1).type)})
 
-    return found.select("id", "text", "spans").mapInArrow(run, "doc_id long, text string")
+    return source.mapInArrow(run, source.drop("spans").schema).withColumnRenamed("id", "doc_id")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -254,8 +291,3 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(text[at : starts[s]])
         at = int(ends[e - 1])
     return b"".join([*out, text[at:]])
-
-
-def items_digest(names) -> str:
-    """The digest of item ids that :func:`digest` gives."""
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
