@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .blocks import ALNUM, SPACED, blocks, follow, mix, words
 from .lineage import cut
 
 BITS = 18
 SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 96 << 20
 SHARDS = 4
 EPOCHS = 3
 FOLDS = 5
@@ -83,26 +84,36 @@ class Ftrl:
 
 
 def fold(id_col: str = "doc_id", folds: int = FOLDS) -> F.Column:
-    """crc32 of the id as text, modulo the number of folds; fold 0 is held out."""
+    """crc32 of the id as text, modulo the number of folds; fold 0 is held out. A row without id is in no fold."""
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """(id, text, y) of at most ``rows`` labelled documents outside the held-out fold, those whose id's hash is smallest.
+def held_out(id_col: str = "doc_id") -> F.Column:
+    """Whether no label of the row may be learned; false for a row without id, which has no label."""
+    return F.coalesce(fold(id_col) == 0, F.lit(False))
 
-    The bound makes the sample's ids a table of proven size, so that they are
-    broadcast and no text is shuffled. Rows without id or label don't count;
-    an id with several labels has the greatest.
+
+def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, text, y), a table of at most ``rows`` labelled documents outside the held-out fold and ``most_bytes`` of text: those whose id's hash is smallest.
+
+    The bounds make the sample's ids a table of proven size, so that they are
+    broadcast and no text is shuffled but the sample's. Rows without id or
+    label don't count; an id with several labels has the greatest, an id with
+    several texts the one with the smallest hash.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     known = known.where(fold("id") != 0).groupBy("id").agg(F.max("y").alias("y"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    return texts.join(F.broadcast(chosen), "id")
+    fits = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(F.broadcast(chosen), "id")
+    one = cut(fits.groupBy("id", "y").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text")))
+    # at most ``rows`` short rows: one task adds up their sizes
+    upto = one.select("id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    return cut(one.join(F.broadcast(upto.where(F.col("upto") <= most_bytes).select("id")), "id").select("id", "text", "y"))
 
 
 def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
-    """The weights: ``shards`` learners take a share each of a sample of at most ``sample_rows`` rows, and their weights are averaged.
+    """The weights: ``shards`` learners take a share each of a sample of at most ``sample_rows`` rows and ``SAMPLE_BYTES`` of text, and their weights are averaged.
 
     Without labelled rows all weights are 0 and all scores 0.5.
     """
@@ -114,7 +125,7 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             data = np.frombuffer((text or "").encode(), dtype=np.uint8)
             at, _, n = features(data, np.array([0, len(data)]), bits)
             at, counts = np.unique(at, return_counts=True)
-            docs.append((np.append(at, 1 << bits), np.append(values(counts, n[0]), 1.0), y))
+            docs.append((np.append(at, 1 << bits).astype(np.int32), np.append(values(counts, n[0]), 1.0), y))
         rng = np.random.default_rng(0)
         for _ in range(epochs):
             for k in rng.permutation(len(docs)):

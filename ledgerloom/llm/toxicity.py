@@ -222,17 +222,17 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
 
     Without labelled rows of both kinds every score is 0.
     """
-    sample = cut(labelled_sample(df, labels, label_col, id_col, text_col, sample_rows))
+    sample = labelled_sample(df, labels, label_col, id_col, text_col, sample_rows)
     part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4))
     learn, check = sample.where(part != 0), sample.where(part == 0)
     marks = lexicon(learn)
-    train = dense(learn, marks, keep=["y"])
+    train = cut(dense(learn, marks, keep=["y"]).coalesce(4))  # some 200 bytes a row: the trees' many small jobs read no text again
     kinds = {r["y"] for r in learn.groupBy("y").count().collect()}
     if kinds != {0.0, 1.0}:
         return Toxicity(marks, None, None)
     trees = GBTClassifier(labelCol="y", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxMemoryInMB=64, cacheNodeIds=False).fit(train.select("y", array_to_vector("features").alias("features")))
     model = Toxicity(marks, trees, None)
-    held = model._own(dense(check, marks, keep=["y"]), "y")
+    held = cut(model._own(dense(check, marks, keep=["y"]), "y"))
     if {r["y"] for r in check.groupBy("y").count().collect()} == {0.0, 1.0}:
         model.calibration = IsotonicRegression(labelCol="y", featuresCol="own", isotonic=True).fit(held)
     return model
