@@ -28,16 +28,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs, shingle=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates stays: the one with the smallest id. Rows without id stay."""
+    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return near_dup.without_ids(docs, gone).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark windows in 5 % of their words or more go."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = decontamination.digest(found).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents with benchmark windows in 5 % of their words or more go; from the others, spans of a window's length or more are cut out."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["lang", "source"])
+    out = decontamination.remove_spans(found.where(~decontamination.contaminated()), keep=["lang", "source"])
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
