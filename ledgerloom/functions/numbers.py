@@ -45,6 +45,11 @@ def export_rate(rate: Column) -> Column:
     return F.when(rate == 0, F.lit("9")).otherwise(F.coalesce(plain, F.lit("")))
 
 
+def is_editable(text: Column) -> Column:
+    """What an amount may look like while it is typed: digits, one comma, one minus in front; also nothing."""
+    return text.rlike(r"^-?\d*(,\d*)?$")
+
+
 def csv_cell(value: Column) -> Column:
     """A cell for a semicolon CSV: quoted if it holds ; " CR or LF, quotes doubled."""
     return F.when(value.rlike('[;"\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)

@@ -123,3 +123,35 @@ def children(events: DataFrame, key: str = "doc_id") -> DataFrame:
 def holders(events: DataFrame, digest: str, key: str = "doc_id") -> DataFrame:
     """Documents with a file digest in any of their events."""
     return events.where(F.col("sha256_file") == digest).select(key).distinct()
+
+
+def child_events(splits: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, folder, status, sha256_file, file_origin) of the uploaded events that splits (doc_id, book, sha256_file, split_into) make.
+
+    A child has its book in its folder's name and its parent's digest with its
+    own id; one whose folder is known in the same book is left as it is.
+    """
+    each = splits.select("book", "sha256_file", F.col("doc_id").alias("parent"), F.explode("split_into").alias("doc_id"))
+    each = each.withColumn("folder", F.concat_ws("_", "book", F.col("doc_id").cast("string"))).join(known.select("folder").distinct(), "folder", "left_anti")
+    digest = F.concat(F.col("sha256_file"), F.lit("#"), F.col("doc_id").cast("string"))
+    origin = F.concat(F.col("parent").cast("string"), F.lit("__"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return each.select("doc_id", "folder", F.lit("uploaded").alias("status"), digest.alias("sha256_file"), origin.alias("file_origin"))
+
+
+def folder_of(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, book, folder) for wanted (doc_id, book): the first folder of the document, of that book if one is named."""
+    known = documents.select("doc_id", "folder")
+    met = wanted.join(known, "doc_id").where(F.col("book").isNull() | F.col("folder").startswith(F.concat("book", F.lit("_"))))
+    return met.groupBy("doc_id", "book").agg(F.min("folder").alias("folder"))
+
+
+def not_processed(files: DataFrame, status: DataFrame) -> DataFrame:
+    """files whose document has no status, or one that isn't done or terminal."""
+    closed = status.where(F.col("status").isin("done", *TERMINAL))
+    return files.join(closed.select("doc_id"), "doc_id", "left_anti")
+
+
+def shown_status(files: DataFrame, status: DataFrame) -> DataFrame:
+    """files with their last status as the screens show it; without any, pending."""
+    out = files.join(status.select("doc_id", "status"), "doc_id", "left")
+    return out.select(*files.columns, screen_status(F.col("status")).alias("shown"))

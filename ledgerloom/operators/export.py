@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import day_first
 from ..functions.identifiers import export_cell, file_key
 from ..functions.numbers import comma_amount, csv_cell, export_rate
+from .ordered import numbered
 from .parties import client, counterpart
 
 #: Fixed value: the export's header line.
@@ -37,13 +38,26 @@ def rows(invoices: DataFrame, lines: DataFrame) -> DataFrame:
 def files(invoices: DataFrame, day: str) -> DataFrame:
     """(file_nif, file_kind, client_name, invoices, sequence, file): one row per file, numbered by id and kind, binary order.
 
-    There are as many files as clients, so the numbering runs over the grouped
-    rows, not over invoices.
+    Files are numbered by ranges of ids, so that no task sees all of them.
     """
     name = F.min_by("client_name", F.when(F.coalesce("client_name", F.lit("")) != "", F.col("doc_id")))
     out = keyed(invoices).groupBy("file_nif", "file_kind").agg(F.coalesce(name, F.lit("")).alias("client_name"), F.count_distinct("doc_id").alias("invoices"))
-    n = F.row_number().over(W.orderBy("file_nif", "file_kind"))
-    return out.withColumn("sequence", n).withColumn("file", F.concat_ws("_", F.lit(day), "file_nif", F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string")), F.concat("file_kind", F.lit(".csv"))))
+    n = F.col("sequence")
+    number = F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    return numbered(out, "file_nif", "file_kind", name="sequence").withColumn("file", F.concat_ws("_", F.lit(day), "file_nif", number, F.concat("file_kind", F.lit(".csv"))))
+
+
+def bulk_rows(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_nif, file_kind, day, lines, digest): a file's rows in order, in parts by day, so that a file of any size is many rows.
+
+    A part holds one day's rows of a file; ``digest`` is of the row texts in
+    order, joined by line ends. Parts in the order of days are the file.
+    """
+    tagged = keyed(invoices).select("doc_id", "file_nif", "file_kind", F.coalesce("date", F.lit("")).alias("day"), F.coalesce("number", F.lit("")).alias("n"))
+    each = tagged.join(rows(invoices, lines), "doc_id")
+    body = F.sort_array(F.collect_list(F.struct("n", "doc_id", "line_index", "row")))
+    text = F.array_join(F.transform(body, lambda x: x["row"]), "\r\n")
+    return each.groupBy("file_nif", "file_kind", "day").agg(F.count("*").alias("lines"), F.sha2(F.concat(text, F.lit("\r\n")), 256).alias("digest"))
 
 
 def contents(invoices: DataFrame, lines: DataFrame) -> DataFrame:

@@ -46,3 +46,19 @@ def one_page_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, part, parts, child): a group for each page."""
     each = documents.where("n_pages >= 1").select("doc_id", "n_pages", F.explode(F.sequence(F.lit(1), "n_pages")).alias("part"))
     return each.select("doc_id", "part", F.col("n_pages").alias("parts"), F.concat(F.col("doc_id").cast("string"), F.lit("__"), F.col("part").cast("string"), F.lit("of"), F.col("n_pages").cast("string")).alias("child"))
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """rows with their number, from 1, in the order of text columns, the first one cut into ranges of four characters.
+
+    No task orders all rows: places are counted within a range, after the rows
+    of the ranges before it, of which there are few.
+    """
+    from pyspark.sql import Window as W
+
+    ranged = rows.withColumn("__range", F.substring(order[0], 1, 4))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # over one row for each range
+    counts = ranged.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    out = ranged.withColumn("__within", within).join(counts, "__range")
+    return out.withColumn(name, (F.col("__before") + F.col("__within")).cast("int")).drop("__range", "__within", "__before")

@@ -65,6 +65,33 @@ def merge_masters(disk: DataFrame, memory: DataFrame) -> DataFrame:
     )
 
 
+#: Decisions that register a client.
+REGISTERED = ("auto", "warn")
+
+
+def register(master: DataFrame, confirmations: DataFrame, today: str) -> DataFrame:
+    """The master after confirmations (nif, nombre, date, book, kind, decision, seq), as if they came in the order of seq.
+
+    Only the decisions auto and warn register, and only with an id. A client's
+    documents are counted, its latest date kept, and books and kinds added in
+    the order of their first confirmation; an empty name is filled in by the
+    first that isn't, a good one stays; a new client starts ``today``.
+    """
+    rows = confirmations.where(F.col("decision").isin(*REGISTERED)).withColumn("nif", F.upper(F.trim("nif"))).where("nif <> ''")
+    name = F.min_by(F.trim("nombre"), F.when(F.trim("nombre") != "", F.col("seq"))).alias("new_name")
+    # few books and kinds: their first places are found before the shuffle
+    firsts = lambda c: rows.where(F.coalesce(c, F.lit("")) != "").groupBy("nif", c).agg(F.min("seq").alias("s")).groupBy("nif").agg(F.transform(F.sort_array(F.collect_list(F.struct("s", F.col(c).alias("v")))), lambda x: x["v"]).alias(f"new_{c}"))
+    new = rows.groupBy("nif").agg(F.count("*").alias("n"), F.max(F.nullif(F.col("date"), F.lit(""))).alias("new_date"), name)
+    new = new.join(firsts("book"), "nif", "left").join(firsts("kind"), "nif", "left")
+    both = master.join(new, "nif", "full")
+    none = F.array().cast("array<string>")
+    sets = lambda old, add: F.array_union(F.coalesce(old, none), F.coalesce(add, none))
+    return both.select(
+        "nif", F.coalesce(F.nullif(F.trim("nombre"), F.lit("")), "new_name", F.lit("")).alias("nombre"), F.coalesce("fecha_alta", F.when(F.col("n").isNotNull(), F.lit(today))).alias("fecha_alta"),
+        (F.coalesce("documentos", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("documentos"), F.greatest("ultima", "new_date").alias("ultima"), sets("libros", "new_book").alias("libros"), sets("tipos", "new_kind").alias("tipos"),
+    )
+
+
 def master_by_upper(master: DataFrame) -> DataFrame:
     """Clients by upper-cased id: of case duplicates the one with most documents, the first on a tie."""
     keyed = master.where(F.array_contains("tipos", "cliente")).withColumn("key", F.upper(F.trim("nif"))).where("key <> ''")

@@ -56,3 +56,15 @@ def upload_summary(files: DataFrame) -> DataFrame:
     s = F.col("scan")
     n = F.coalesce("detected", F.lit(1))
     return files.agg(F.sum(n).alias("invoices"), F.count_if(~s.isin("failed", "skipped", "deferred")).alias("ok"), F.count_if(s == "failed").alias("blocked"), F.count_if(s.isin("skipped", "deferred")).alias("skipped"))
+
+
+def search(totals: DataFrame, text: str) -> DataFrame:
+    """Clients whose name or id contains the text, in any case."""
+    found = lambda c: F.lower(c).contains(text.lower())
+    return totals.where(found("name") | found("nif"))
+
+
+def split_confidence(parts: DataFrame, key: str, low: float = 0.1) -> DataFrame:
+    """(key, least, mean, any_low, tokens) of parts (key, confidence, tokens); parts without confidence don't count for it."""
+    c = F.col("confidence")
+    return parts.groupBy(key).agg(F.min(c).alias("least"), F.avg(c).cast("decimal(10,4)").alias("mean"), F.bool_or(c < low).alias("any_low"), F.sum("tokens").alias("tokens"))

@@ -45,31 +45,29 @@ def agg11_rejections(spark, sf):
     return events.rejections(log(spark, sf))
 
 
-@registry.add("scl57_confirmed", "SCL-57 SNK-13", "SELECT doc_id, arg_max(status, seq) = 'confirmed' OR coalesce(bool_or(status = 'done' AND action = 'confirmed'), false) AS confirmed FROM doc_events GROUP BY doc_id", E)
+@registry.add("scl57_confirmed", "SCL-57", "SELECT doc_id, arg_max(status, seq) = 'confirmed' OR coalesce(bool_or(status = 'done' AND action = 'confirmed'), false) AS confirmed FROM doc_events GROUP BY doc_id", E)
 def scl57_confirmed(spark, sf):
     return events.confirmed(log(spark, sf))
 
 
-@registry.add("flt01_listed", "FLT-01 FLT-02 FLT-21", f"SELECT doc_id, status, last_seq FROM ({LAST}) WHERE status NOT IN ('confirmed','cancelled','split')", E)
+@registry.add("flt01_listed", "FLT-01", f"SELECT doc_id, status, last_seq FROM ({LAST}) WHERE status NOT IN ('confirmed','cancelled','split')", E)
 def flt01_listed(spark, sf):
     return events.listed(events.last_status(log(spark, sf)))
 
 
-@registry.add("flt07_unfinished", "FLT-07 FLT-16 JOIN-06 STR-06", f"SELECT doc_id, status, last_seq FROM ({LAST}) WHERE status <> 'done' AND status NOT IN {CLOSED}", E)
+@registry.add("flt07_unfinished", "FLT-07 FLT-16", f"SELECT doc_id, status, last_seq FROM ({LAST}) WHERE status <> 'done' AND status NOT IN {CLOSED}", E)
 def flt07_unfinished(spark, sf):
     return events.unfinished(events.last_status(log(spark, sf)))
 
 
 @registry.add("join06_files_not_processed", "JOIN-06 FLT-12", f"SELECT doc_id, book FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ({LAST}) WHERE status = 'done' OR status IN {CLOSED})", ("docs", "doc_events"))
 def join06_files_not_processed(spark, sf):
-    closed = events.last_status(log(spark, sf)).where(F.col("status").isin("done", *events.TERMINAL))
-    return view(spark, sf, "docs").select("doc_id", "book").join(closed.select("doc_id"), "doc_id", "left_anti")
+    return events.not_processed(view(spark, sf, "docs").select("doc_id", "book"), events.last_status(log(spark, sf)))
 
 
-@registry.add("join05_files_with_status", "JOIN-05 JOIN-13 SRC-13 SCL-37", f"SELECT d.doc_id, d.book, CASE WHEN status IN ('done','renamed') THEN 'ok' WHEN status = 'review' THEN 'warn' WHEN status = 'blocked' THEN 'block' WHEN status IN ('error','pre_scan_failed') THEN 'error' WHEN status = 'confirmed' THEN 'confirmed' WHEN status = 'cancelled' THEN 'cancelled' ELSE 'pending' END AS shown FROM docs d LEFT JOIN ({LAST}) s ON d.doc_id = s.doc_id", ("docs", "doc_events"))
+@registry.add("join05_files_with_status", "JOIN-05 JOIN-13 SCL-37", f"SELECT d.doc_id, d.book, CASE WHEN status IN ('done','renamed') THEN 'ok' WHEN status = 'review' THEN 'warn' WHEN status = 'blocked' THEN 'block' WHEN status IN ('error','pre_scan_failed') THEN 'error' WHEN status = 'confirmed' THEN 'confirmed' WHEN status = 'cancelled' THEN 'cancelled' ELSE 'pending' END AS shown FROM docs d LEFT JOIN ({LAST}) s ON d.doc_id = s.doc_id", ("docs", "doc_events"))
 def join05_files_with_status(spark, sf):
-    files = view(spark, sf, "docs").select("doc_id", "book").join(events.last_status(log(spark, sf)), "doc_id", "left")
-    return files.select("doc_id", "book", events.screen_status(F.col("status")).alias("shown"))
+    return events.shown_status(view(spark, sf, "docs").select("doc_id", "book"), events.last_status(log(spark, sf)))
 
 
 @registry.add("join11_holders_of_digest", "JOIN-11 STR-04", "SELECT DISTINCT doc_id FROM doc_events WHERE sha256_file = 'sha42'", E)
@@ -77,34 +75,16 @@ def join11_holders_of_digest(spark, sf):
     return events.holders(log(spark, sf), "sha42")
 
 
-@registry.add("join12_split_children", "JOIN-12 AGG-21 STR-10 SCL-36", f"""
-    WITH last AS ({LAST}), parents AS (SELECT doc_id AS parent, unnest([doc_id + 1, doc_id + 2, doc_id + 100000]) AS child FROM (SELECT DISTINCT doc_id FROM doc_events WHERE decision = 'block'))
-    SELECT parent, child, status FROM parents JOIN last ON child = doc_id""", E)
-def join12_split_children(spark, sf):
-    base = log(spark, sf)
-    split = base.where("decision = 'block'").groupBy("doc_id").agg(F.max("seq").alias("seq"))
-    into = split.select("doc_id", "seq", F.lit("split").alias("status"), F.array(F.col("doc_id") + 1, F.col("doc_id") + 2, F.col("doc_id") + 100000).alias("split_into"))
-    # the split event is recorded beside the log of this view, so children keep their own last status
-    parents = into.select(F.col("doc_id").alias("parent"), F.explode("split_into").alias("child"))
-    return parents.join(events.last_status(base).select(F.col("doc_id").alias("child"), "status"), "child").select("parent", "child", "status")
-
-
 @registry.add("agg10_statistics", "AGG-10", "SELECT * FROM (SELECT count(*) AS documents, count_if(issuer_verdict = 'auto') AS n_auto, count_if(issuer_verdict = 'warn') AS n_warn, count_if(issuer_verdict = 'pendiente') AS n_pendiente, count_if(issuer_verdict = 'block') AS n_block FROM docs), (SELECT count_if(action = 'approve') AS approved, count_if(action = 'reject') AS rejected FROM doc_events)", ("docs", "doc_events"))
 def agg10_statistics(spark, sf):
     return events.statistics(view(spark, sf, "docs").withColumnRenamed("issuer_verdict", "verdict"), log(spark, sf))
 
 
-@registry.add("str12_latest_choice", "STR-12 JOIN-20", "SELECT doc_id, arg_max(action, seq) AS action, arg_max(book, seq) FILTER (book IS NOT NULL) AS book FROM doc_events WHERE action IN ('approve','reject') GROUP BY doc_id", E)
+@registry.add("str12_latest_choice", "STR-12", "SELECT doc_id, arg_max(action, seq) AS action, arg_max(book, seq) FILTER (book IS NOT NULL) AS book FROM doc_events WHERE action IN ('approve','reject') GROUP BY doc_id", E)
 def str12_latest_choice(spark, sf):
     return events.latest_choice(log(spark, sf))
 
 
-@registry.add("join10_folder_of_document", "JOIN-10 SRC-06", "SELECT doc_id, folder FROM finals WHERE doc_id = 77 AND folder LIKE 'compras%' UNION ALL SELECT doc_id, folder FROM finals WHERE doc_id = 78 AND folder LIKE 'ventas%'", ("finals",))
-def join10_folder_of_document(spark, sf):
-    f = view(spark, sf, "finals").select("doc_id", "folder")
-    return f.where((F.col("doc_id") == 77) & F.col("folder").startswith("compras")).union(f.where((F.col("doc_id") == 78) & F.col("folder").startswith("ventas")))
-
-
 @registry.add("scl_a2_status_of_verdict", "STR-01 SCL-37", "SELECT doc_id, CASE issuer_verdict WHEN 'auto' THEN 'done' WHEN 'warn' THEN 'review' WHEN 'pendiente' THEN 'review' WHEN 'block' THEN 'blocked' ELSE 'error' END AS status FROM docs", ("docs",))
 def scl_a2_status_of_verdict(spark, sf):
     return view(spark, sf, "docs").select("doc_id", events.status_of_verdict(F.col("issuer_verdict")).alias("status"))

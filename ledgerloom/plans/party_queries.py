@@ -40,7 +40,7 @@ def join15_roles(spark, sf):
     return view(spark, sf, "docs").select("doc_id", parties.client(b, F.col("issuer_nif"), F.col("receiver_nif")).alias("client_nif"), parties.counterpart(b, F.col("issuer_nif"), F.col("receiver_nif")).alias("counterpart_nif"), issuer.alias("issuer_kind"), receiver.alias("receiver_kind"))
 
 
-@registry.add("agg06_merged_master", "AGG-06 SET-04 SNK-10 STR-05", """
+@registry.add("agg06_merged_master", "AGG-06 SET-04", """
     WITH d AS (SELECT * FROM master WHERE documentos >= 4), m AS (SELECT nif, CASE WHEN pos % 2 = 0 THEN 'Mem ' || nombre ELSE '' END AS nombre, '2019-05-05' AS fecha_alta, documentos + (pos % 3) - 1 AS documentos, '2022-03-03' AS ultima, pos FROM master WHERE documentos < 12)
     SELECT coalesce(d.nif, m.nif) AS nif, coalesce(nullif(d.nombre, ''), nullif(m.nombre, ''), '') AS nombre, coalesce(d.fecha_alta, m.fecha_alta) AS fecha_alta, CAST(CASE WHEN d.documentos IS NULL THEN m.documentos WHEN m.documentos IS NULL THEN d.documentos ELSE greatest(d.documentos, m.documentos) END AS BIGINT) AS documentos,
       CASE WHEN m.nif IS NOT NULL AND d.ultima IS NOT NULL THEN greatest(d.ultima, m.ultima) ELSE coalesce(m.ultima, d.ultima) END AS ultima,
@@ -70,10 +70,10 @@ def agg07_client_cards(spark, sf):
     return rollups.client_cards(view(spark, sf, "finals"), master(spark, sf))
 
 
-@registry.add("flt10_client_search", "FLT-10", f"WITH {TOTALS} SELECT nif, name, documents FROM t WHERE lower(name) LIKE '%me 3%' OR lower(nif) LIKE '%b00%'", ("finals", "master"))
+@registry.add("flt10_client_search", "FLT-10", f"WITH {TOTALS} SELECT nif, name, documents FROM t WHERE lower(name) LIKE '%me 3%' OR lower(nif) LIKE '%me 3%'", ("finals", "master"))
 def flt10_client_search(spark, sf):
     t = rollups.client_totals(view(spark, sf, "finals"))
-    return t.where(F.lower("name").contains("me 3") | F.lower("nif").contains("b00")).select("nif", "name", "documents")
+    return rollups.search(t, "ME 3").select("nif", "name", "documents")
 
 
 @registry.add("flt09_client_history", "FLT-09 SRT-02", f"SELECT doc_id, folder, coalesce(operation_date, date, '') AS sort_date FROM finals WHERE {_NIF} = '00000017V'", ("finals",))
@@ -113,7 +113,7 @@ def hashed(spark, sf):
     return view(spark, sf, "finals").withColumn("fiscal_hash", fiscal_hash(F.col("hash_nif"), F.col("hash_number"), F.col("hash_date")))
 
 
-@registry.add("win03_duplicates", "WIN-03 JOIN-08 STR-03 SCL-32 SCL-33", f"WITH {HASHED}, a AS (SELECT *, fiscal_hash IS NOT NULL AND status NOT IN ('cancelled','error') AND NOT coalesce(rejected, false) AS active FROM h), f AS (SELECT fiscal_hash, min(finalized_seq) AS s, arg_min(folder, finalized_seq) AS first FROM a WHERE active GROUP BY 1) SELECT doc_id, a.fiscal_hash, CASE WHEN active AND finalized_seq > s THEN first END AS duplicate_of FROM a LEFT JOIN f ON a.fiscal_hash = f.fiscal_hash", ("finals",))
+@registry.add("win03_duplicates", "WIN-03 JOIN-08 SCL-32 SCL-33", f"WITH {HASHED}, a AS (SELECT *, fiscal_hash IS NOT NULL AND status NOT IN ('cancelled','error') AND NOT coalesce(rejected, false) AS active FROM h), f AS (SELECT fiscal_hash, min(finalized_seq) AS s, arg_min(folder, finalized_seq) AS first FROM a WHERE active GROUP BY 1) SELECT doc_id, a.fiscal_hash, CASE WHEN active AND finalized_seq > s THEN first END AS duplicate_of FROM a LEFT JOIN f ON a.fiscal_hash = f.fiscal_hash", ("finals",))
 def win03_duplicates(spark, sf):
     return duplicates.blocked_duplicates(hashed(spark, sf)).select("doc_id", "fiscal_hash", "duplicate_of")
 
@@ -193,12 +193,12 @@ def scl54_cross_checks(spark, sf):
 _W = ", ".join(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}" for f in assemble.ROUTES)
 
 
-@registry.add("flt04_wide_documents", "FLT-04 FLT-20", f"WITH {_FIELDS} SELECT doc_id, {_W} FROM r GROUP BY doc_id", ("docs",))
+@registry.add("flt04_wide_documents", "FLT-04", f"WITH {_FIELDS} SELECT doc_id, {_W} FROM r GROUP BY doc_id", ("docs",))
 def flt04_wide_documents(spark, sf):
     return assemble.wide(routed(spark, sf))
 
 
-@registry.add("join14_edited_fields", "JOIN-14 SCL-31 SNK-04 JOIN-22", f"WITH {_FIELDS}, n AS (SELECT doc_id, field, CASE WHEN field = 'numero_factura' THEN value || 'X' WHEN field = 'concepto' THEN NULL ELSE value END AS value FROM v UNION ALL SELECT doc_id, 'nota', 'x' FROM docs) SELECT n.doc_id, n.field, n.value, v.field IS NOT NULL AND n.value IS DISTINCT FROM v.value AS edited FROM n LEFT JOIN v ON n.doc_id = v.doc_id AND n.field = v.field", ("docs",))
+@registry.add("join14_edited_fields", "JOIN-14 SCL-31", f"WITH {_FIELDS}, n AS (SELECT doc_id, field, value AS before, CASE WHEN field = 'numero_factura' THEN value || 'X' WHEN field = 'concepto' THEN NULL ELSE value END AS value FROM v) SELECT doc_id, field, value, value IS DISTINCT FROM before AS edited FROM n UNION ALL SELECT doc_id, 'nota', 'x', false FROM docs", ("docs",))
 def join14_edited_fields(spark, sf):
     base = fields(spark, sf).select("doc_id", "field", "value")
     value = F.when(F.col("field") == "numero_factura", F.concat("value", F.lit("X"))).when(F.col("field") != "concepto", F.col("value"))
@@ -226,14 +226,14 @@ def snk06_export_rows(spark, sf):
     return export.rows(view(spark, sf, "docs"), lines(spark, sf))
 
 
-@registry.add("win06_export_files", "WIN-06 AGG-08 SCL-44 AGG-20", f"WITH {ROWS}, g AS (SELECT file_nif, file_kind, coalesce(arg_min(client_name, doc_id) FILTER (coalesce(client_name, '') <> ''), '') AS client_name, count(DISTINCT doc_id) AS invoices FROM k GROUP BY 1, 2), n AS (SELECT *, CAST(row_number() OVER (ORDER BY file_nif, file_kind) AS INT) AS sequence FROM g) SELECT *, '20260101_' || file_nif || '_' || CASE WHEN sequence < 10 THEN '0' || sequence ELSE left(CAST(sequence AS VARCHAR), 2) END || '_' || file_kind || '.csv' AS file FROM n", DL)
+@registry.add("win06_export_files", "WIN-06 AGG-08 SCL-44 AGG-20", f"WITH {ROWS}, g AS (SELECT file_nif, file_kind, coalesce(arg_min(client_name, doc_id) FILTER (coalesce(client_name, '') <> ''), '') AS client_name, count(DISTINCT doc_id) AS invoices FROM k GROUP BY 1, 2), n AS (SELECT *, CAST(row_number() OVER (ORDER BY file_nif, file_kind) AS INT) AS sequence FROM g) SELECT *, '20260101_' || file_nif || '_' || CASE WHEN sequence < 10 THEN '0' || sequence ELSE CAST(sequence AS VARCHAR) END || '_' || file_kind || '.csv' AS file FROM n", DL)
 def win06_export_files(spark, sf):
     return export.files(view(spark, sf, "docs"), "20260101")
 
 
-@registry.add("snk05_export_contents", "SNK-05 SNK-07", f"WITH {ROWS} SELECT file_nif, file_kind, sha256(chr(65279) || '{export.HEADER}' || chr(13) || chr(10) || coalesce(string_agg(row, chr(13) || chr(10) ORDER BY date, number, k.doc_id, line_index) || chr(13) || chr(10), '')) AS digest FROM k LEFT JOIN rows ON k.doc_id = rows.doc_id GROUP BY 1, 2", DL)
+@registry.add("snk05_export_contents", "SNK-05", f"WITH {ROWS} SELECT file_nif, file_kind, coalesce(date, '') AS day, count(*) AS lines, sha256(string_agg(row, chr(13) || chr(10) ORDER BY number, k.doc_id, line_index) || chr(13) || chr(10)) AS digest FROM k JOIN rows ON k.doc_id = rows.doc_id GROUP BY 1, 2, 3", DL)
 def snk05_export_contents(spark, sf):
-    return export.contents(view(spark, sf, "docs"), lines(spark, sf)).select("file_nif", "file_kind", F.sha2("content", 256).alias("digest"))
+    return export.bulk_rows(view(spark, sf, "docs"), lines(spark, sf))
 
 
 @registry.add("agg09_export_warnings", "AGG-09 FLT-17", f"WITH {ROWS}, w AS (SELECT k.*, h.doc_id IS NOT NULL AS has FROM k LEFT JOIN (SELECT DISTINCT doc_id FROM l) h ON k.doc_id = h.doc_id) SELECT count_if(coalesce(account, '') = '') AS no_account, count(DISTINCT CASE WHEN coalesce(account, '') = '' THEN file_nif || file_kind END) AS no_account_files, count_if(coalesce(date, '') = '' OR coalesce(number, '') = '') AS no_date_or_number, count(DISTINCT CASE WHEN coalesce(date, '') = '' OR coalesce(number, '') = '' THEN file_nif || file_kind END) AS no_date_or_number_files, count_if(NOT has) AS no_lines, count(DISTINCT CASE WHEN NOT has THEN file_nif || file_kind END) AS no_lines_files FROM w", DL)

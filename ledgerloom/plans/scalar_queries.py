@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import dates, identifiers, numbers, texts
-from ..operators import events, ordered
-from ..operators.export import ledger_lines
+from ..operators import events, ordered, rollups
 from ..sources import dimensions, readers, sinks
 from ..streaming import status
-from .party_queries import lines
 from .views import registry, view
 
 D = ("docs",)
@@ -84,7 +81,7 @@ def scl33_60_digests(spark, sf):
     number = F.concat(F.lit("N"), F.col("doc_id").cast("string"))
     return view(spark, sf, "docs").select("doc_id", texts.fiscal_hash(F.col("issuer_nif"), number, F.col("date")).alias("fiscal_hash"), F.concat(F.sha2(number, 256), F.lit("#"), F.col("doc_id").cast("string")).alias("part_digest"))
 
-@registry.add("scl42_43_export_cells", "SCL-42 SCL-43 SNK-15 SNK-08", r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '9' WHEN doc_id % 5 = 1 THEN '5.5' ELSE CAST(doc_id % 5 AS VARCHAR) END AS rate, upper(regexp_replace(regexp_replace(trim('´' || issuer_nif), '^[^A-Za-z0-9]+', ''), '\s+', '', 'g')) AS cell,
+@registry.add("scl42_43_export_cells", "SCL-42 SCL-43 SNK-15", r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '9' WHEN doc_id % 5 = 1 THEN '5.5' ELSE CAST(doc_id % 5 AS VARCHAR) END AS rate, upper(regexp_replace(regexp_replace(trim('´' || issuer_nif), '^[^A-Za-z0-9]+', ''), '\s+', '', 'g')) AS cell,
     CASE WHEN doc_id % 4 = 0 THEN 'SIN_CLIENTE' ELSE issuer_nif END AS file_key, CASE WHEN doc_id % 3 = 0 THEN '"a;""' || doc_id || '"' WHEN doc_id % 3 = 1 THEN '"r' || chr(13) || '"' ELSE 'plain' END AS quoted, CASE WHEN doc_id % 3 = 0 THEN '"a;""' || doc_id || '"' WHEN doc_id % 3 = 1 THEN 'r' || chr(13) ELSE 'plain' END AS quoted_lf FROM docs""", D)
 def scl42_43_export_cells(spark, sf):
     k, i = F.col("doc_id"), F.col("issuer_nif")
@@ -127,21 +124,21 @@ def flt15_document_validity(spark, sf):
     fields = {"nombre": cell(F.col("issuer_name"), F.lit(0.9)), "total": cell(F.col("total_raw"), F.when(F.col("doc_id") % 10 == 0, 0.1).otherwise(0.9))}
     return view(spark, sf, "docs").select("doc_id", F.array_join(readers.valid_document(fields, 0.5), "; ").alias("reasons"), readers.cell_confidence(F.col("issuer_name")).alias("confidence"))
 
-@registry.add("flt18_editable_numbers", "FLT-18 FLT-06", r"SELECT page_id, regexp_full_match(split_part(url, '/', 4), '-?[0-9]*(,[0-9]*)?') AS editable, lower(regexp_extract(url, '\.([^./]+)$', 1)) IN ('html','pdf') AS listed FROM pages")
+@registry.add("flt18_editable_numbers", "FLT-18", r"SELECT page_id, regexp_full_match(split_part(url, '/', 4), '-?[0-9]*(,[0-9]*)?') AS editable FROM pages")
 def flt18_editable_numbers(spark, sf):
     part = F.split_part(F.col("url"), F.lit("/"), F.lit(4))
-    return table(spark, sf, "pages").select("page_id", part.rlike(r"^-?\d*(,\d*)?$").alias("editable"), F.lower(F.regexp_extract("url", r"\.([^./]+)$", 1)).isin("html", "pdf").alias("listed"))
+    return table(spark, sf, "pages").select("page_id", numbers.is_editable(part).alias("editable"))
 
-@registry.add("src01_files_by_extension", "SRC-01 SRC-02 SRC-15 SRT-03 SRT-04", r"SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '\.([^./]+)$', 1)) IN ('html')")
+@registry.add("src01_files_by_extension", "SRC-01", r"SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '\.([^./]+)$', 1)) IN ('html')")
 def src01_files_by_extension(spark, sf):
     return readers.with_extension(table(spark, sf, "pages").select("page_id", "url"), "url", ("html",)).orderBy("url", "page_id")
 
-@registry.add("src09_whitelist", "SRC-09 SRC-17", "SELECT * FROM (VALUES ('compras','600'),('compras','601'),('compras','602'),('ventas','700'),('ventas','705')) t(book_key, code)")
+@registry.add("src09_whitelist", "SRC-09", "SELECT * FROM (VALUES ('compras','600'),('compras','601'),('compras','602'),('ventas','700'),('ventas','705')) t(book_key, code)")
 def src09_whitelist(spark, sf):
     text = '# accounts\ncompras:\n  - "600"; "601"\n  - "602" # one more\n\nventas:\n  - "700";"705"'
     return dimensions.whitelist(spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no int, value string"))
 
-@registry.add("set01_02_ordered_union", "SET-01 SET-02 SET-07 SNK-12 SRC-22", "WITH u AS (SELECT doc_id, 0 AS t, min(seq) AS p FROM doc_events WHERE status = 'uploaded' GROUP BY 1 UNION ALL SELECT doc_id, 1, min(seq) FROM doc_events WHERE status = 'review' GROUP BY 1) SELECT doc_id, t AS source, p AS pos FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t, p) = 1", ("doc_events",))
+@registry.add("set01_02_ordered_union", "SET-01 SET-02 SET-07", "WITH u AS (SELECT doc_id, 0 AS t, min(seq) AS p FROM doc_events WHERE status = 'uploaded' GROUP BY 1 UNION ALL SELECT doc_id, 1, min(seq) FROM doc_events WHERE status = 'review' GROUP BY 1) SELECT doc_id, t AS source, p AS pos FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t, p) = 1", ("doc_events",))
 def set01_02_ordered_union(spark, sf):
     e = view(spark, sf, "doc_events")
     some = lambda s: e.where(F.col("status") == s).select("doc_id", F.col("seq").alias("pos"))
@@ -152,7 +149,7 @@ def set03_ordered_difference(spark, sf):
     e = view(spark, sf, "doc_events")
     return ordered.without(e.where("status = 'review'").select("doc_id", "seq"), e.where("status = 'retrying'"))
 
-@registry.add("set05_last_wins", "SET-05 SET-08 JOIN-21", "WITH u AS (SELECT doc_id, 0 AS t, issuer_name AS v FROM docs UNION ALL SELECT doc_id, 1, 'final' FROM finals WHERE rejected) SELECT doc_id, v AS name FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t DESC) = 1", ("docs", "finals"))
+@registry.add("set05_last_wins", "SET-05 JOIN-21", "WITH u AS (SELECT doc_id, 0 AS t, issuer_name AS v FROM docs UNION ALL SELECT doc_id, 1, 'final' FROM finals WHERE rejected) SELECT doc_id, v AS name FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t DESC) = 1", ("docs", "finals"))
 def set05_last_wins(spark, sf):
     later = view(spark, sf, "finals").where("rejected").select("doc_id", F.lit("final").alias("name"))
     return ordered.last_wins(view(spark, sf, "docs").select("doc_id", F.col("issuer_name").alias("name")), later, key="doc_id", value="name")
@@ -169,8 +166,7 @@ def set06_page_cover(spark, sf):
 @registry.add("agg13_split_confidence", "AGG-13 AGG-23", "SELECT book, min(c) AS least, CAST(avg(c) AS DECIMAL(10,4)) AS mean, bool_or(c < 0.1) AS any_low, CAST(sum(doc_id % 7) AS BIGINT) AS tokens FROM (SELECT book, doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE CAST((doc_id % 100) * 0.01 AS DECIMAL(5,4)) END AS c FROM docs) GROUP BY book", D)
 def agg13_split_confidence(spark, sf):
     c = F.when(F.col("doc_id") % 6 != 0, (F.col("doc_id") % 100 * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(5,4)"))
-    rows = view(spark, sf, "docs").select("book", c.alias("c"), (F.col("doc_id") % 7).alias("t"))
-    return rows.groupBy("book").agg(F.min("c").alias("least"), F.avg("c").cast("decimal(10,4)").alias("mean"), F.bool_or(F.col("c") < 0.1).alias("any_low"), F.sum("t").alias("tokens"))
+    return rollups.split_confidence(view(spark, sf, "docs").select("book", c.alias("confidence"), (F.col("doc_id") % 7).alias("tokens")), "book")
 
 @registry.add("join19_refreshed_order", "JOIN-19", "WITH b AS (SELECT doc_id, min(seq) AS old FROM doc_events WHERE status = 'review' GROUP BY 1), n AS (SELECT doc_id, max(seq) AS pos FROM doc_events GROUP BY 1) SELECT n.doc_id, old IS NULL AS is_new, coalesce(old, pos) AS place FROM n LEFT JOIN b ON n.doc_id = b.doc_id", ("doc_events",))
 def join19_refreshed_order(spark, sf):
@@ -185,13 +181,7 @@ def snk02_critical_fields(spark, sf):
     rows = view(spark, sf, "docs").select("doc_id", F.explode(F.array(row("nif_entidad", F.col("issuer_nif"), F.col("issuer_verdict")), row("total_euros", F.col("total_raw"), F.lit("auto")))).alias("x")).select("doc_id", "x.*")
     return sinks.critical_fields(rows)
 
-@registry.add("snk07_ledger_csv", "SNK-07 SNK-14", "SELECT l_orderkey AS doc_id, count(*) AS lines FROM lineitem GROUP BY 1")
-def snk07_ledger_csv(spark, sf):
-    csv = sinks.base64_csv(ledger_lines(lines(spark, sf)))
-    text = F.decode(F.unbase64("csv"), "UTF-8")
-    return csv.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("lines"))
-
-@registry.add("str01_stream_last_status", "STR-01 STR-06 STR-11", "SELECT doc_id, arg_max(status, seq) AS status, max(seq) AS last_seq FROM doc_events GROUP BY doc_id", ("doc_events",))
+@registry.add("str01_stream_last_status", "STR-01 STR-11", "SELECT doc_id, arg_max(status, seq) AS status, max(seq) AS last_seq FROM doc_events GROUP BY doc_id", ("doc_events",))
 def str01_stream_last_status(spark, sf):
     return _drained(spark, sf, status.current_status, "complete")
 
@@ -199,28 +189,6 @@ def str01_stream_last_status(spark, sf):
 def str02_stream_violations(spark, sf):
     return _drained(spark, sf, status.violations, "append")
 
-#: Files in one trigger of a drained stream.
-FILES = 100
-
 def _drained(spark, sf, operator, mode):
-    """The operator over the event log as a stream, run to its end, as a table in the warehouse folder.
-
-    Ranges of seq arrive one after the other, each in one trigger, however many partitions the log has.
-    """
     root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams/{uuid.uuid4().hex}"
-    log = view(spark, sf, "doc_events").select("doc_id", "seq", "status")
-    n = -(-log.rdd.getNumPartitions() // FILES)
-    bounds = log.approxQuantile("seq", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    part = sum((F.coalesce((F.col("seq") >= b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
-    log.withColumn("part", part).write.partitionBy("part").parquet(f"{root}/log")
-    ranges = spark.read.schema("doc_id long, seq long, status string, part int").parquet(f"{root}/log")
-
-    def save(batch, n):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
-
-    for k in range(n):
-        ranges.where(F.col("part") == k).drop("part").coalesce(FILES).write.mode("append").parquet(f"{root}/in")
-        stream = operator(status.read_events(spark, f"{root}/in", "doc_id long, seq long, status string", FILES))
-        writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-        writer.start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return status.drained(view(spark, sf, "doc_events").select("doc_id", "seq", "status"), "seq", operator, mode, root)

@@ -18,6 +18,73 @@ def with_extension(files: DataFrame, column: str = "path", extensions=EXTENSIONS
     return files.where(F.lower(F.regexp_extract(column, r"\.([^./]+)$", 1)).isin(list(extensions)))
 
 
+#: Extensions of uploads, and the artifacts that may be asked for by name.
+INVOICE_EXTENSIONS = (".pdf", ".jpg", ".jpeg", ".png", ".tiff", ".tif", ".webp", ".bmp")
+ARTIFACTS = ("raw_document_ai", "documento_extraido", "resultado_identidad_cabecera", "resultado_fiscal", "resultado_semantica", "resultado_cliente", "resultado_validacion")
+
+
+def name_parts(path: Column) -> tuple[Column, Column, Column]:
+    """Base name, stem and lower-case extension with its point; a name's leading points begin no extension."""
+    base = F.substring_index(path, "/", -1)
+    end = F.regexp_extract(base, r"^\.*[^.].*(\.[^.]*)$", 1)
+    return base, F.left(base, F.length(base) - F.length(end)), F.lower(end)
+
+
+def upload_errors(files: DataFrame, column: str = "name") -> DataFrame:
+    """files with ``error``: extension, name (empty, hidden or with two points in a row), or null if the upload is fine."""
+    base, _, end = name_parts(F.col(column))
+    return files.withColumn("error", F.when(~end.isin(*INVOICE_EXTENSIONS), "extension").when((base == "") | base.startswith(".") | base.contains(".."), "name"))
+
+
+def entry_folders(files: DataFrame, column: str = "path") -> DataFrame:
+    """(folder): names of the folders in files that hold a state sidecar, in order."""
+    side = files.where(F.substring_index(column, "/", -1) == ".state.json")
+    return side.select(F.element_at(F.split(column, "/"), -2).alias("folder")).distinct().orderBy("folder")
+
+
+def artifact(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """requests (doc_id, name) with ``state``: refused for names not on the list, absent, corrupt or ok. artifacts (doc_id, name, corrupt)."""
+    known = artifacts.groupBy("doc_id", "name").agg(F.max("corrupt").alias("corrupt"))
+    state = F.when(~F.col("name").isin(*ARTIFACTS), "refused").when(F.col("corrupt").isNull(), "absent").when(F.col("corrupt"), "corrupt").otherwise("ok")
+    return requests.join(known, ["doc_id", "name"], "left").withColumn("state", state).drop("corrupt")
+
+
+def inbox_listing(files: DataFrame, status: DataFrame) -> DataFrame:
+    """(book, name, size_kb, added, status, folder) of inbox files (book, name, size, added) by book and time; status (doc_id text, status, folder) by the file's stem, in whatever book."""
+    stem = name_parts(F.col("name"))[1]
+    out = files.withColumn("doc_id", stem).join(status, "doc_id", "left")
+    return out.select("book", "name", F.round(F.col("size") / 1024, 1).alias("size_kb"), "added", "status", "folder").orderBy("book", "added", "name")
+
+
+def original_file(documents: DataFrame, origins: DataFrame, inbox: DataFrame) -> DataFrame:
+    """(doc_id, name, found): the file of each document (doc_id text, folder), or null.
+
+    In order: the origin of its first event (origins: doc_id, name) if it is in
+    the inbox (book, name); the inbox file of its book with its id as stem; one
+    that has the id anywhere in its name. Of several, the first by name. The
+    last is an equi-join too: names are cut into all parts as long as some id.
+    """
+    files = inbox.where(name_parts(F.col("name"))[2].isin(*INVOICE_EXTENSIONS)).select("book", "name")
+    book = F.substring_index("folder", "_", 1)
+    docs = documents.select("doc_id", book.alias("book"))
+    first = docs.select("doc_id").join(origins, "doc_id").join(inbox.select("name").distinct(), "name").select("doc_id", F.lit(0).alias("rank"), "name")
+    stems = files.select("book", name_parts(F.col("name"))[1].alias("doc_id"), "name")
+    exact = docs.join(stems, ["book", "doc_id"]).select("doc_id", F.lit(1).alias("rank"), "name")
+    sizes = documents.select(F.length("doc_id").alias("n")).distinct()  # a few lengths
+    parts = files.join(F.broadcast(sizes), F.length("name") >= F.col("n")).select("book", "name", "n", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)).alias("i"))
+    parts = parts.select("book", F.substring(F.col("name"), F.col("i"), F.col("n")).alias("doc_id"), "name").distinct()
+    loose = docs.join(parts, ["book", "doc_id"]).select("doc_id", F.lit(2).alias("rank"), "name")
+    best = first.union(exact).union(loose).groupBy("doc_id").agg(F.min(F.struct("rank", "name")).alias("f"))
+    how = F.when(F.col("f.rank") == 0, "origin").when(F.col("f.rank") == 1, "stem").when(F.col("f.rank") == 2, "part")
+    return documents.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.col("f.name").alias("name"), how.alias("found"))
+
+
+def setting_list(text: Column, separator: str = ",", upper: bool = False) -> Column:
+    """A setting's values: trimmed, empty ones dropped, each once, in order."""
+    each = F.transform(F.split(text, "[" + separator + "]"), lambda x: F.upper(F.trim(x)) if upper else F.trim(x))
+    return F.array_distinct(F.filter(each, lambda x: x != ""))
+
+
 def artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON artifacts with ``corrupt``: whether a record couldn't be read. Corrupt and absent differ, so nothing is dropped."""
     df = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)

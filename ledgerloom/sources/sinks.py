@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.numbers import csv_cell_lf
+from ..operators.ordered import first_wins
 
 CRITICAL = ("nif_entidad", "nombre_entidad", "numero_factura", "fecha_expedicion", "total_euros", "nif_receptor", "nombre_receptor", "concepto", "cuenta_contable", "nif_cliente")
 
@@ -24,17 +27,69 @@ def append_json(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def history_csv(rows: DataFrame, path: str) -> None:
-    """A client's history as semicolon CSV with a header."""
-    rows.write.mode("overwrite").option("sep", ";").option("header", True).option("escape", '"').csv(path)
+#: The header lines of a ledger file and of a client's history.
+LEDGER_HEADER = "cuenta;concepto;debe;haber;tipo_iva;base_imponible"
+HISTORY = ("doc_id", "numero_factura", "libro", "fecha_operacion", "fecha_expedicion", "total_euros", "concepto", "cuenta_contable", "decision_global", "contraparte_nif", "contraparte_nombre")
+
+
+def ledger_csv(lines: DataFrame) -> DataFrame:
+    """(doc_id, csv): a document's ledger lines (line_index, cuenta, concepto, debe, haber, tipo_iva, base_imponible) as text; amounts with two decimals."""
+    two = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,2)").cast("string")
+    row = F.concat_ws(";", F.coalesce("cuenta", F.lit("")), F.coalesce("concepto", F.lit("")), two("debe"), two("haber"), F.coalesce(F.col("tipo_iva").cast("string"), F.lit("")), two("base_imponible"))
+    body = F.sort_array(F.collect_list(F.struct("line_index", row.alias("row"))))  # one document's lines
+    return lines.groupBy("doc_id").agg(F.concat(F.lit(LEDGER_HEADER + "\n"), F.array_join(F.transform(body, lambda x: x["row"]), "\n"), F.lit("\n")).alias("csv"))
+
+
+def base64_csv(lines: DataFrame) -> DataFrame:
+    """(doc_id, csv): :func:`ledger_csv` in base64."""
+    return ledger_csv(lines).select("doc_id", F.base64(F.encode("csv", "UTF-8")).alias("csv"))
+
+
+def final_records(documents: DataFrame, fields: DataFrame, csv: DataFrame) -> DataFrame:
+    """(doc_id, libro, origen_decision, campos, n_edited, csv_filename, hash_csv) of confirmed documents (doc_id, libro, decision).
+
+    fields (doc_id, field, value, edited) become one sorted array; csv is
+    :func:`ledger_csv`. Without an assembled verdict nothing counts as edited.
+    """
+    each = fields.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("field", "value", "edited"))).alias("campos"))
+    out = documents.join(each, "doc_id").join(csv, "doc_id")
+    known = F.col("decision").isNotNull()
+    fields_out = F.transform("campos", lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), (x["edited"] & known).alias("edited")))
+    return out.select(
+        "doc_id", "libro", F.col("decision").alias("origen_decision"), fields_out.alias("campos"), F.size(F.filter(fields_out, lambda x: x["edited"])).cast("long").alias("n_edited"),
+        F.concat(F.lit("asiento_"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("csv_filename"), F.concat(F.lit("sha256:"), F.sha2("csv", 256)).alias("hash_csv"),
+    )
+
+
+def split_manifests(splits: DataFrame) -> DataFrame:
+    """(origen_pdf, origen_sha256, n_facturas, facturas) of splits (name, sha256, children)."""
+    return splits.select(F.col("name").alias("origen_pdf"), F.col("sha256").alias("origen_sha256"), F.size("children").cast("long").alias("n_facturas"), F.col("children").alias("facturas"))
+
+
+def history_rows(rows: DataFrame) -> DataFrame:
+    """(nif, doc_id, row): a client's history as lines of text, in the columns of HISTORY; null is empty."""
+    cells = [csv_cell_lf(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in HISTORY]
+    return rows.select("nif", "doc_id", F.concat_ws(";", *cells).alias("row"))
+
+
+def write_history(rows: DataFrame, path: str) -> None:
+    """Histories as text under each client's id."""
+    history_rows(rows).sortWithinPartitions("nif", "doc_id").select("nif", "row").write.mode("overwrite").partitionBy("nif").text(path)
+
+
+def write_pending(new: DataFrame, path: str, into: str, merge: bool) -> None:
+    """Writes the pending batch (doc_id, pos) to ``into``: the new ids, after those stored at ``path`` if ``merge``, none twice."""
+    out = new.select("doc_id", "pos")
+    if merge:
+        old = read_pending(new.sparkSession, path)
+        place = first_wins(old, new).select("doc_id", F.col("place.t").alias("t"), F.col("place.p").alias("p"))
+        out = place.select("doc_id", (F.col("t") * F.lit(1 << 40) + F.col("p")).alias("pos"))
+    out.write.mode("overwrite").parquet(into)
 
 
-def base64_csv(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, csv): a document's ledger lines as base64 of a semicolon CSV."""
-    row = F.concat_ws(";", F.col("line_index").cast("string"), F.col("debit").cast("string"), F.col("credit").cast("string"))
-    body = F.sort_array(F.collect_list(F.struct("line_index", row.alias("row"))))
-    text = F.concat(F.lit("line;debit;credit\n"), F.array_join(F.transform(body, lambda x: x["row"]), "\n"))
-    return lines.groupBy(key).agg(F.base64(F.encode(text, "UTF-8")).alias("csv"))
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, pos): the stored batch, in the order of pos."""
+    return spark.read.schema("doc_id long, pos long").parquet(path)
 
 
 def reset(status: DataFrame, path: str) -> DataFrame:
