@@ -11,12 +11,12 @@ from .salted import with_facts
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: list[int] | None = None) -> DataFrame:
     """(id, component_id) for every id that has a link to another; component_id is the smallest id reachable.
 
-    Each round gives every id a random rank of that round. An id moves to its
-    neighbour of the least rank, if that is less than its own, and on to where
-    that one moves; links are renamed accordingly and those within one place
-    are dropped. Half the ids or more are expected to move, whatever the graph
-    and its numbering, so the rounds grow with the logarithm of the longest
-    chain. ``rounds`` collects the number of links that each round began with.
+    Ids have a random rank, the same in all rounds. In a round an id moves to
+    its neighbour of the least rank, if that is less than its own, and on to
+    where that one moves; links are renamed accordingly and those within one
+    place are dropped. A star ends in two rounds; of a chain, however numbered,
+    a third of the places is left by each, so that rounds grow with its
+    logarithm. ``rounds`` collects the number of links that each round began with.
 
     Links and moves stay distributed: the driver only sees how many links are
     left. Sums are combined before each shuffle, and both inputs of each join
@@ -26,11 +26,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: list[int] |
     """
     links = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     moves: list[DataFrame] = []
+    rank = lambda c: F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("to"))
     while left := links.count():
-        turn = len(moves)
         if rounds is not None:
             rounds.append(left)
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("to"))  # noqa: E731, B023
         both = links.union(links.select("b", "a"))
         near = both.groupBy("a").agg(F.min(rank("b")).alias("n")).select(F.col("a").alias("id"), F.least("n", rank("a"))["to"].alias("to"))
         far = near.select(F.col("id").alias("to"), F.col("to").alias("next"))
@@ -46,7 +45,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: list[int] |
     place = moves[-1]
     for step in moves[-2::-1]:
         place = step.join(place.select(F.col("id").alias("to"), F.col("to").alias("end")), "to", "left").select("id", F.coalesce("end", "to").alias("to"))
-    place = cut(place)
     out = cut(with_facts(place, ["to"], ["id"], [F.min("id").alias("component_id")]).select("id", "component_id"))
-    drop(links, place, *moves)
+    drop(links, *moves)
     return out

@@ -33,6 +33,9 @@ LEAST_FILTERS = 12
 BUCKET = 4
 TILE = 256
 
+#: Rows of one filter from which on a task compares them as one product of matrices.
+LARGE_GROUP = 24
+
 #: Codewords of one block at most; more vectors take one block more, so that a code stays below 20 MB.
 MOST_WORDS = 16_384
 
@@ -151,31 +154,50 @@ def compared(rows: DataFrame, cosine: float) -> DataFrame:
     """
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-    def pairs(t: dict[str, np.ndarray], group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of pairs of one group, both of one tile if the group is one tile's with itself."""
-        longest = np.diff(np.flatnonzero(np.concatenate([[True], np.diff(group) != 0, [True]]))).max()
+    def small_pairs(t: dict[str, np.ndarray], group: np.ndarray, q: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(x, y, sure) of near pairs within groups of a few rows, for all groups at once."""
+        longest = np.diff(np.flatnonzero(np.concatenate([[True], np.diff(group) != 0, [True]]))).max(initial=0)
         for step in range(1, longest):
             x = np.flatnonzero((group[step:] == group[:-step]) & ((t["i"] == t["j"])[:-step] | (t["tile"][step:] != t["tile"][:-step])))
-            if len(x):
-                yield x, x + step
-
-    def result(t: dict[str, np.ndarray], group: np.ndarray, q: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
-        n, label, open_pairs = np.zeros(len(group), np.int64), np.arange(len(group)), []
-        linked: list[tuple[np.ndarray, np.ndarray]] = []
-        for x, y in pairs(t, group):
+            y = x + step
             dot = np.einsum("ij,ij->i", q[x], q[y])
             off = t["off"][x] + t["off"][y] + t["off"][x] * t["off"][y] + 1e-12
             near = dot + off >= cosine
             x, y, sure = x[near], y[near], (dot - off)[near] >= cosine
             for k in range(0, len(x), 4096):
-                a, b, ok = x[k : k + 4096], y[k : k + 4096], sure[k : k + 4096]
-                both = np.where((lists[a][:, :, None] == lists[b][:, None, :]).any(axis=2), lists[a], np.iinfo(np.int64).max).min(axis=1)
-                mine = both == t["f"][a]
-                open_pairs.append((t["k"][a[mine & ~ok]], t["k"][b[mine & ~ok]]))
-                a, b = a[mine & ok], b[mine & ok]
-                np.add.at(n, a, t["copies"][b])
-                np.add.at(n, b, t["copies"][a])
-                linked.append((a, b))
+                a, b = x[k : k + 4096], y[k : k + 4096]
+                least = np.where((lists[a][:, :, None] == lists[b][:, None, :]).any(axis=2), lists[a], np.iinfo(np.int64).max).min(axis=1)
+                mine = least == t["f"][a]
+                yield a[mine], b[mine], sure[k : k + 4096][mine]
+
+    def large_pairs(t: dict[str, np.ndarray], at: np.ndarray, q: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same for one group, as products of matrices."""
+        dot = q[at] @ q[at].T
+        off = t["off"][at]
+        off = off[:, None] + off + off[:, None] * off + 1e-12
+        near = np.triu(dot + off >= cosine, 1)
+        if t["i"][at[0]] != t["j"][at[0]]:
+            near &= t["tile"][at][:, None] != t["tile"][at]
+        row, column = np.nonzero((lists[at] >= 0) & (lists[at] < t["f"][at[0]]))
+        lower, number = np.unique(lists[at][row, column], return_inverse=True)
+        has = np.zeros((len(at), len(lower)), np.float32)
+        has[row, number] = 1
+        x, y = np.nonzero(near & (has @ has.T == 0))  # no filter of both is less
+        return at[x], at[y], (dot - off)[x, y] >= cosine
+
+    def result(t: dict[str, np.ndarray], group: np.ndarray, q: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
+        n, label, open_pairs = np.zeros(len(group), np.int64), np.arange(len(group)), []
+        linked: list[tuple[np.ndarray, np.ndarray]] = []
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0, [True]]))
+        size = np.repeat(np.diff(edge), np.diff(edge))
+        few = np.flatnonzero(size < LARGE_GROUP)
+        found = small_pairs({c: v[few] for c, v in t.items()}, group[few], q[few], lists[few])
+        found = chain(((few[x], few[y], sure) for x, y, sure in found), (large_pairs(t, np.arange(a, b), q, lists) for a, b in zip(edge, edge[1:]) if b - a >= LARGE_GROUP))
+        for x, y, sure in found:
+            open_pairs.append((t["k"][x[~sure]], t["k"][y[~sure]]))
+            x, y = x[sure], y[sure]
+            n += np.bincount(x, t["copies"][y], len(n)).astype(np.int64) + np.bincount(y, t["copies"][x], len(n)).astype(np.int64)
+            linked.append((x, y))
         if linked:
             a, b = (np.concatenate(c) for c in zip(*linked))
             while True:  # the least place that links reach

@@ -13,7 +13,7 @@ is compared. A node is small if few of its members lie outside of its largest
 component: these are compared with all others. In other nodes, members are held
 against one pivot, a new one at each level, so that a large group of near copies
 is joined in a number of comparisons that grows with the group, not with its
-square; then the node branches. Only (node, member) rows move through the
+square; then the node branches, the first time by set size too. Only (node, member) rows move through the
 trees; tokens are fetched for members of nodes that branch. Every link is
 confirmed on the full sets.
 """
@@ -35,7 +35,7 @@ TREES = 16
 POOL = 48
 ROOT_DEPTH = 3
 LAST_DEPTH = 12
-SMALL_NODE = 64
+SMALL_NODE = 256
 THRESHOLD = 0.8
 SHINGLE = 2
 
@@ -112,13 +112,19 @@ def first_nodes(members: DataFrame, trees: int, root_depth: int, pool: int) -> D
     return members.select(F.explode(paths).alias("path"), "id", "n", "s1", "s2")
 
 
+def by_size(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows with their nodes split by set size: linked sets differ in size by the threshold at most, so they share one of two neighbouring bands."""
+    band = F.floor(F.log("n") / F.log(F.lit(1.0001 / threshold)))
+    return rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("path", F.xxhash64("path", "band")).drop("band")
+
+
 def branches(rows: DataFrame, tokens: DataFrame, depth: int, threshold: float, pool: int) -> DataFrame:
     """The nodes one level below those of rows: each path selects one token, and a second with the probability that makes 1 / threshold on average."""
     draw = lambda k: F.pmod(F.xxhash64("path", F.lit(depth), F.lit(k)), F.lit(pool)).cast("int") + 1
     second = F.pmod(F.xxhash64("path", F.lit(depth), F.lit(-1)), F.lit(1000)) < round(1000 * (1 / threshold - 1))
     at = F.array_distinct(F.when(second, F.array(draw(0), draw(1))).otherwise(F.array(draw(0))))
     below = rows.join(tokens, "id").withColumn("at", F.explode(at))
-    return below.select(F.xxhash64("path", "at", F.element_at("tokens", F.col("at"))).alias("path"), "id", "n", "s1", "s2", "c")
+    return below.select(F.xxhash64("path", "at", F.element_at("tokens", F.col("at"))).alias("path"), "id", "n", "s1", "s2")
 
 
 def _may_link(a: str, b: str, threshold: float) -> Column:
@@ -215,39 +221,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # ids with several texts join the classes of all of them
     several = known.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("id")
     own = known.join(several, "id", "left_semi").select("id", "d1", "d2").join(classes, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    labels = components(own)
 
     pivot = F.min(F.struct("id", "n", "s1", "s2")).alias("p")
     rows = cut(with_facts(first_nodes(members, trees, root_depth, pool), ["path"], ["id"], [pivot, F.count("*").alias("size")], "size > 1"))
 
-    # every member against the pivots of its first nodes: first one of them, then those that this leaves apart
+    # every member against a pivot of one of its first nodes; the others are tried next, where this leaves them apart
     stars = cut(rows.alias("r").where("id <> p.id").where(_may_link("r", "p", threshold)).select(F.col("p.id").alias("a"), F.col("r.id").alias("b")).distinct())
-    labels = joined(labels, confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), df, id_col, text_col, shingle, threshold))
-    apart = _placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
-    labels = joined(labels, confirmed(apart, df, id_col, text_col, shingle, threshold))
-    drop(stars)
+    found = confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), df, id_col, text_col, shingle, threshold)
+    labels = components(found.union(own))
+    drop(found)
 
     before, rows = rows, rows.select("path", "id", "n", "s1", "s2")
     for depth in range(root_depth, last_depth + 1):
         # nodes that hold two components or more
-        rows = cut(mixed_nodes(_placed(rows.select("path", "id", "n", "s1", "s2"), labels, "id", "c"), depth))
+        rows = cut(mixed_nodes(_placed(rows, labels, "id", "c"), depth))
         drop(before)
         before = rows
         small = F.col("minor") <= small_node
         pairs = against_minor(rows.where(small), threshold)
+        large = rows.where(~small)
+        if depth == root_depth:
+            pairs = pairs.union(_placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b"))
         if depth == last_depth:
-            pairs = pairs.union(in_tiles(rows.where(~small), small_node, threshold))
+            pairs = pairs.union(in_tiles(large, small_node, threshold))
         else:
-            stars = rows.where(~small).alias("r").where("c <> p.c").where(_may_link("r", "p", threshold))
-            pairs = pairs.union(stars.select(F.col("p.id").alias("a"), F.col("r.id").alias("b")))
+            held = large.alias("r").where("c <> p.c").where(_may_link("r", "p", threshold))
+            pairs = pairs.union(held.select(F.col("p.id").alias("a"), F.col("r.id").alias("b")))
         found = confirmed(pairs, df, id_col, text_col, shingle, threshold)
         if not found.isEmpty():
             labels = joined(labels, found)
         drop(found)
-        large = rows.where(~small)
         if depth == last_depth or large.isEmpty():
             break
+        large = by_size(large, threshold) if depth == root_depth else large
         rows = branches(large, members.select("id", "tokens"), depth, threshold, pool)
+    drop(stars)
     drop(before, members)
 
     place = spread(_placed(classes, labels, "rep", "found"), "mask")
