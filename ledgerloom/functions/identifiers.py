@@ -8,9 +8,23 @@ from pyspark.sql import Column, functions as F
 CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 CONTROL_LETTERS = "JABCDEFGHI"
 
-NIF = r"^\d{8}[A-Z]$"
-CIF = r"^[ABCDEFGHJKLMNPQRSUVW]\d{7}[0-9A-J]$"
-NIE = r"^[XYZ]\d{7}[A-Z]$"
+#: First character, number of digits and last character of each kind.
+SHAPES = {"nif": ("", 8, "A-Z"), "cif": ("ABCDEFGHJKLMNPQRSUVW", 7, "0-9A-J"), "nie": ("XYZ", 7, "A-Z")}
+
+
+def _whole(kind: str) -> str:
+    first, n, last = SHAPES[kind]
+    return "^" + (f"[{first}]" if first else "") + rf"\d{{{n}}}[{last}]$"
+
+
+def _written(kind: str) -> str:
+    """The kind as people write it: with spaces between, or a leading zero left out."""
+    first, n, last = SHAPES[kind]
+    return (f"[{first}] ?" if first else "") + rf"\d(?: ?\d){{{n - 2},{n - 1}}} ?[{last}]"
+
+
+NIF, CIF, NIE = map(_whole, ("nif", "cif", "nie"))
+WRITTEN = "(?:" + "|".join(map(_written, ("cif", "nif", "nie"))) + ")"
 
 
 def clean(raw: Column, also: str = "") -> Column:
