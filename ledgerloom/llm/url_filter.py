@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from .lineage import cut
+from .salted import looked_up
 
 #: (verdict, host and path)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -86,22 +87,22 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     base = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     base = base.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
 
-    # copies of a url count each, but are cut into grams once
-    urls = base.groupBy("url").agg(F.first("fit.verdict").alias("known"), F.count("*").alias("times")).where("url is not null and url <> ''")
-    held = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long") % HELD_OUT == 0
-    grams = urls.select("url", "known", "times", held.alias("held"), symbols(F.col("url")).alias("s"))
-    grams = grams.select("url", "known", "times", "held", F.length("url").alias("size"), F.explode(F.sequence(F.lit(1), F.length("s") - ORDER)).alias("i"), "s")
-    grams = grams.withColumn("gram", F.substring(F.col("s"), F.col("i"), F.lit(ORDER + 1)))
+    # copies of a url count each, but are cut into grams once; a gram's row carries the url's digest, so that a very long url makes no long rows
+    base = base.withColumn("key", F.md5("url"))
+    urls = base.where("url <> ''").groupBy("key", "url").agg(F.first("fit.verdict").alias("known"), F.count("*").alias("times"))
+    held = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % HELD_OUT == 0
+    every = F.regexp_extract_all(symbols(F.col("url")), F.lit(f"(?=(.{{{ORDER + 1}}}))"), F.lit(1))
+    grams = urls.select("key", "known", "times", held.alias("held"), F.explode(every).alias("gram"))
     learn = lambda v: F.sum(F.when((F.col("known") == v) & ~F.col("held"), F.col("times")).otherwise(0)).alias(v)
     counted = cut(grams.groupBy("gram").agg(learn("allow"), learn("block")))  # at most 33^4 rows
     weights = log_ratios(counted)
 
-    scores = grams.join(F.broadcast(weights), "gram").groupBy("url").agg(F.sum("weight").alias("total"), F.count("*").alias("size"), F.first("known").alias("known"), F.first("held").alias("held"), F.first("times").alias("times"))
+    scores = grams.join(F.broadcast(weights), "gram").groupBy("key").agg(F.sum("weight").alias("total"), F.count("*").alias("size"), F.first("known").alias("known"), F.first("held").alias("held"), F.first("times").alias("times"))
     scores = scores.withColumn("q", F.expr(f"((total + size * {SHIFT}) * 1000) div (size * {UNIT})"))
     scores = cut(scores)
     limit = threshold(scores.where("held and known is not null"))
 
-    out = base.join(scores.select("url", "q"), "url", "left").withColumn("q", F.coalesce("q", F.lit(EVEN)))
+    out = looked_up(base.drop("url"), "key", ["page_id"], scores.select("key", "q"), "left").withColumn("q", F.coalesce("q", F.lit(EVEN)))
     verdict = F.coalesce("fit.verdict", F.when(F.col("q") >= limit, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), (F.col("q") / 1000.0 - 32.0).alias("score"))
 
