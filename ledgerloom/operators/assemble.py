@@ -45,7 +45,7 @@ def routed_fields(documents: DataFrame, fields: DataFrame, states: DataFrame) ->
 def joint_verdict(fields: DataFrame) -> DataFrame:
     """(doc_id, verdict, loadable, reasons): the worst of the mandatory fields, a missing one counting as block; reasons by field name."""
     counted = fields.where(F.col("field").isin(*MANDATORY))
-    missing = F.count_distinct("field") < len(MANDATORY)
+    missing = F.size(F.collect_set("field")) < len(MANDATORY)
     worst = F.max(F.when(F.col("verdict").isin(*ASSEMBLING), rank(F.col("verdict"), ASSEMBLING)).otherwise(3))
     why = F.sort_array(F.collect_list(F.when(F.col("verdict") != "auto", F.concat("field", F.lit(": "), "verdict"))))
     out = counted.groupBy("doc_id").agg(F.when(missing, "block").otherwise(named(worst, ASSEMBLING)).alias("verdict"), F.array_join(why, "; ").alias("reasons"))

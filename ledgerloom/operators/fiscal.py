@@ -84,7 +84,8 @@ def check_documents(documents: DataFrame, lines: DataFrame, key: str = "doc_id",
     """
     part = F.when(F.col("base").isNotNull(), F.col("base") + F.coalesce("tax_again", "tax", F.lit(0).cast("decimal(14,2)")))
     kinds = ("gravada", "tipo_cero", "exenta", "invalida")
-    rates = F.count_distinct(F.when(F.col("kind").isin("gravada", "tipo_cero"), F.col("rate"))).alias("rates")
+    # a document's few rates as a set: counting them distinct beside other sums would copy every line
+    rates = F.size(F.collect_set(F.when(F.col("kind").isin("gravada", "tipo_cero"), F.col("rate")))).cast("long").alias("rates")
     summed = lines.groupBy(key).agg(
         F.count("*").alias("lines"), F.sum(part).cast("decimal(18,2)").alias("total_again"), F.max(rank(F.col("line_verdict"))).alias("line_rank"), F.min("line_confidence").alias("confidence"),
         rates, *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds),

@@ -72,7 +72,7 @@ def consistent_concept(rows: DataFrame, chart: DataFrame) -> DataFrame:
     """rows with an invalid concept replaced by the account's, else null."""
     known = chart.select(F.col("concept").alias("valid")).distinct()
     by_account = account_concepts(chart).select(F.col("account"), F.col("concept").alias("derived"))
-    out = rows.join(F.broadcast(known), F.col("concept") == F.col("valid"), "left").join(F.broadcast(by_account), "account", "left")
+    out = rows.join(known, F.col("concept") == F.col("valid"), "left").join(by_account, "account", "left")
     return out.withColumn("concept", F.coalesce("valid", "derived")).drop("valid", "derived")
 
 

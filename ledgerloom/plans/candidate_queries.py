@@ -118,7 +118,7 @@ def win05_best_pairs(spark, sf):
       CASE WHEN av2 = 'block' THEN 'block' WHEN cv = 'warn' OR av2 = 'warn' OR book = 'bienes' THEN 'warn' ELSE 'auto' END AS verdict FROM w""", ("docs",))
 def scl30_pair_verdicts(spark, sf):
     flags = chart(spark).groupBy(F.col("concept").alias("k")).agg(F.max("review").alias("review"))
-    rows = view(spark, sf, "docs").join(F.broadcast(flags), F.col("concept") == F.col("k"), "left")
+    rows = view(spark, sf, "docs").join(flags, F.col("concept") == F.col("k"), "left")
     c = ((F.col("doc_id") * 7) % 100 * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(5,4)")
     rows = rows.withColumns({"concept_confidence": c, "account_confidence": c})
     return semantic.pair_verdicts(rows, F.col("review")).select("doc_id", "concept_verdict", "account_verdict", "verdict")
