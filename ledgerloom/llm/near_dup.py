@@ -35,15 +35,15 @@ TREES = 16
 POOL = 48
 ROOT_DEPTH = 3
 LAST_DEPTH = 12
-SMALL_NODE = 256
+SMALL_NODE = 48
 THRESHOLD = 0.8
 SHINGLE = 2
 
 #: Ids that may be broadcast, 8 bytes each, once they are counted.
 BROADCAST_IDS = 1_000_000
 
-#: Bits of 128 in which the one-bit sketches of a linked pair may differ: 5 standard deviations over what a similarity of 0.8 gives.
-BITS = 30
+#: Bits of 128 in which the one-bit sketches of a linked pair may differ: a pair at a similarity of 0.8 has more with a probability of 0.0006.
+BITS = 24
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -127,12 +127,15 @@ def branches(rows: DataFrame, tokens: DataFrame, depth: int, threshold: float, p
     return below.select(F.xxhash64("path", "at", F.element_at("tokens", F.col("at"))).alias("path"), "id", "n", "s1", "s2")
 
 
+def _distance(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+
+
 def _may_link(a: str, b: str, threshold: float) -> Column:
     """Sizes and sketches allow a link."""
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    far = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    percent = round(100 * threshold)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (far <= BITS)
+    return (100 * F.least(n1, n2) >= round(100 * threshold) * F.greatest(n1, n2)) & (_distance(a, b) <= BITS)
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -171,13 +174,13 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shing
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=kind).filter(pa.array(keep, pa.bool_()))
 
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = texts_of(ids, df, id_col, text_col)
+    texts = cut(texts_of(ids, df, id_col, text_col))  # of both sides: read once
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     # the texts of a document with very many pairs go to several tasks
     left = spread(pairs.groupBy("a").agg(salts_of(["b"]).alias("mask")), "mask").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     met = right.withColumn("__salt", salt("b")).join(left, ["a", "__salt"])
     out = cut(met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
-    drop(pairs, ids)
+    drop(pairs, ids, texts)
     return out
 
 
@@ -225,9 +228,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pivot = F.min(F.struct("id", "n", "s1", "s2")).alias("p")
     rows = cut(with_facts(first_nodes(members, trees, root_depth, pool), ["path"], ["id"], [pivot, F.count("*").alias("size")], "size > 1"))
 
-    # every member against a pivot of one of its first nodes; the others are tried next, where this leaves them apart
-    stars = cut(rows.alias("r").where("id <> p.id").where(_may_link("r", "p", threshold)).select(F.col("p.id").alias("a"), F.col("r.id").alias("b")).distinct())
-    found = confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), df, id_col, text_col, shingle, threshold)
+    # every member against that pivot of its first nodes whose sketch is nearest; the others are tried next, where this leaves them apart
+    stars = rows.alias("r").where("id <> p.id").where(_may_link("r", "p", threshold))
+    stars = cut(stars.select(F.col("p.id").alias("a"), F.col("r.id").alias("b"), _distance("r", "p").alias("far")).distinct())
+    nearest = F.min(F.struct("far", "a"))["a"].alias("a")
+    found = confirmed(stars.groupBy("b").agg(nearest).select("a", "b"), df, id_col, text_col, shingle, threshold)
     labels = components(found.union(own))
     drop(found)
 
