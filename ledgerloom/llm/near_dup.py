@@ -11,7 +11,7 @@ nodes at each level as at the one before.
 Members that found links join are one component, and only what is not joined yet
 is compared. A node is small if few of its members lie outside of its largest
 component: these are compared with all others. In other nodes, members are held
-against one pivot, a new one at each level, so that a large group of near copies
+against a few pivots, new ones at each level, so that a large group of near copies
 is joined in a number of comparisons that grows with the group, not with its
 square; then the node branches, the first time by set size too. Only (node, member) rows move through the
 trees; tokens are fetched for members of nodes that branch. Every link is
@@ -36,6 +36,7 @@ POOL = 48
 ROOT_DEPTH = 3
 LAST_DEPTH = 12
 SMALL_NODE = 48
+PIVOTS = 4
 THRESHOLD = 0.8
 SHINGLE = 2
 
@@ -225,11 +226,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = known.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("id")
     own = known.join(several, "id", "left_semi").select("id", "d1", "d2").join(classes, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    pivot = F.min(F.struct("id", "n", "s1", "s2")).alias("p")
-    rows = cut(with_facts(first_nodes(members, trees, root_depth, pool), ["path"], ["id"], [pivot, F.count("*").alias("size")], "size > 1"))
+    # a few pivots of each node: a member of a loose group is near one of them in some tree
+    turn = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("turn"), "id", "n", "s1", "s2"))
+    pivots = F.array(*(turn(k) for k in range(PIVOTS))).alias("pivots")
+    rows = cut(with_facts(first_nodes(members, trees, root_depth, pool), ["path"], ["id"], [pivots, F.count("*").alias("size")], "size > 1"))
 
     # every member against that pivot of its first nodes whose sketch is nearest; the others are tried next, where this leaves them apart
-    stars = rows.alias("r").where("id <> p.id").where(_may_link("r", "p", threshold))
+    stars = rows.select("id", "n", "s1", "s2", F.explode(F.array_distinct("pivots")).alias("p")).alias("r").where("id <> p.id").where(_may_link("r", "p", threshold))
     stars = cut(stars.select(F.col("p.id").alias("a"), F.col("r.id").alias("b"), _distance("r", "p").alias("far")).distinct())
     nearest = F.min(F.struct("far", "a"))["a"].alias("a")
     found = confirmed(stars.groupBy("b").agg(nearest).select("a", "b"), df, id_col, text_col, shingle, threshold)
