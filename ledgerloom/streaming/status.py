@@ -39,14 +39,13 @@ def violations(stream: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, seq, previous_status, status) of steps that the table doesn't allow; the last status is the state."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
         rows = _ordered(batches, "seq")
-        before = rows["status"].shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        allowed = (before.fillna("") + ">" + rows["status"].fillna("")).isin(_ALLOWED)
+        before = [last, *rows["status"].tolist()[:-1]]
+        found = pd.DataFrame({key: k[0], "seq": rows["seq"].tolist(), "previous_status": before, "status": rows["status"].tolist()})
+        bad = [f"{x or ''}>{y}" not in _ALLOWED for x, y in zip(before, found["status"])]
         state.update((rows["status"].iloc[-1],))
-        found = pd.DataFrame({key: k[0], "seq": rows["seq"], "previous_status": before.astype(object).where(before.notna(), None), "status": rows["status"]})
-        yield found[~allowed.to_numpy()]
+        yield found[bad]
 
     schema = f"{key} long, seq long, previous_status string, status string"
     return stream.groupBy(key).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)

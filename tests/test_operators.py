@@ -228,7 +228,7 @@ def test_drained_streams_take_events_in_order(spark, monkeypatch):
     # one file a trigger, and the partitions of the log in falling order of seq
     read = status.read_events
     monkeypatch.setattr(scalar_queries.status, "read_events", lambda spark, path, schema, files: read(spark, path, schema, 1))
-    monkeypatch.setattr(scalar_queries, "FILES", 1, raising=False)
+    monkeypatch.setattr(status, "FILES", 1)
     names = sorted(events.TRANSITIONS)
     rows = [(k % 5, k, names[k * k % 11 % len(names)]) for k in range(1, 61)]
     log = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], 6), "doc_id long, seq long, status string")
