@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, url_filter
+from . import fill_middle, importance, license_scan, line_dedup, url_filter
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -81,4 +81,43 @@ def lines_kept() -> str:
         SELECT doc_id, coalesce(n, 0) AS n_lines_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text FROM documents d LEFT JOIN kept ON d.doc_id = kept.id"""
 
 
-ORACLES = {"op1_url_filter": url_verdicts(), "op3_license_scan": license_labels(), "op10_line_dedup": lines_kept()}
+def _draw(seed: int, k: int) -> str:
+    return f"CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {8 * k + 1}, 8) AS BIGINT)"
+
+
+def importance_ranks() -> str:
+    """By the definition: the crc32 of each distinct word, byte by byte."""
+    size = importance.BUCKETS
+    counts = lambda table: f"(SELECT bucket, sum(n) AS n FROM (SELECT x, count(*) AS n FROM {table} GROUP BY x) JOIN crc USING (x) GROUP BY bucket)"
+    d = lambda c: f"CAST({c} AS DOUBLE)"
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents), dw AS (SELECT r, unnest(w) AS x FROM d),
+        bw AS (SELECT unnest({_WORDS.format("text")}) AS x FROM benchmark),
+        tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+        hexed AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+        crc AS (SELECT x, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {size} AS bucket FROM hexed, tab),
+        s AS {counts("dw")}, t AS {counts("bw")}, sizes AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln({d("coalesce(t.n, 0) + 1")} * {d(f"s_all + {size}")} / ({d("s.n + 1")} * {d(f"t_all + {size}")}))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket), sizes),
+        weights AS (SELECT r, CAST(sum(g) AS BIGINT) AS weight FROM dw JOIN crc USING (x) JOIN gain USING (bucket) GROUP BY r),
+        scored AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(({_draw(importance.SEED, 0)} + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (r)),
+        ordered AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= {importance.LEAST_WORDS})
+        SELECT doc_id, n_features, weight, score, CASE WHEN k <= {importance.PERCENT} * n // 100 THEN k END AS rank FROM scored LEFT JOIN ordered USING (r)"""
+
+
+def rearranged() -> str:
+    """Lists of lines, cut and joined."""
+    p, s, m = fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE
+    h = [_draw(fill_middle.SEED, k) for k in range(4)]
+    return rf"""
+        WITH l AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u FROM documents),
+        c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least({h[0]} % (len(u) + 1), {h[1]} % (len(u) + 1)) AS a, greatest({h[0]} % (len(u) + 1), {h[1]} % (len(u) + 1)) AS b,
+          CASE WHEN text = '' OR contains(text, '{p}') OR contains(text, '{s}') OR contains(text, '{m}') OR {h[2]} % 100 >= {fill_middle.RATE} THEN 'plain' WHEN {h[3]} % 100 < {fill_middle.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM l),
+        x AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid ELSE '{s}' || suf || '{p}' || pre || '{m}' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
+
+
+ORACLES = {"op1_url_filter": url_verdicts(), "op3_license_scan": license_labels(), "op10_line_dedup": lines_kept(), "op12_importance_resampling": importance_ranks(), "op13_fill_in_middle": rearranged()}
