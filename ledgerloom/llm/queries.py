@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embedding_dedup, fill_middle, importance, license_scan, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
+from . import decontamination, embedding_dedup, fill_middle, importance, license_scan, line_dedup, near_dup, packing, pii, quality, substring_dedup, toxicity, url_filter
 from .oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_removed", "text")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
@@ -82,7 +86,7 @@ QUERIES = {
     for f in (
         op1_url_filter, op2_benchmark_decontamination, op3_license_scan, op4_toxicity, op5_quality_classifier, op6_substring_dedup,
         op7_embedding_near_dedup, op8_packing, op9_minhash_near_dedup, op10_line_dedup,
-        op12_importance_resampling, op13_fill_in_middle,
+        op11_personal_data, op12_importance_resampling, op13_fill_in_middle,
     )
 }
 
