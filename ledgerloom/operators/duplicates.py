@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+#: States in which a folder doesn't hold its fiscal hash, and those after which its file is let in again.
+INACTIVE = ("cancelled", "error")
+ADMITTED_AGAIN = ("error", "cancelled", "pre_scan_failed")
+
 
 def blocked_duplicates(finals: DataFrame) -> DataFrame:
     """finals (folder, fiscal_hash, finalized_seq, status, rejected) with ``duplicate_of``.
@@ -13,7 +17,7 @@ def blocked_duplicates(finals: DataFrame) -> DataFrame:
     considered, not one at random. A minimum by hash and a join, no window: a
     hash that many folders share is not gathered in one task.
     """
-    active = F.col("fiscal_hash").isNotNull() & ~F.col("status").isin("cancelled", "error") & ~F.coalesce("rejected", F.lit(False))
+    active = F.col("fiscal_hash").isNotNull() & ~F.col("status").isin(*INACTIVE) & ~F.coalesce("rejected", F.lit(False))
     first = finals.where(active).groupBy("fiscal_hash").agg(F.min(F.struct("finalized_seq", "folder")).alias("first"))
     out = finals.join(first, "fiscal_hash", "left")
     later = active & (F.struct("finalized_seq", "folder") > F.col("first"))
@@ -22,8 +26,7 @@ def blocked_duplicates(finals: DataFrame) -> DataFrame:
 
 def admitted_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """files (sha256, name) that are new, or whose last known status lets them in again."""
-    again = ("error", "cancelled", "pre_scan_failed")
-    held = known.where(~F.col("status").isin(*again)).select("sha256").distinct()
+    held = known.where(~F.col("status").isin(*ADMITTED_AGAIN)).select("sha256").distinct()
     return files.join(held, "sha256", "left_anti")
 
 

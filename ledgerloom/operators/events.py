@@ -125,17 +125,22 @@ def holders(events: DataFrame, digest: str, key: str = "doc_id") -> DataFrame:
     return events.where(F.col("sha256_file") == digest).select(key).distinct()
 
 
-def child_events(splits: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, folder, status, sha256_file, file_origin) of the uploaded events that splits (doc_id, book, sha256_file, split_into) make.
+def child_rows(each: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, folder, status, sha256_file, file_origin) of the uploaded events of children (doc_id of the parent, child, book, sha256_file).
 
     A child has its book in its folder's name and its parent's digest with its
     own id; one whose folder is known in the same book is left as it is.
     """
-    each = splits.select("book", "sha256_file", F.col("doc_id").alias("parent"), F.explode("split_into").alias("doc_id"))
-    each = each.withColumn("folder", F.concat_ws("_", "book", F.col("doc_id").cast("string"))).join(known.select("folder").distinct(), "folder", "left_anti")
-    digest = F.concat(F.col("sha256_file"), F.lit("#"), F.col("doc_id").cast("string"))
-    origin = F.concat(F.col("parent").cast("string"), F.lit("__"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return each.select("doc_id", "folder", F.lit("uploaded").alias("status"), digest.alias("sha256_file"), origin.alias("file_origin"))
+    child, parent = F.col("child").cast("string"), F.col("doc_id").cast("string")
+    new = each.withColumn("folder", F.concat_ws("_", "book", child)).join(known.select("folder").distinct(), "folder", "left_anti")
+    return new.select(
+        F.col("child").alias("doc_id"), "folder", F.lit("uploaded").alias("status"), F.concat(F.col("sha256_file"), F.lit("#"), child).alias("sha256_file"), F.concat(parent, F.lit("__"), child, F.lit(".pdf")).alias("file_origin")
+    )
+
+
+def child_events(splits: DataFrame, known: DataFrame) -> DataFrame:
+    """:func:`child_rows` of the children in ``split_into`` of splits (doc_id, book, sha256_file, split_into)."""
+    return child_rows(splits.select("doc_id", "book", "sha256_file", F.explode("split_into").alias("child")), known)
 
 
 def folder_of(wanted: DataFrame, documents: DataFrame) -> DataFrame:

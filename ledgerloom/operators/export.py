@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from ..functions.dates import day_first
 from ..functions.identifiers import export_cell, file_key
 from ..functions.numbers import comma_amount, csv_cell, export_rate
-from .ordered import numbered
+from .ordered import indexed, numbered
 from .parties import client, counterpart
 
 #: Fixed value: the export's header line.
@@ -47,32 +47,90 @@ def files(invoices: DataFrame, day: str) -> DataFrame:
     return numbered(out, "file_nif", "file_kind", name="sequence").withColumn("file", F.concat_ws("_", F.lit(day), "file_nif", number, F.concat("file_kind", F.lit(".csv"))))
 
 
-def bulk_rows(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file_nif, file_kind, day, lines, digest): a file's rows in order, in parts by day, so that a file of any size is many rows.
+#: Lines of a leaf, and leaves of a node, of a file's digest.
+FAN = 1000
 
-    A part holds one day's rows of a file; ``digest`` is of the row texts in
-    order, joined by line ends. Parts in the order of days are the file.
+END = "\r\n"
+BOM = "\ufeff"
+
+
+def _from_heads(placed: DataFrame, head: Column) -> DataFrame:
+    """(file_nif, file_kind, line, row) of rows with ``part`` and ``index``: a file's lines are counted from its header, the last one before.
+
+    A part that begins within a file takes the header's place from the parts before it.
+    """
+    begin = F.when(head, F.col("index"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over one row for each range
+    carried = placed.groupBy("part").agg(F.max(begin).alias("last")).select("part", F.max("last").over(before).alias("carried"))
+    so_far = F.max(begin).over(W.partitionBy("part").orderBy("index").rowsBetween(W.unboundedPreceding, 0))
+    out = placed.withColumn("begin", so_far).join(F.broadcast(carried), "part")
+    return out.select("file_nif", "file_kind", (F.col("index") - F.coalesce("begin", "carried")).alias("line"), "row")
+
+
+def file_lines(invoices: DataFrame, lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(file_nif, file_kind, line, row): the lines of all files, in order within each, as a stored table.
+
+    Line 0 is the byte order mark with the header; a client and kind whose
+    invoices have no lines have a file with nothing else. All lines of all files
+    are ordered in ranges, wherever a file begins or ends, so that a client with
+    a third of all lines is many ranges.
     """
     tagged = keyed(invoices).select("doc_id", "file_nif", "file_kind", F.coalesce("date", F.lit("")).alias("day"), F.coalesce("number", F.lit("")).alias("n"))
-    each = tagged.join(rows(invoices, lines), "doc_id")
-    body = F.sort_array(F.collect_list(F.struct("n", "doc_id", "line_index", "row")))
-    text = F.array_join(F.transform(body, lambda x: x["row"]), "\r\n")
-    return each.groupBy("file_nif", "file_kind", "day").agg(F.count("*").alias("lines"), F.sha2(F.concat(text, F.lit("\r\n")), 256).alias("digest"))
+    body = tagged.join(rows(invoices, lines), "doc_id").withColumn("head", F.lit(1))
+    none = {"day": F.lit(""), "n": F.lit(""), "doc_id": F.lit(None).cast("long"), "line_index": F.lit(None).cast("int"), "row": F.lit(BOM + HEADER), "head": F.lit(0)}
+    heads = tagged.select("file_nif", "file_kind").distinct().withColumns(none)
+    order = ("file_nif", "file_kind", "head", "day", "n", "doc_id", "line_index")
+    placed = indexed(body.unionByName(heads).select(*order, "row"), *order, ranges=ranges)
+    return _from_heads(placed, F.col("head") == 0)
+
+
+def leaves(placed: DataFrame, fan: int = FAN) -> DataFrame:
+    """(file_nif, file_kind, leaf, lines, bytes, digest) of each ``fan`` lines of :func:`file_lines`: the sha256 of their bytes, line ends included. Leaves one after the other are the file."""
+    part = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "row"))), lambda x: F.concat(x["row"], F.lit(END))), "")
+    out = placed.groupBy("file_nif", "file_kind", F.floor(F.col("line") / fan).alias("leaf")).agg(F.count("*").alias("lines"), part.alias("text"))
+    return out.select("file_nif", "file_kind", "leaf", "lines", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
+
+
+def file_digests(leaf: DataFrame, fan: int = FAN) -> DataFrame:
+    """(file_nif, file_kind, lines, bytes, digest) of each file: its leaves' digests are joined ``fan`` at a time and digested, and these nodes' digests again.
+
+    Parts of a file may so be digested wherever they lie; no value grows beyond
+    ``fan`` digests up to ``fan`` x ``fan`` leaves.
+    """
+    keys = ["file_nif", "file_kind"]
+    joined = lambda place: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place, "digest"))), lambda x: x["digest"]), ""), 256).alias("digest")
+    sums = [F.sum(c).alias(c) for c in ("lines", "bytes")]
+    nodes = leaf.groupBy(*keys, F.floor(F.col("leaf") / fan).alias("node")).agg(*sums, joined("leaf"))
+    return nodes.groupBy(*keys).agg(*sums, joined("node"))
+
+
+def write_parts(placed: DataFrame, path: str, ranges: int | None = None) -> None:
+    """Files as text, one folder for each, in parts whose names are in order: parts one after the other are the file, byte for byte.
+
+    Lines are dealt by ranges of file and line, so that a large file is many parts.
+    """
+    ranges = ranges or int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # never null, so that the writer has no cause to sort by the folder once more
+    named = placed.select(F.coalesce(F.concat_ws("__", "file_nif", "file_kind"), F.lit("")).alias("file"), "line", "row")
+    named.repartitionByRange(ranges, "file", "line").sortWithinPartitions("file", "line").select("row", "file").write.partitionBy("file").option("lineSep", END).mode("overwrite").text(path)
+
+
+def read_parts(spark: SparkSession, path: str, ranges: int | None = None) -> DataFrame:
+    """(file_nif, file_kind, line, row) of the files that :func:`write_parts` wrote. Readers of text take the mark off a part's first line; it is put back."""
+    at = [F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    read = spark.read.schema("row string, file string").option("lineSep", END).text(path).select("file", "row", *at)
+    head = F.ltrim(F.col("row"), F.lit(BOM)) == HEADER
+    out = read.select(F.substring_index("file", "__", 1).alias("file_nif"), F.substring_index("file", "__", -1).alias("file_kind"), "name", "block", "id", F.when(head, F.lit(BOM + HEADER)).otherwise(F.col("row")).alias("row"))
+    return _from_heads(indexed(out, "file_nif", "file_kind", "name", "block", "id", ranges=ranges), F.col("row") == BOM + HEADER)
 
 
 def contents(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file_nif, file_kind, content): the bytes-exact file, with BOM and CRLF. A file is one value, so one client's lines must fit a task; bulk exports use :func:`write_partitioned`."""
+    """(file_nif, file_kind, content): the bytes-exact file as one value, for clients of ordinary size; :func:`file_lines` has no such bound."""
     tagged = keyed(invoices).select("doc_id", "file_nif", "file_kind", F.coalesce("date", F.lit("")).alias("day"), F.coalesce("number", F.lit("")).alias("n"))
     each = tagged.join(rows(invoices, lines), "doc_id", "left")
     body = F.sort_array(F.collect_list(F.when(F.col("row").isNotNull(), F.struct("day", "n", "doc_id", "line_index", "row"))))
-    text = F.array_join(F.concat(F.array(F.lit(HEADER)), F.transform(body, lambda x: x["row"])), "\r\n")
-    return each.groupBy("file_nif", "file_kind").agg(F.concat(F.lit("﻿"), text, F.lit("\r\n")).alias("content"))
-
-
-def write_partitioned(invoices: DataFrame, lines: DataFrame, path: str) -> None:
-    """Rows as text under file_nif and file_kind; each partition's files are sorted within."""
-    tagged = keyed(invoices).select("doc_id", "file_nif", "file_kind", "date", "number").join(rows(invoices, lines), "doc_id")
-    tagged.sortWithinPartitions("file_nif", "file_kind", "date", "number", "doc_id", "line_index").select("row", "file_nif", "file_kind").write.partitionBy("file_nif", "file_kind").mode("overwrite").text(path)
+    text = F.array_join(F.concat(F.array(F.lit(HEADER)), F.transform(body, lambda x: x["row"])), END)
+    return each.groupBy("file_nif", "file_kind").agg(F.concat(F.lit(BOM), text, F.lit(END)).alias("content"))
 
 
 def warnings(invoices: DataFrame, lines: DataFrame) -> DataFrame:

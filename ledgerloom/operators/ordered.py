@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..scratch import folder
+
 
 def first_wins(*tables: DataFrame, key: str = "doc_id", pos: str = "pos") -> DataFrame:
     """The union's rows by key: of the earlier table, then of the smaller position; with ``place``, which orders the result."""
@@ -48,17 +50,27 @@ def one_page_groups(documents: DataFrame) -> DataFrame:
     return each.select("doc_id", "part", F.col("n_pages").alias("parts"), F.concat(F.col("doc_id").cast("string"), F.lit("__"), F.col("part").cast("string"), F.lit("of"), F.col("n_pages").cast("string")).alias("child"))
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
-    """rows with their number, from 1, in the order of text columns, the first one cut into ranges of four characters.
+def indexed(rows: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
+    """rows, as a stored table, with ``part`` and ``index``: its place from 0 in the order of columns, all of which may repeat.
 
-    No task orders all rows: places are counted within a range, after the rows
-    of the ranges before it, of which there are few.
+    Rows are sorted by ranges whose bounds are sampled from the order itself, and
+    stored once: a part's first place is the number of rows in the parts before
+    it, of which there are as many as ranges. No task sees all rows, unless all
+    are equal.
     """
     from pyspark.sql import Window as W
 
-    ranged = rows.withColumn("__range", F.substring(order[0], 1, 4))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # over one row for each range
-    counts = ranged.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(W.partitionBy("__range").orderBy(*order))
-    out = ranged.withColumn("__within", within).join(counts, "__range")
-    return out.withColumn(name, (F.col("__before") + F.col("__within")).cast("int")).drop("__range", "__within", "__before")
+    spark = rows.sparkSession
+    path = folder(spark, "ordered")
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("part", F.shiftright("__id", 33))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over one row for each range
+    counts = kept.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    index = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(counts), "part").withColumn("index", index).drop("__id", "__before")
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """rows with their number, from 1, in the order of columns."""
+    return indexed(rows, *order).withColumn(name, (F.col("index") + 1).cast("int")).drop("part", "index")

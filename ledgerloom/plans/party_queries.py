@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.texts import fiscal_hash
+from .. import scratch
 from ..operators import assemble, duplicates, export, fiscal, parties, rollups
 from .views import registry, view
 
@@ -231,9 +232,23 @@ def win06_export_files(spark, sf):
     return export.files(view(spark, sf, "docs"), "20260101")
 
 
-@registry.add("snk05_export_contents", "SNK-05", f"WITH {ROWS} SELECT file_nif, file_kind, coalesce(date, '') AS day, count(*) AS lines, sha256(string_agg(row, chr(13) || chr(10) ORDER BY number, k.doc_id, line_index) || chr(13) || chr(10)) AS digest FROM k JOIN rows ON k.doc_id = rows.doc_id GROUP BY 1, 2, 3", DL)
+LEAVES = f"""{ROWS}, u AS (SELECT file_nif, file_kind, 1 AS h, coalesce(date, '') AS day, number, k.doc_id AS doc_id, line_index, row FROM k JOIN rows ON k.doc_id = rows.doc_id UNION ALL SELECT DISTINCT file_nif, file_kind, 0, '', '', NULL, NULL, chr(65279) || '{export.HEADER}' FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY file_nif, file_kind ORDER BY h, day, number, doc_id, line_index) - 1 AS line FROM u),
+leaves AS (SELECT file_nif, file_kind, line // {export.FAN} AS leaf, count(*) AS lines, string_agg(row || chr(13) || chr(10), '' ORDER BY line) AS text FROM p GROUP BY 1, 2, 3)"""
+
+
+@registry.add("snk05_export_contents", "SNK-05", f"WITH {LEAVES} SELECT file_nif, file_kind, leaf, lines, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS digest FROM leaves", DL)
 def snk05_export_contents(spark, sf):
-    return export.bulk_rows(view(spark, sf, "docs"), lines(spark, sf))
+    return export.leaves(export.file_lines(view(spark, sf, "docs"), lines(spark, sf)))
+
+
+@registry.add("snk05_export_files", "SNK-05", f"WITH {LEAVES}, f AS (SELECT file_nif, file_kind, leaf // {export.FAN} AS node, sum(lines) AS lines, sum(strlen(text)) AS bytes, sha256(string_agg(sha256(text), '' ORDER BY leaf)) AS digest FROM leaves GROUP BY 1, 2, 3) SELECT file_nif, file_kind, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM f GROUP BY 1, 2", DL)
+def snk05_export_files(spark, sf):
+    """What is digested are the lines that are read again from the parts written."""
+    path = scratch.folder(spark, "export")
+    placed = export.file_lines(view(spark, sf, "docs"), lines(spark, sf))
+    export.write_parts(placed, path)
+    return export.file_digests(export.leaves(export.read_parts(spark, path)))
 
 
 @registry.add("agg09_export_warnings", "AGG-09 FLT-17", f"WITH {ROWS}, w AS (SELECT k.*, h.doc_id IS NOT NULL AS has FROM k LEFT JOIN (SELECT DISTINCT doc_id FROM l) h ON k.doc_id = h.doc_id) SELECT count_if(coalesce(account, '') = '') AS no_account, count(DISTINCT CASE WHEN coalesce(account, '') = '' THEN file_nif || file_kind END) AS no_account_files, count_if(coalesce(date, '') = '' OR coalesce(number, '') = '') AS no_date_or_number, count(DISTINCT CASE WHEN coalesce(date, '') = '' OR coalesce(number, '') = '' THEN file_nif || file_kind END) AS no_date_or_number_files, count_if(NOT has) AS no_lines, count(DISTINCT CASE WHEN NOT has THEN file_nif || file_kind END) AS no_lines_files FROM w", DL)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import assemble, duplicates, events, extraction, listing, parties
 from ..sources import dimensions, readers, sinks
-from ..streaming import status
+from ..streaming import keyed, status
 from .event_queries import CLOSED, E, LAST, log
 from .party_queries import _FIELDS, HASHED, fields, hashed, lines, master, routed
 from .views import registry, view
@@ -17,8 +16,8 @@ D, DL = ("docs",), ("docs", "tax_lines")
 
 
 def folder(spark, name):
-    """A new folder below the warehouse, for what a query writes and reads again."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/written/{uuid.uuid4().hex}/{name}"
+    """A new folder for what a query writes and reads again."""
+    return scratch.folder(spark, name)
 
 
 # extracted documents
@@ -226,7 +225,7 @@ def src13_inbox_listing(spark, sf):
     return readers.inbox_listing(inbox(spark, sf).drop("doc_id"), known)
 
 
-@registry.add("src15_original_files", "SRC-15", f"""WITH {INBOX}, a AS (SELECT * FROM p WHERE ext IN ('.pdf','.jpg','.jpeg','.png','.tiff','.tif','.webp','.bmp')), d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS k, book FROM docs WHERE doc_id % 2 = 0 OR doc_id < 400),
+@registry.add("src15_original_files", "SRC-15", f"""WITH {INBOX}, a AS (SELECT * FROM p WHERE ext IN ('.pdf','.jpg','.jpeg','.png','.tiff','.tif','.webp','.bmp')), d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS k, book FROM docs),
     r AS (SELECT k, 0 AS r, CAST(doc_id AS VARCHAR) || '.docx' AS name FROM d JOIN p ON k = CAST(doc_id AS VARCHAR) WHERE doc_id % 5 = 2 AND doc_id % 3 = 0 UNION ALL SELECT k, 1, name FROM d JOIN a ON a.book = d.book AND stem = k
       UNION ALL SELECT k, 2, name FROM d JOIN (SELECT DISTINCT book, name, n, substr(name, i, n) AS part FROM (SELECT book, name, n, unnest(range(1, length(name) - n + 2)) AS i FROM a, (SELECT DISTINCT length(k) AS n FROM d) WHERE length(name) >= n)) q ON q.book = d.book AND part = k),
     b AS (SELECT k, min(struct_pack(r := r, name := name)) AS f FROM r GROUP BY k)
@@ -234,7 +233,7 @@ def src13_inbox_listing(spark, sf):
 def src15_original_files(spark, sf):
     files = inbox(spark, sf)
     k = F.col("doc_id").cast("string").alias("doc_id")
-    docs = view(spark, sf, "docs").where("doc_id % 2 = 0 or doc_id < 400").select(k, F.concat_ws("_", "book", k).alias("folder"))
+    docs = view(spark, sf, "docs").select(k, F.concat_ws("_", "book", k).alias("folder"))
     # the files of some documents are those that their first events name; others name files that are gone
     origins = files.where("doc_id % 3 = 0").select(k, F.when(F.col("doc_id") % 5 == 2, F.col("name")).otherwise("gone.pdf").alias("name"))
     return readers.original_file(docs, origins, files.select("book", "name"))
@@ -343,11 +342,27 @@ def agg21_known_uploads(spark, sf):
     return listing.known_upload(events.last_status(both).select("doc_id", "status"), events.children(both))
 
 
-@registry.add("str10_child_events", "STR-10", "WITH p AS (SELECT doc_id, 'sha' || doc_id AS sha FROM docs WHERE doc_id % 20 = 1), c AS (SELECT doc_id AS parent, sha, unnest([doc_id + 1, doc_id + 1000000000]) AS child FROM p) SELECT child AS doc_id, 'compras_' || child AS folder, 'uploaded' AS status, sha || '#' || child AS sha256_file, parent || '__' || child || '.pdf' AS file_origin FROM c WHERE 'compras_' || child NOT IN (SELECT book || '_' || doc_id FROM docs)", D)
-def str10_child_events(spark, sf):
+SPLITS = "WITH p AS (SELECT doc_id, 'sha' || doc_id AS sha FROM docs), c AS (SELECT doc_id AS parent, sha, unnest([doc_id + 1, doc_id + 1000000000]) AS child FROM p) SELECT child AS doc_id, 'compras_' || child AS folder, 'uploaded' AS status, sha || '#' || child AS sha256_file, parent || '__' || child || '.pdf' AS file_origin FROM c WHERE 'compras_' || child NOT IN (SELECT book || '_' || doc_id FROM docs)"
+
+
+def splits(spark, sf):
+    """Every document is split in two, of which one may be known; and the folders that are known."""
     d = view(spark, sf, "docs")
-    splits = d.where("doc_id % 20 = 1").select("doc_id", F.lit("compras").alias("book"), F.concat(F.lit("sha"), F.col("doc_id").cast("string")).alias("sha256_file"), F.array(F.col("doc_id") + 1, F.col("doc_id") + 1000000000).alias("split_into"))
-    return events.child_events(splits, d.select(F.concat_ws("_", "book", F.col("doc_id").cast("string")).alias("folder")))
+    made = d.select("doc_id", F.lit("compras").alias("book"), F.concat(F.lit("sha"), F.col("doc_id").cast("string")).alias("sha256_file"), F.array(F.col("doc_id") + 1, F.col("doc_id") + 1000000000).alias("split_into"))
+    return made, d.select(F.concat_ws("_", "book", F.col("doc_id").cast("string")).alias("folder"))
+
+
+@registry.add("str10_child_events", "STR-10", SPLITS, D)
+def str10_child_events(spark, sf):
+    return events.child_events(*splits(spark, sf))
+
+
+@registry.add("str10_stream_children", "STR-10", SPLITS, D)
+def str10_stream_children(spark, sf):
+    """Each split event comes twice, the second time with one child only."""
+    made, known = splits(spark, sf)
+    both = made.withColumn("seq", F.col("doc_id")).union(made.withColumn("split_into", F.slice("split_into", 1, 1)).withColumn("seq", F.col("doc_id") + 1))
+    return events.child_rows(keyed.replayed(both, keyed.children, folder(spark, "stream"), session=stateful(spark)), known)
 
 
 @registry.add("join10_folders_of_documents", "JOIN-10", "SELECT doc_id, b AS book, CAST(folder AS VARCHAR) AS folder FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'compras' ELSE 'ventas' END AS b, folder FROM finals) WHERE b IS NULL OR starts_with(folder, b || '_')", ("finals",))
@@ -369,15 +384,34 @@ def flt20_screen_fields(spark, sf):
 
 @registry.add("str03_stream_duplicates", "STR-03", f"WITH {HASHED}, a AS (SELECT *, status NOT IN ('cancelled','error') AND NOT coalesce(rejected, false) AS active FROM h WHERE fiscal_hash IS NOT NULL), f AS (SELECT fiscal_hash, min(finalized_seq) AS s, arg_min(folder, finalized_seq) AS first FROM a WHERE active GROUP BY 1) SELECT a.fiscal_hash, finalized_seq, folder, CASE WHEN active AND finalized_seq > s THEN first END AS duplicate_of FROM a LEFT JOIN f ON a.fiscal_hash = f.fiscal_hash", ("finals",))
 def str03_stream_duplicates(spark, sf):
-    rows = hashed(spark, sf).select("fiscal_hash", "finalized_seq", "folder", "status", "rejected")
-    return status.drained(rows, "finalized_seq", status.duplicates, "append", folder(spark, "stream"))
+    """Every folder is active at first; what becomes of it is a later fact, which may come before the first or long after."""
+    h = hashed(spark, sf).select("fiscal_hash", "finalized_seq", "folder", "status", "rejected")
+    facts = h.withColumns({"status": F.lit("done"), "rejected": F.lit(False), "version": F.lit(0).cast("long")}).union(h.withColumn("version", F.lit(1).cast("long")))
+    return keyed.latest(keyed.replayed(facts, keyed.holders, folder(spark, "stream"), session=stateful(spark)), "fiscal_hash", "finalized_seq", "folder")
+
+
+ADMISSIONS = """e AS (SELECT 'sha' || CAST(CAST(floor(doc_id / 3) AS BIGINT) AS VARCHAR) AS sha256, seq, doc_id, status, row_number() OVER (PARTITION BY floor(doc_id / 3) ORDER BY seq) AS n FROM doc_events),
+r AS (SELECT DISTINCT sha256, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BOOLEAN) AS admitted, CAST(NULL AS BIGINT) AS original, CAST(NULL AS VARCHAR) AS original_status, CAST(NULL AS BIGINT) AS holder, CAST(NULL AS VARCHAR) AS now FROM e
+  UNION ALL SELECT sha256, n, seq, doc_id, CASE WHEN up THEN free END, CASE WHEN up AND NOT free THEN holder END, CASE WHEN up AND NOT free THEN now END, CASE WHEN up AND free THEN doc_id ELSE holder END, CASE WHEN up AND free OR NOT up AND doc_id = holder THEN status ELSE now END
+  FROM (SELECT e.sha256, e.n, e.seq, e.doc_id, e.status, holder, now, e.status = 'uploaded' AS up, holder IS NULL OR now IN ('error','cancelled','pre_scan_failed') AS free FROM r JOIN e ON e.sha256 = r.sha256 AND e.n = r.n + 1))"""
+
+
+def stateful(spark):
+    return keyed.session_for(spark, spark.sparkContext.defaultParallelism)
+
+
+@registry.add("str04_stream_admissions", "STR-04", f"WITH RECURSIVE {ADMISSIONS} SELECT sha256, seq, doc_id, admitted, original, original_status FROM r WHERE admitted IS NOT NULL", E)
+def str04_stream_admissions(spark, sf):
+    """Three documents in a row upload the same file; all events of a document carry its digest."""
+    rows = log(spark, sf).select(F.concat(F.lit("sha"), F.floor(F.col("doc_id") / 3).cast("string")).alias("sha256"), "seq", "doc_id", "status")
+    return keyed.latest(keyed.replayed(rows, keyed.admissions, folder(spark, "stream"), session=stateful(spark)), "sha256", "seq")
 
 
 @registry.add("str06_rescanned_files", "STR-06", f"WITH s AS ({LAST}) SELECT doc_id, book FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE status = 'done' OR status IN {CLOSED})", ("docs", "doc_events"))
 def str06_rescanned_files(spark, sf):
     closed = events.last_status(log(spark, sf)).where(F.col("status").isin("done", *events.TERMINAL)).select("doc_id")
     files = view(spark, sf, "docs").select("doc_id", "book")
-    return status.drained(files, "doc_id", lambda stream: status.unprocessed(stream, closed), "append", folder(spark, "stream"))
+    return keyed.replayed(files, lambda stream: status.unprocessed(stream, closed), folder(spark, "stream"))
 
 
 @registry.add("str06_carried_over", "STR-06 SET-02", f"WITH s AS ({LAST}), n AS (SELECT doc_id, doc_id AS pos FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM s)), u AS (SELECT doc_id, false AS carried, lpad(CAST(pos AS VARCHAR), 20, '0') AS place FROM n UNION ALL SELECT doc_id, true, 'f' || doc_id FROM s WHERE status = 'review') SELECT doc_id, min(struct_pack(carried := carried, place := place)).carried AS carried, min(struct_pack(carried := carried, place := place)).place AS place FROM u GROUP BY doc_id", ("docs", "doc_events"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import dates, identifiers, numbers, texts
 from ..operators import events, ordered, rollups
 from ..sources import dimensions, readers, sinks
-from ..streaming import status
+from ..streaming import keyed, status
 from .views import registry, view
 
 D = ("docs",)
@@ -183,12 +182,13 @@ def snk02_critical_fields(spark, sf):
 
 @registry.add("str01_stream_last_status", "STR-01 STR-11", "SELECT doc_id, arg_max(status, seq) AS status, max(seq) AS last_seq FROM doc_events GROUP BY doc_id", ("doc_events",))
 def str01_stream_last_status(spark, sf):
-    return _drained(spark, sf, status.current_status, "complete")
+    changes = keyed.replayed(_steps(spark, sf), status.current_status, scratch.folder(spark, "stream"), "update")
+    return keyed.latest(changes.withColumn("change", F.col("last_seq")), "doc_id")
 
 @registry.add("str02_stream_violations", "STR-02", "SELECT doc_id, seq, p AS previous_status, status FROM (SELECT *, lag(status) OVER (PARTITION BY doc_id ORDER BY seq) AS p FROM doc_events) WHERE (coalesce(p, '') || '>' || status) NOT IN (" + ",".join(f"'{a}>{b}'" for a, after in events.TRANSITIONS.items() for b in after) + ")", ("doc_events",))
 def str02_stream_violations(spark, sf):
-    return _drained(spark, sf, status.violations, "append")
+    changes = keyed.replayed(_steps(spark, sf), keyed.steps, scratch.folder(spark, "stream"), session=keyed.session_for(spark, spark.sparkContext.defaultParallelism))
+    return keyed.latest(changes, "doc_id", "seq").where("not allowed").drop("allowed")
 
-def _drained(spark, sf, operator, mode):
-    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams/{uuid.uuid4().hex}"
-    return status.drained(view(spark, sf, "doc_events").select("doc_id", "seq", "status"), "seq", operator, mode, root)
+def _steps(spark, sf):
+    return view(spark, sf, "doc_events").select("doc_id", "seq", "status")

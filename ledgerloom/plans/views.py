@@ -112,6 +112,8 @@ class Registry:
             if sql:
                 head = sql_for(views)
                 text = sql.strip()
+                if text.startswith("WITH RECURSIVE "):
+                    head, text = head.replace("WITH ", "WITH RECURSIVE ", 1), text.replace("RECURSIVE ", "", 1)
                 self.oracle[name] = f"{head}, {text[5:]}" if head and text[:5].upper() == "WITH " else f"{head} {text}"
             return f
 

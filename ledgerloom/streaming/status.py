@@ -1,75 +1,31 @@
-"""The event log as a stream: current status, violations, duplicates and master updates.
+"""The event log as a stream: current status, master updates and new files.
 
 There is no event time: an event applies after all with a smaller ``seq``. A
 watermark may bound state as an extension; none is set here, since the log's
-documents stay open without limit.
+documents stay open without limit. Operators whose results a late event
+corrects are in :mod:`ledgerloom.streaming.keyed`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.events import TRANSITIONS
 from ..operators.parties import merge_masters
 
 
-_ALLOWED = {f"{a}>{b}" for a, after in TRANSITIONS.items() for b in after}
-
-
 def read_events(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int = 1) -> DataFrame:
     """A Parquet event log as a stream of files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def current_status(stream: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The status of the last event by key; for update or complete mode."""
+    """The status of the last event by key, in whatever order events come; for update or complete mode."""
     return stream.groupBy(key).agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("last_seq"))
 
 
-def _ordered(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable")
-
-
-def violations(stream: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, seq, previous_status, status) of steps that the table doesn't allow; the last status is the state."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = _ordered(batches, "seq")
-        before = [last, *rows["status"].tolist()[:-1]]
-        found = pd.DataFrame({key: k[0], "seq": rows["seq"].tolist(), "previous_status": before, "status": rows["status"].tolist()})
-        bad = [f"{x or ''}>{y}" not in _ALLOWED for x, y in zip(before, found["status"])]
-        state.update((rows["status"].iloc[-1],))
-        yield found[bad]
-
-    schema = f"{key} long, seq long, previous_status string, status string"
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def duplicates(stream: DataFrame) -> DataFrame:
-    """(fiscal_hash, finalized_seq, folder, duplicate_of) of arriving finals; the first active folder of a hash is the state."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "finalized_seq").reset_index(drop=True)
-        active = ~rows["status"].isin(["cancelled", "error"]) & ~rows["rejected"].fillna(False).astype(bool)
-        first, begin = (state.get[0], -1) if state.exists else (None, 0)
-        if first is None and active.any():
-            begin = int(active.idxmax())
-            first = rows["folder"][begin]
-        if first is not None:
-            state.update((first,))
-        later = active & (rows.index > begin)
-        yield pd.DataFrame({"fiscal_hash": k[0], "finalized_seq": rows["finalized_seq"], "folder": rows["folder"], "duplicate_of": pd.Series([first if x else None for x in later], dtype=object)})
-
-    schema = "fiscal_hash string, finalized_seq long, folder string, duplicate_of string"
-    return stream.where("fiscal_hash is not null").groupBy("fiscal_hash").applyInPandasWithState(step, schema, "first string", "append", GroupStateTimeout.NoTimeout)
-
-
 def master_updates(stream: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str):
     """Merges each batch of master rows into the stored master; maxima and unions make a repeated batch harmless."""
 
@@ -82,32 +38,3 @@ def master_updates(stream: DataFrame, load: Callable[[], DataFrame], save: Calla
 def unprocessed(stream: DataFrame, closed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Arriving files whose document isn't closed: a stream-static anti join."""
     return stream.join(closed.select(F.col(key).alias("__closed")).distinct(), F.col(key) == F.col("__closed"), "left_outer").where("__closed is null").drop("__closed")
-
-
-#: Files in one trigger of a drained stream.
-FILES = 100
-
-
-def drained(rows: DataFrame, order: str, operator: Callable[[DataFrame], DataFrame], mode: str, root: str) -> DataFrame:
-    """The operator over rows as a stream, run to its end, as a table in the folder ``root``.
-
-    Ranges of ``order`` arrive one after the other, each in one trigger, however
-    many partitions rows have. Each trigger writes a folder of its own, so that
-    one that runs again replaces what it wrote.
-    """
-    spark, schema = rows.sparkSession, rows.schema
-    n = -(-rows.rdd.getNumPartitions() // FILES)
-    bounds = rows.approxQuantile(order, [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    part = sum((F.coalesce((F.col(order) >= b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
-    rows.withColumn("__part", part).write.partitionBy("__part").parquet(f"{root}/rows")
-    ranges = spark.read.parquet(f"{root}/rows")
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/trigger={number if mode == 'append' else 0}")
-
-    for k in range(n):
-        ranges.where(F.col("__part") == k).select(*schema.names).coalesce(FILES).write.mode("append").parquet(f"{root}/in")
-        stream = operator(read_events(spark, f"{root}/in", schema, FILES))
-        writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-        writer.start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("trigger")

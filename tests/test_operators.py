@@ -1,12 +1,13 @@
 """Operators on hand-made rows: rule tables, edge cases, sinks and streams."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, identifiers, numbers, texts
-from ledgerloom.operators import candidates, duplicates, events, export, fiscal, parties, verdicts
+from ledgerloom.operators import candidates, duplicates, events, export, fiscal, ordered, parties, verdicts
 from ledgerloom.sources import dimensions, readers, sinks
 from ledgerloom.streaming import status
 
@@ -172,10 +173,51 @@ def test_audit_is_partitioned(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "audit")).where("book = 'compras' and fecha = '2026-01-02'").count() == 2
 
 
-def test_partitioned_export(spark, tmp_path):
-    lines = spark.createDataFrame([(1, 0, 10, 0, 0)], "doc_id long, line_index int, base int, rate int, tax int").select("doc_id", "line_index", *(F.col(c).cast("decimal(14,2)") for c in ("base", "rate", "tax")))
-    export.write_partitioned(invoices(spark), lines, str(tmp_path / "out"))
-    assert (tmp_path / "out" / "file_nif=A1" / "file_kind=emitidas").is_dir()
+def bulk(spark):
+    """Invoices of which one client has a third, one has none with lines, and one number and day are of many."""
+    own = lambda k: "B1" if k % 3 == 0 else f"B{k % 40}"
+    rows = [(k, "ventas" if k % 2 else "compras", own(k), f"S {k % 5}", own(k), f"R;{k % 4}", f"2024-01-{k % 9 + 1:02d}" if k % 7 else None, f"F{k % 10}" if k % 11 else None, "a \"b\"\nc", 12) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, book string, issuer_nif string, issuer_name string, receiver_nif string, receiver_name string, date string, number string, concept string, total int")
+    lines = spark.createDataFrame([(k, j, 10 * k + j, 21, 2) for k in range(400) if k % 40 != 2 for j in range(k % 4 + 1)], "doc_id long, line_index int, base int, rate int, tax int")
+    return docs.withColumn("total", F.col("total").cast("decimal(18,2)")), lines.select("doc_id", "line_index", *(F.col(c).cast("decimal(14,2)") for c in ("base", "rate", "tax")))
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_parts_one_after_the_other_are_the_file(spark, tmp_path, ranges):
+    docs, lines = bulk(spark)
+    want = {f"{r['file_nif']}__{r['file_kind']}": r["content"] for r in export.contents(docs, lines).collect()}
+    placed = export.file_lines(docs, lines, ranges)
+    export.write_parts(placed, str(tmp_path / "out"), ranges)
+    folders = {p.name.removeprefix("file="): p for p in (tmp_path / "out").glob("file=*")}
+    got = {k: b"".join(f.read_bytes() for f in sorted(p.glob("part-*"))).decode() for k, p in folders.items()}
+    assert got == want
+    assert any(c.count("\r\n") == 1 for c in want.values()) and all(c.startswith("\ufeffFECHA;") for c in want.values())
+    if ranges == 40:
+        assert len([*folders["B1__emitidas"].glob("part-*")]) > 2
+    again = export.read_parts(spark, str(tmp_path / "out"), ranges)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, placed.collect()))
+
+
+def test_digests_of_parts_are_of_the_file(spark):
+    docs, lines = bulk(spark)
+    leaf = export.leaves(export.file_lines(docs, lines, 5), fan=6)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for r in export.contents(docs, lines).collect():
+        parts = [x + "\r\n" for x in r["content"].split("\r\n")[:-1]]
+        each = ["".join(parts[k : k + 6]) for k in range(0, len(parts), 6)]
+        nodes = [sha("".join(map(sha, each[k : k + 6]))) for k in range(0, len(each), 6)]
+        want[r["file_nif"], r["file_kind"]] = (len(parts), len(r["content"].encode()), sha("".join(nodes)))
+    got = {(r["file_nif"], r["file_kind"]): (r["lines"], r["bytes"], r["digest"]) for r in export.file_digests(leaf, fan=6).collect()}
+    assert got == want
+
+
+def test_numbers_of_ids_with_one_prefix(spark):
+    rows = spark.createDataFrame([(f"B000{k % 90:03d}", k % 2) for k in range(300)], "a string, b int")
+    got = ordered.numbered(rows, "a", "b").collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 301))
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["place"])] == sorted((r["a"], r["b"]) for r in got)
+    assert ordered.indexed(rows, "a", "b", ranges=6).groupBy("part").count().count() > 3
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -188,22 +230,6 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("s1").collect())) == sorted(map(tuple, events.last_status(e).collect()))
-    q = status.violations(stream).writeStream.outputMode("append").format("memory").queryName("s2").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [(r["doc_id"], r["seq"]) for r in spark.table("s2").collect()] == [(1, 3)]
-
-
-def test_stream_duplicates(spark, tmp_path):
-    schema = "folder string, fiscal_hash string, finalized_seq long, status string, rejected boolean"
-    df = spark.createDataFrame([("a", "h", 1, "error", False), ("b", "h", 2, "done", False), ("c", "h", 3, "done", False)], schema)
-    for k in (1, 2, 3):
-        df.where(F.col("finalized_seq") == k).coalesce(1).write.parquet(str(tmp_path / str(k)))
-    q = status.duplicates(status.read_events(spark, str(tmp_path / "*"), schema)).writeStream.outputMode("append").format("memory").queryName("s3").start()
-    q.processAllAvailable()
-    q.stop()
-    batch = {r["folder"]: r["duplicate_of"] for r in duplicates.blocked_duplicates(df).collect()}
-    assert {r["folder"]: r["duplicate_of"] for r in spark.table("s3").collect()} == batch
 
 
 def test_stream_master_updates(spark, tmp_path):
@@ -222,13 +248,9 @@ def test_export_sequences_are_never_cut(spark):
     assert {r["file"].split("_")[2] for r in got} == {f"{k:02d}" for k in range(1, 121)}
 
 
-def test_drained_streams_take_events_in_order(spark, monkeypatch):
+def test_streams_of_shuffled_files_equal_the_log(spark, monkeypatch):
     from ledgerloom.plans import scalar_queries
 
-    # one file a trigger, and the partitions of the log in falling order of seq
-    read = status.read_events
-    monkeypatch.setattr(scalar_queries.status, "read_events", lambda spark, path, schema, files: read(spark, path, schema, 1))
-    monkeypatch.setattr(status, "FILES", 1)
     names = sorted(events.TRANSITIONS)
     rows = [(k % 5, k, names[k * k % 11 % len(names)]) for k in range(1, 61)]
     log = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], 6), "doc_id long, seq long, status string")
