@@ -137,9 +137,10 @@ def fill_in_middle(
 
 def restored(output: str = "output", form: str = "form", marks: tuple[str, str, str] = (PREFIX, SUFFIX, MIDDLE)) -> Column:
     """The text that an output was made of. Marks stand in it once each, as no rearranged text holds one."""
-    opened, closed, held = marks
-    body, middle = (F.split_part(F.col(output), F.lit(held), F.lit(k)) for k in (1, 2))
-    head, tail = (F.split_part(body, F.lit(closed), F.lit(k)) for k in (1, 2))  # psm: the prefix with its mark, the suffix
-    suffix, prefix = (F.split_part(tail, F.lit(opened), F.lit(k)) for k in (1, 2))  # spm
-    psm = F.concat(F.substring(head, len(opened) + 1, 2**31 - 1), middle, tail)
-    return F.when(F.col(form) == "plain", F.col(output)).when(F.col(form) == "psm", psm).otherwise(F.concat(prefix, middle, suffix))
+    out, size = F.col(output), [len(m) for m in marks]
+    p, s, m = (F.instr(out, F.lit(mark)) for mark in marks)
+    part = lambda begin, end: F.substring(out, begin, end - begin)
+    middle = F.substring(out, m + size[2], F.lit(2**31 - 1))
+    psm = F.concat(part(p + size[0], s), middle, part(s + size[1], m))
+    spm = F.concat(part(p + size[0], m), middle, part(s + size[1], p))
+    return F.when(F.col(form) == "plain", out).when(F.col(form) == "psm", psm).otherwise(spm)
