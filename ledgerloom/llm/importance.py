@@ -31,7 +31,7 @@ PERCENT = 10
 SEED = 2024
 #: Words and pairs in the head, at most: some 30 bytes each.
 HEAD = 1 << 16
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Words of more bytes take their CRC one by one.
 LONG = 64
 
@@ -44,6 +44,8 @@ def _crc_table() -> np.ndarray:
 
 
 _TABLE = _crc_table()
+#: The bytes of words, A-Z as a-z; 0 for what stands between words.
+_LETTERS = np.where(ALNUM == 0, 0, ALNUM - 1).astype(np.uint8)
 
 
 def extend(states: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -66,7 +68,7 @@ class Words:
     """The words of a block of texts: the distinct ones, which of them stands at each place, and the row of each place."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        t = ALNUM[data].astype(np.uint16)
+        t = _LETTERS[data]
         inside = t != 0
         start = inside.copy()
         start[1:] &= ~inside[:-1]
@@ -75,8 +77,8 @@ class Words:
         s = np.flatnonzero(start)
         self.count = np.diff(np.searchsorted(s, bounds))
         self.row = np.repeat(np.arange(len(bounds) - 1), self.count)
-        letters = (t[inside] - 1).astype(np.uint8)
-        offsets = np.concatenate([np.cumsum(inside)[s] - 1, [len(letters)]]).astype(np.int64)
+        letters = t[inside]
+        offsets = np.concatenate([np.cumsum(inside, dtype=np.int32)[s] - 1, [len(letters)]]).astype(np.int64)
         each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
         coded = each.dictionary_encode()
         self.distinct = coded.dictionary
@@ -134,12 +136,13 @@ def features(data: np.ndarray, bounds: np.ndarray, head: Head, max_words: int, b
     place = head.places(words)
     states = head.states_of(words, place)
     found, rows = [(states % np.uint32(buckets)).astype(np.int64)[words.code]], [words.row]
-    if max_words == 2:
-        near = words.row[1:] == words.row[:-1]
-        key, back = np.unique(words.code[:-1][near] * len(states) + words.code[1:][near], return_inverse=True)
-        a, b = np.divmod(key, max(len(states), 1))
-        found.append(head.pair_buckets_of(words, place, states, a, b, buckets)[back])
-        rows.append(words.row[1:][near])
+    if max_words < 2:
+        return found[0], rows[0], words.count
+    near = words.row[1:] == words.row[:-1]
+    key, back = np.unique(words.code[:-1][near] * len(states) + words.code[1:][near], return_inverse=True)
+    a, b = np.divmod(key, max(len(states), 1))
+    found.append(head.pair_buckets_of(words, place, states, a, b, buckets)[back])
+    rows.append(words.row[1:][near])
     return np.concatenate(found), np.concatenate(rows), words.count
 
 
