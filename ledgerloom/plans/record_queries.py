@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..operators import assemble, duplicates, events, extraction, listing, parties
 from ..sources import dimensions, readers, sinks
-from ..streaming import keyed, status
+from ..streaming import keyed, registrations, status
 from .event_queries import CLOSED, E, LAST, log
 from .party_queries import _FIELDS, HASHED, fields, hashed, lines, master, routed
 from .views import registry, view
@@ -69,18 +69,39 @@ b AS (SELECT k, list(book ORDER BY s) AS v FROM (SELECT k, book, min(seq) AS s F
 m AS (SELECT *, CASE WHEN pos % 3 = 0 THEN ['compras'] WHEN pos % 3 = 1 THEN ['ventas','compras'] ELSE [] END AS libros, CASE WHEN pos % 5 = 0 THEN ['proveedor'] ELSE ['proveedor','cliente'] END AS tipos FROM master)"""
 
 
-@registry.add("scl56_registered_clients", "SCL-56 FLT-19", f"""WITH {CONFIRMED}
+REGISTERED = f"""WITH {CONFIRMED}
     SELECT coalesce(m.nif, n.k) AS nif, coalesce(nullif(trim(m.nombre), ''), nm, '') AS nombre, coalesce(fecha_alta, CASE WHEN n.k IS NOT NULL THEN '2026-01-01' END) AS fecha_alta, CAST(coalesce(documentos, 0) + coalesce(n.n, 0) AS BIGINT) AS documentos,
       CASE WHEN ultima IS NULL THEN d WHEN d IS NULL THEN ultima ELSE greatest(ultima, d) END AS ultima, array_to_string(list_concat(coalesce(libros, []), list_filter(coalesce(b.v, []), lambda x: NOT list_contains(coalesce(libros, []), x))), ',') AS libros, array_to_string(list_concat(coalesce(tipos, []), list_filter(coalesce(t.v, []), lambda x: NOT list_contains(coalesce(tipos, []), x))), ',') AS tipos
-    FROM m FULL JOIN n ON m.nif = n.k LEFT JOIN b ON n.k = b.k LEFT JOIN t ON n.k = t.k""", ("docs", "master"))
-def scl56_registered_clients(spark, sf):
+    FROM m FULL JOIN n ON m.nif = n.k LEFT JOIN b ON n.k = b.k LEFT JOIN t ON n.k = t.k"""
+
+
+def confirmations(spark, sf):
     d, k = view(spark, sf, "docs"), F.col("doc_id") % 10 == 0
-    rows = d.select(
+    return d.select(
         F.col("doc_id").alias("seq"), F.when(k, " ").when(F.col("doc_id") % 3 == 0, F.lower("receiver_nif")).otherwise(F.col("receiver_nif")).alias("nif"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat("receiver_name", F.lit(" "))).alias("nombre"),
         F.when(F.col("doc_id") % 7 != 0, F.col("date")).alias("date"), "book", parties.party_types(F.col("book"))[1].alias("kind"), F.col("issuer_verdict").alias("decision"),
     )
-    out = parties.register(master(spark, sf), rows, "2026-01-01")
-    return out.select("nif", "nombre", "fecha_alta", "documentos", "ultima", F.array_join("libros", ",").alias("libros"), F.array_join("tipos", ",").alias("tipos"))
+
+
+def with_sets_as_text(clients):
+    return clients.select("nif", "nombre", "fecha_alta", "documentos", "ultima", F.array_join("libros", ",").alias("libros"), F.array_join("tipos", ",").alias("tipos"))
+
+
+@registry.add("scl56_registered_clients", "SCL-56 FLT-19", REGISTERED, ("docs", "master"))
+def scl56_registered_clients(spark, sf):
+    return with_sets_as_text(parties.register(master(spark, sf), confirmations(spark, sf), "2026-01-01"))
+
+
+@registry.add("str05_stream_registrations", "STR-05 SCL-56", REGISTERED, ("docs", "master"))
+def str05_stream_registrations(spark, sf):
+    """The confirmations come in no order, in three batches."""
+    root = folder(spark, "registrations")
+    rows = confirmations(spark, sf)
+    rows.repartition(6, F.xxhash64("seq")).write.parquet(f"{root}/in")
+    store = registrations.Store(spark, f"{root}/store")
+    store.begin(master(spark, sf))
+    registrations.registrations(status.read_events(spark, f"{root}/in", rows.schema, 2), store, f"{root}/state", "2026-01-01").awaitTermination()
+    return with_sets_as_text(store.master())
 
 
 @registry.add("str05_stream_master", "STR-05 SNK-10", """
