@@ -18,9 +18,9 @@ def _whole(kind: str) -> str:
 
 
 def _written(kind: str) -> str:
-    """The kind as people write it: with spaces between, or a leading zero left out."""
+    """The kind as people write it: a blank after the letter, after the first one or two digits, and before any character from there on; one digit may be missing."""
     first, n, last = SHAPES[kind]
-    return (f"[{first}] ?" if first else "") + rf"\d(?: ?\d){{{n - 2},{n - 1}}} ?[{last}]"
+    return (f"[{first}] ?" if first else "") + rf"\d{{1,2}}(?: ?\d){{{n - 2}}} ?[{last}]"
 
 
 NIF, CIF, NIE = map(_whole, ("nif", "cif", "nie"))

@@ -61,6 +61,20 @@ def scl16_17_context(spark, sf):
     text = F.concat(F.lit("NIF: "), F.col("issuer_nif"), F.lit(" Factura "), F.col("number"), F.lit(" cif. "), F.col("receiver_nif"))
     return d.select("doc_id", F.array_join(texts.in_context(text, texts.ID_CONTEXT, texts.ID_SHAPE, 20), ",").alias("ids"), texts.in_context(text, texts.NUMBER_CONTEXT, r"[A-Z0-9][A-Z0-9\-/]{3,}", 30)[0].alias("number"), F.size(texts.context_windows(text, texts.ID_CONTEXT, 20)).cast("long").alias("windows"), F.left(text, F.lit(8)).alias("head"))
 
+_ODD = ["15 de de marzo 2026", "15 marzo 2026ñ", "día 15 marzo de 2026.", "1 ENE de 1999", "115 mayo 2020", "31 de abril de 2020", "(3 de sept 2020)", "9 dic 2021x", "x9 dic 2021", "29 feb 2024 y 1 mar 2024"]
+_ODD_IDS = ["1 2345678Z", "B 1 2345674", "X 1 234567L", "B 12 34567 4", "12 3 4 5 6 7 8 Z", "x1234567l", "B1234567A9", "1234567Z", "Z 9"]
+_EDGES = [None, None, "2026-03-15", "1999-01-01", None, None, None, None, None, "2024-02-29"]
+_EDGE_IDS = ["2345678Z", "B 1 234567", "1 234567L", "B 12 34567 4", "12 3 4 5 6 7 8 Z", "x1234567l", "B1234567A", "1234567Z", ""]
+_list = lambda xs: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in xs) + "]"
+
+@registry.add("scl15_16_edges", "SCL-15 SCL-16", f"""SELECT doc_id, {_list(_EDGES)}[CAST(doc_id % {len(_ODD)} AS INT) + 1] AS iso, {_list(_EDGE_IDS)}[CAST(doc_id % {len(_ODD_IDS)} AS INT) + 1] AS id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE receiver_nif END AS receiver FROM docs""", D)
+def scl15_16_edges(spark, sf):
+    """Dates and ids as no layout has them, and the receiver's id after the words that announce it."""
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs)).cast("int"))
+    text = F.concat(F.lit("NIF: "), "issuer_nif", F.when(F.col("doc_id") % 3 == 0, " Bill  TO: ").when(F.col("doc_id") % 3 == 1, "\nDatos fiscales del cliente # ").otherwise(" clientela "), "receiver_nif")
+    found = texts.in_context(text, texts.RECEIVER_CONTEXT, texts.ID_SHAPE, 20)
+    return view(spark, sf, "docs").select("doc_id", dates.iso_date(pick(_ODD)).alias("iso"), F.regexp_extract(pick(_ODD_IDS), f"(?i){identifiers.WRITTEN}", 0).alias("id"), F.get(found, F.lit(0)).alias("receiver"))
+
 @registry.add("scl27_32_34_36_keys", "SCL-27 SCL-32 SCL-34 SCL-35 SCL-36 SCL-63", r"""
     SELECT doc_id, nullif(regexp_replace(trim(lower(regexp_replace(translate(trim(concept), ' -', '__'), '[^a-zA-Z_]', '', 'g')), '_'), '_+', '_', 'g'), '') AS concept_key,
       regexp_replace(upper(regexp_replace('f- 00' || number, '\s+', '', 'g')), '(^|[^A-Z0-9])0+([1-9])', '\1\2', 'g') AS number_key,
