@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..operators import assemble, duplicates, events, extraction, listing, parties
+from ..operators import assemble, duplicates, events, extraction, listing, parties, status_files
 from ..sources import dimensions, readers, sinks
 from ..streaming import keyed, registrations, status
 from .event_queries import CLOSED, E, LAST, log
@@ -135,6 +135,35 @@ def snk01_audit_log(spark, sf):
     return spark.read.schema("doc_id long, book string, fecha string, decision string, autocargable boolean").json(path).select("doc_id", "book", "fecha", "decision", "autocargable")
 
 
+AUDITED = "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'k' || doc_id END AS key, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE book END AS book, CASE WHEN doc_id % 7 = 0 THEN 'yesterday' ELSE date || 'T23:30:00Z' END AS ts, CASE WHEN doc_id % 5 = 0 THEN '{\"doc_id\": ' ELSE '{\"doc_id\": ' || doc_id || '}' END AS payload, date FROM docs"
+
+
+@registry.add("snk01_audit_and_refused", "SNK-01", f"WITH a AS ({AUDITED}) SELECT CASE WHEN coalesce(key, '') = '' THEN NULL ELSE key END AS key, book, CASE WHEN key IS NULL THEN 'key' WHEN trim(book) = '' THEN 'book' WHEN ts = 'yesterday' THEN 'time' WHEN doc_id % 5 = 0 THEN 'payload' END AS reason, payload, count(*) AS n FROM a GROUP BY ALL", D)
+def snk01_audit_and_refused(spark, sf):
+    """The first run breaks off after a part of the records; the second brings all of them."""
+    text, k = F.col("doc_id").cast("string"), F.col("doc_id")
+    records = view(spark, sf, "docs").select(
+        F.when(k % 9 != 0, F.concat(F.lit("k"), text)).alias("key"), F.when(k % 8 == 0, " ").otherwise(F.col("book")).alias("book"), F.when(k % 7 == 0, "yesterday").otherwise(F.concat("date", F.lit("T23:30:00Z"))).alias("ts"),
+        F.when(k % 5 == 0, F.lit('{"doc_id": ')).otherwise(F.concat(F.lit('{"doc_id": '), text, F.lit("}"))).alias("payload"), k.alias("doc_id"),
+    )
+    path, refused = folder(spark, "audit"), folder(spark, "refused")
+    sinks.audit(records.where("doc_id % 3 = 0"), path, folder(spark, "refused"))
+    sinks.audit(records, path, refused)
+    read = lambda p: spark.read.schema("key string, payload string, book string, reason string").json(p).select("key", "payload", "book", "reason")
+    return read(path).unionByName(read(refused)).groupBy("key", "book", "reason", "payload").agg(F.count("*").alias("n"))
+
+
+UPDATES = """p AS (SELECT user_id AS doc_id, event_id AS seq, CASE WHEN event_id % 17 = 0 THEN '{broken' WHEN event_id % 19 = 0 THEN '[1]' WHEN event_id % 5 = 0 THEN '{\"step\":\"' || event_type || '\",\"error\":null}' WHEN event_id % 5 = 1 THEN '{\"error\":{\"code\":' || event_id || '},\"n_' || event_type || '\":' || event_id || '}' ELSE props END AS patch FROM {events})"""
+
+
+@registry.add("snk11_status_files", "SNK-11", f"""WITH {UPDATES.replace("{events}", "events")}, f AS (SELECT doc_id, seq, unnest(json_keys(patch)) AS k, patch FROM p WHERE json_valid(patch) AND json_type(patch) = 'OBJECT'), v AS (SELECT doc_id, k, arg_max(coalesce(CAST(json_extract(patch, '$."' || k || '"') AS VARCHAR), 'null'), seq) AS v FROM f GROUP BY 1, 2),
+    o AS (SELECT doc_id, string_agg('"' || k || '":' || v, ',' ORDER BY k) AS cells FROM v GROUP BY 1), b AS (SELECT doc_id, count(*) FILTER (patch IS NULL OR NOT json_valid(patch) OR patch = '[1]') AS bad FROM p GROUP BY 1) SELECT doc_id, '{{' || coalesce(cells, '') || '}}' AS status, bad FROM b LEFT JOIN o USING (doc_id)""")
+def snk11_status_files(spark, sf):
+    text = UPDATES.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")  # only the table's name is to be filled in
+    rows = spark.sql(f"WITH {text} SELECT * FROM p", events=spark.read.parquet(f"{sf}/events.parquet"))
+    return status_files.merged(rows)
+
+
 _LEDGER = "'600;' || coalesce(concept, '') || ';' || CAST(CAST(coalesce(base, 0) + coalesce(tax, 0) AS DECIMAL(18,2)) AS VARCHAR) || ';0.00;' || coalesce(CAST(rate AS VARCHAR), '') || ';' || CAST(CAST(coalesce(base, 0) AS DECIMAL(18,2)) AS VARCHAR)"
 CSV = f"""l AS (SELECT doc_id, line_index, CAST(TRY_CAST(base_raw AS DECIMAL(18,6)) AS DECIMAL(14,2)) AS base, CAST(TRY_CAST(rate_raw AS DECIMAL(18,6)) AS DECIMAL(6,2)) AS rate, CAST(TRY_CAST(tax_raw AS DECIMAL(18,6)) AS DECIMAL(14,2)) AS tax FROM tax_lines),
 csv AS (SELECT doc_id, '{sinks.LEDGER_HEADER}' || chr(10) || string_agg({_LEDGER}, chr(10) ORDER BY line_index) || chr(10) AS csv FROM l JOIN docs USING (doc_id) GROUP BY doc_id)"""

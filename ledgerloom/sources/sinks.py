@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from typing import NamedTuple
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numbers import csv_cell_lf
@@ -22,6 +27,52 @@ def append_audit(records: DataFrame, path: str) -> None:
     records.withColumn("fecha", F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd")).write.mode("append").partitionBy("book", "fecha").json(path)
 
 
+class Appended(NamedTuple):
+    """What became of audit records: how many were written, were there before, and were refused; the error if nothing could be written."""
+
+    written: int
+    known: int
+    refused: int
+    error: str | None = None
+
+
+def audit(records: DataFrame, path: str, refused: str) -> Appended:
+    """Appends audit records (key, book, ts text, payload text), each key once, and never fails the run that calls it.
+
+    A record whose key, book or time is missing, or whose payload is no JSON,
+    goes to the JSON lines in ``refused`` with the ``reason``; the others to
+    ``path`` as :func:`append_audit` has them. What is in the same book and day
+    already isn't written again, so that a run that starts anew adds what its
+    first attempt lacks; of a key that comes twice the first payload in text
+    order stays. An error of the store is logged and returned.
+    """
+    spark = records.sparkSession
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    time = F.try_to_timestamp("ts")
+    reason = F.when(blank("key"), "key").when(blank("book"), "book").when(time.isNull(), "time").when(F.coalesce(F.try_parse_json("payload").isNull(), F.lit(True)), "payload")
+    tagged = records.select("key", "book", "ts", "payload", reason.alias("reason"))
+    try:
+        day = F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd")
+        good = tagged.where("reason is null").withColumn("fecha", day).groupBy("key", "book", "fecha").agg(F.min(F.struct("payload", "ts")).alias("x")).select("key", "book", "fecha", "x.*")
+        fields = "key string, payload string, ts string, book string, fecha string"
+        there = spark.read.schema(fields).json(path) if _exists(spark, path) else spark.createDataFrame([], fields)
+        known = there.select("key", "book", "fecha").distinct()
+        old = good.join(known, ["key", "book", "fecha"], "left_semi").count()
+        before = there.count()
+        good.join(known, ["key", "book", "fecha"], "left_anti").write.mode("append").partitionBy("book", "fecha").json(path)
+        bad = tagged.where("reason is not null")
+        bad.write.mode("append").json(refused)
+        return Appended(spark.read.schema(fields).json(path).count() - before, old, bad.count())
+    except (PySparkException, Py4JError) as error:
+        logging.getLogger(__name__).error("audit records could not be written to %s: %s", path, error)
+        return Appended(0, 0, 0, str(error).splitlines()[0])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def append_json(records: DataFrame, path: str) -> None:
     """Appends manifests and feedback as JSON lines."""
     records.write.mode("append").json(path)
