@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import fiscal_hash
 from .. import scratch
 from ..operators import assemble, duplicates, export, fiscal, parties, rollups
+from ..sources import folders
 from .views import registry, view
 
 DM = ("docs", "master")
@@ -251,6 +252,17 @@ def snk05_export_files(spark, sf):
     return export.file_digests(export.leaves(export.read_parts(spark, path)))
 
 
+@registry.add("snk14_archive", "SNK-14", f"WITH {LEAVES}, f AS (SELECT file_nif || '_' || file_kind || '.csv' AS name, string_agg(text, '' ORDER BY leaf) AS text FROM leaves GROUP BY ALL) SELECT name, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS digest FROM f", DL)
+def snk14_archive(spark, sf):
+    """All files in archives, read again."""
+    folders.register(spark)
+    path = scratch.folder(spark, "archives")
+    files = export.contents(view(spark, sf, "docs"), lines(spark, sf))
+    members = files.select(F.concat("file_nif", F.lit("_"), "file_kind", F.lit(".csv")).alias("name"), F.encode("content", "UTF-8").alias("content"))
+    members.write.format("ziparchive").mode("append").save(path)
+    return spark.read.format("ziparchive").load(path).select("name", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
 @registry.add("agg09_export_warnings", "AGG-09 FLT-17", f"WITH {ROWS}, w AS (SELECT k.*, h.doc_id IS NOT NULL AS has FROM k LEFT JOIN (SELECT DISTINCT doc_id FROM l) h ON k.doc_id = h.doc_id) SELECT count_if(coalesce(account, '') = '') AS no_account, count(DISTINCT CASE WHEN coalesce(account, '') = '' THEN file_nif || file_kind END) AS no_account_files, count_if(coalesce(date, '') = '' OR coalesce(number, '') = '') AS no_date_or_number, count(DISTINCT CASE WHEN coalesce(date, '') = '' OR coalesce(number, '') = '' THEN file_nif || file_kind END) AS no_date_or_number_files, count_if(NOT has) AS no_lines, count(DISTINCT CASE WHEN NOT has THEN file_nif || file_kind END) AS no_lines_files FROM w", DL)
 def agg09_export_warnings(spark, sf):
     return export.warnings(view(spark, sf, "docs"), lines(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators import assemble, duplicates, events, extraction, listing, parties, status_files
-from ..sources import dimensions, readers, sinks
+from ..sources import dimensions, folders, readers, sinks
 from ..streaming import keyed, registrations, status
 from .event_queries import CLOSED, E, LAST, log
 from .party_queries import _FIELDS, HASHED, fields, hashed, lines, master, routed
@@ -242,6 +242,17 @@ def src02_entry_folders(spark, sf):
     return readers.entry_folders(view(spark, sf, "finals").select(F.concat_ws("/", F.lit("libros/asientos"), "folder", name).alias("path")))
 
 
+@registry.add("src02_sidecar_states", "SRC-02 SRC-03", "SELECT folder, CASE doc_id % 6 WHEN 0 THEN 'absent' WHEN 1 THEN 'corrupt' ELSE 'ok' END AS state, CASE WHEN doc_id % 6 > 1 THEN status END AS status FROM finals", ("finals",))
+def src02_sidecar_states(spark, sf):
+    """Sidecars are written, some not and some broken, and read again with their folders."""
+    folders.register(spark)
+    path = folder(spark, "entries")
+    k = F.col("doc_id") % 6
+    content = F.when(k == 1, '{"status": ').when(k > 1, F.to_json(F.struct("status")))
+    view(spark, sf, "finals").select("folder", content.alias("content")).write.format("sidecars").mode("append").save(path)
+    return spark.read.format("sidecars").load(path).select("folder", "state", F.get_json_object("content", "$.status").alias("status"))
+
+
 @registry.add("src06_named_artifacts", "SRC-06", "SELECT doc_id, name, CASE WHEN name = '.env' THEN 'refused' WHEN doc_id % 4 = 0 THEN 'absent' WHEN doc_id % 17 = 0 THEN 'corrupt' ELSE 'ok' END AS state FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '.env' ELSE 'resultado_fiscal' END AS name FROM docs)", D)
 def src06_named_artifacts(spark, sf):
     d = view(spark, sf, "docs")
