@@ -79,15 +79,16 @@ class Automaton:
         #: Items without id mark words, but are not named.
         self.names = sorted({name for name, _ in items if name is not None})
         number = {name: k for k, name in enumerate(self.names)}
-        build, ends, pairs, short = _Builder(), [], set(), []
+        build, whole, pairs, short = _Builder(), [], set(), []
         for name, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             pairs.update(a << 32 | b for a, b in zip(ids, ids[1:]))
             last = 0
             for i in ids:
                 last = build.append(last, i)
-                ends.append((last, number.get(name, -1)))
-            if 0 < len(ids) < window:
+            if len(ids) >= window:
+                whole.append((number.get(name, -1), ids))
+            elif ids:
                 short.append((name, ids))
         #: Neighbouring words of items; a match of two words or more runs over these only.
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
@@ -95,8 +96,14 @@ class Automaton:
         edges = sorted((s << 32 | c, t) for s, by in enumerate(build.next) for c, t in by.items())
         self.edges, self.targets = array("q", [e for e, _ in edges]), array("i", [t for _, t in edges])
         self.link, self.length = array("i", build.link), array("i", build.length)
-        # which items a window's state stands for: a state of an item's prefix has a window of it as its suffix
-        owned = {(self.up(s, window), k) for s, k in ends if self.length[s] >= window}
+        # which items a window's state stands for: each item is read through its own automaton, a window at a time
+        owned = set()
+        for k, ids in whole:
+            state = size = 0
+            for c in ids:
+                state, size = self.trimmed(self.step(state, c), size + 1)
+                if size == window:
+                    owned.add((state, k))
         self.whole: dict[int, int] = {}  # state of an item shorter than the window: its length
         for name, ids in short:
             state = 0
@@ -120,6 +127,10 @@ class Automaton:
             state = self.link[state]
         return state
 
+    def trimmed(self, state: int, size: int) -> tuple[int, int]:
+        """A match that is longer than the window, cut to it. From a match of the window's size one word on, that is one link at most, however often words repeat."""
+        return (self.up(state, self.window), self.window) if size > self.window else (state, size)
+
     def of(self, state: int) -> list[int]:
         """The numbers of the items whose window the state is."""
         return self.owners[bisect_left(self.owned, state) : bisect_right(self.owned, state)].tolist()
@@ -139,13 +150,13 @@ class Automaton:
                     size = self.length[state]
                     after = self.step(state, c)
                 if after >= 0:
-                    state, size = after, size + 1
+                    state, size = self.trimmed(after, size + 1)
                 matched = 0
-                if size >= self.window:
+                if size == self.window:
                     matched = self.window
-                    states.add(self.up(state, self.window))
+                    states.add(state)
                 if self.whole:
-                    s = state
+                    s = state  # at most a window's links up to the root
                     while s > 0:
                         if (n := self.whole.get(s)) and n <= size:
                             matched = max(matched, n)
