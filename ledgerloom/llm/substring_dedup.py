@@ -7,6 +7,11 @@ from the last boundary. So boundaries depend on nearby content alone, and an
 insertion shifts no chunk but those that it touches. Chunks with one digest are
 the same; all but the first place are repeats.
 
+What is looked up is a seed: from each chunk on, as many neighbouring chunks as
+make 48 bytes. A sentence that also stands elsewhere, alone and earlier, so
+doesn't hide a longer passage: the seeds over its edges have their own first
+place.
+
 A passage begins and ends within chunks. So repeats that lie in one document at
 one distance from their first places are held against those places byte by
 byte, with a margin of the longest chunk, and what is equal there and long
@@ -25,15 +30,16 @@ from .blocks import blocks, mix, powers
 from .lineage import cut, drop
 from .salted import with_facts
 
-#: A boundary every 32 bytes on average; its decision sees the last 16 bytes.
-MASK = 31
+#: A boundary every 16 bytes on average, of which those too close after another are left out; its decision sees the last 16 bytes.
+MASK = 15
 SEEN = 16
 LEAST_CHUNK = 16
 MOST_CHUNK = 256
 
-#: Bytes of whole chunks that make a candidate, and bytes of a passage.
+#: Bytes of neighbouring chunks that make a seed, and bytes of a passage; ids that may be broadcast once they are counted, 8 bytes each.
 LEAST_SEED = 48
 LEAST_PASSAGE = 120
+BROADCAST_KEYS = 1_000_000
 
 GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
@@ -43,7 +49,7 @@ def boundaries(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     h = GEAR[data]
     for k in (1, 2, 4, 8):  # the sum of the last 2, 4, 8, 16 bytes' gears, each shifted by its distance
         h[k:] += h[:-k].copy() << np.uint32(k)
-    at = np.flatnonzero((h >> np.uint32(SEEN - 5)) & np.uint32(MASK) == 0) + 1
+    at = np.flatnonzero((h >> np.uint32(SEEN - 4)) & np.uint32(MASK) == 0) + 1
     row = np.searchsorted(bounds, at, side="right") - 1
     inside = at < bounds[-1]
     inside[inside] = at[inside] - bounds[row[inside]] >= SEEN
@@ -62,8 +68,16 @@ def boundaries(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, start, np.minimum(start + MOST_CHUNK, end)
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, d, start, end): every chunk of every text with its digest, in bytes of UTF-8."""
+def seeds(row: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the shortest runs of chunks of one text, from each chunk on, that have ``least`` bytes."""
+    last = np.searchsorted(end, start + least)
+    whole = last < len(end)
+    whole[whole] = row[last[whole]] == row[whole]
+    return row[whole], start[whole], end[last[whole]]
+
+
+def chunks(df: DataFrame, id_col: str, text_col: str, least: int = LEAST_SEED) -> DataFrame:
+    """(id, key, d, start, end): from every chunk of every text on, the chunks that make a seed, with their digest, in bytes of UTF-8."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("d", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +85,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a, _, data, bounds in blocks(batch.column(2)):
                 if not len(data):
                     continue
-                row, start, end = boundaries(data, bounds)
+                row, start, end = seeds(*boundaries(data, bounds), least)
                 up, down = powers(len(data) + 1)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
                 d = mix((total[end] - total[start]) * down[start])
@@ -106,30 +120,34 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, start, end, n_chunks, first_doc_id, key): passages of ``least_passage`` bytes or more that an earlier place has.
 
     Places are ordered by id, text hash and offset; start and end are bytes of
-    the document's UTF-8 text; n_chunks counts the repeated chunks that led to
+    the document's UTF-8 text; n_chunks counts the repeated seeds that led to
     the passage; first_doc_id is the document with the first place of the
     passage's beginning. Passages that overlap or touch are one. A passage is
-    found if chunks of ``LEAST_SEED`` bytes lie in it: of 51 words or more, over
-    97 %. Null and empty texts have no chunks; rows without id come first; rows
+    found if a seed of ``LEAST_SEED`` bytes lies in it whose first place is in the
+    same earlier passage: of 51 words or more, over 97 %, also where its
+    sentences stand alone in still earlier documents. Null and empty texts have no chunks; rows without id come first; rows
     with one id and one text are one document; an empty table gives an empty
     result.
     """
-    every = cut(chunks(df, id_col, text_col))
+    every = cut(chunks(df, id_col, text_col, min(LEAST_SEED, least_passage)))
     met = cut(with_facts(every, ["d"], ["key", "start"], [F.count("*").alias("times")], "times > 1").drop("times"))
     drop(every)
     later = with_facts(met, ["d"], ["key", "start"], [F.min(F.struct("id", "key", "start")).alias("first")]).where("not (key = first.key and start = first.start)")
     later = later.select("key", "id", "start", "end", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), (F.col("start") - F.col("first.start")).alias("shift")).distinct()
     # what one document shares with another at one distance
-    lanes = later.groupBy("key", "first_key", "shift").agg(F.min("id").alias("id"), F.min("first_id").alias("first_id"), F.min("start").alias("lo"), F.max("end").alias("hi"), F.sum(F.col("end") - F.col("start")).alias("seen"), F.count("*").alias("n_chunks"))
-    lanes = cut(lanes.where(F.col("seen") >= min(LEAST_SEED, least_passage)).withColumn("lo", F.greatest(F.col("lo") - MOST_CHUNK, F.col("shift"), F.lit(0))).withColumn("hi", F.col("hi") + MOST_CHUNK))
+    lanes = later.groupBy("key", "first_key", "shift").agg(F.min("id").alias("id"), F.min("first_id").alias("first_id"), F.min("start").alias("lo"), F.max("end").alias("hi"), F.count("*").alias("n_chunks"))
+    lanes = cut(lanes.withColumn("lo", F.greatest(F.col("lo") - MOST_CHUNK, F.col("shift"), F.lit(0))).withColumn("hi", F.col("hi") + MOST_CHUNK))
     drop(met)
 
     lane = ["key", "first_key", "shift"]
     own = lanes.select(F.col("key").alias("at"), *lane, F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(0).alias("side"))
     other = lanes.select(F.col("first_key").alias("at"), *lane, (F.col("lo") - F.col("shift")).alias("a"), (F.col("hi") - F.col("shift")).alias("b"), F.lit(1).alias("side"))
-    # a document that very many others share a passage with: adaptive execution splits its rows
+    # texts without lanes aren't shuffled; a document that very many others share a passage with: adaptive execution splits its rows
+    both = own.union(other)
+    wanted = cut(both.select("at").distinct())
     texts = _source(df, id_col, text_col).select(F.col("key").alias("at"), F.encode("text", "UTF-8").alias("raw"))
-    cuts = texts.join(own.union(other), "at").select(*lane, "side", F.substring(F.col("raw"), F.col("a") + 1, F.col("b") - F.col("a")).alias("part"))
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "at", "left_semi")
+    cuts = texts.join(both, "at").select(*lane, "side", F.substring(F.col("raw"), F.col("a") + 1, F.col("b") - F.col("a")).alias("part"))
     pairs = cuts.groupBy(*lane).agg(F.max(F.when(F.col("side") == 0, F.col("part"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("part"))).alias("other"))
     pairs = pairs.join(lanes, lane).select("id", "key", "first_id", "n_chunks", "lo", "own", "other")
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("first_doc_id", pa.int64()), ("n_chunks", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -143,7 +161,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), start, end], schema=schema)
 
     found = cut(pairs.mapInArrow(run, "doc_id long, key long, first_doc_id long, n_chunks long, start long, end long"))
-    drop(lanes)
+    drop(lanes, wanted)
     before = W.partitionBy("key").orderBy("start", "end", "first_doc_id")
     reached = F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1))
     islands = found.withColumn("begins", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))

@@ -363,6 +363,45 @@ def test_substring_dedup_finds_planted_passages(spark):
     assert sum(p in found.get(k, "") for k, p in later) >= 0.97 * len(later)
 
 
+def test_substring_dedup_finds_passages_of_known_sentences(spark):
+    """Two sentences that stand alone in earlier documents and together in two later ones: the later of these has both, whole."""
+    rng = random.Random(26)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuv", k=rng.randrange(2, 10))) for _ in range(4000)]
+    around = lambda x: f"{prose(rng, rng.randrange(20, 60), words)} {x} {prose(rng, rng.randrange(20, 60), words)}"
+    docs, planted = [], {}
+    for k in range(150):
+        a, b = (prose(rng, 30, words)[:112] for _ in range(2))
+        docs += [(4 * k, around(a)), (4 * k + 1, around(b)), (4 * k + 2, around(f"{a} {b}")), (4 * k + 3, around(f"{a} {b}"))]
+        planted[4 * k + 3] = f"{a} {b}"
+    texts, found = dict(docs), {}
+    for r in substring_dedup.repeated_passages(documents(spark, docs)).collect():
+        found.setdefault(r["doc_id"], []).append(texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode())
+    assert sum(any(p in x for x in found.get(k, [])) for k, p in planted.items()) >= 0.97 * len(planted)
+    assert not {k for k in found if k % 4 < 2}
+
+
+def test_substring_dedup_equals_all_common_substrings(spark):
+    """By brute force: what is reported lies in an earlier place, nothing else, and of all bytes in common substrings of 120 bytes or more few are left."""
+    rng = random.Random(36)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(300)]
+    parts = [prose(rng, rng.randrange(10, 45), words) for _ in range(12)]
+    docs = [(k, " ".join(rng.choice(parts) if rng.random() < 0.4 else prose(rng, rng.randrange(5, 30), words) for _ in range(rng.randrange(2, 7)))) for k in range(40)]
+    least, seen, want = substring_dedup.LEAST_PASSAGE, set(), {}
+    for k, text in docs:
+        own = [text[i : i + least] for i in range(len(text) - least + 1)]
+        marks = set()
+        for i, x in enumerate(own):
+            if x in seen or x in own[:i]:
+                marks |= set(range(i, i + least))
+        want[k] = marks
+        seen |= set(own)
+    got = {k: set() for k, _ in docs}
+    for r in substring_dedup.repeated_passages(documents(spark, docs)).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(map(len, got.values())) >= 0.9 * sum(map(len, want.values())) > 0
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(7)
     a = prose(rng, 3000).encode()
@@ -376,6 +415,20 @@ def test_chunks_resist_shifts():
     assert (start[row == 3] - len(b) - 5).tolist() == cuts(a)[1].tolist()
 
 
+# 2, of texts that repeat themselves
+
+
+def test_automaton_takes_linear_time_on_repeated_words():
+    import time
+
+    start = time.process_time()
+    word = decontamination.Automaton([("a", [b"x"] * 20_000), ("b", [b"x", b"y"] * 50), ("c", [b"x"] * 5)])
+    built = time.process_time()
+    spans, names = word.spans([b"x"] * 200_000 + [b"y"] + [b"x", b"y"] * 10)
+    assert built - start < 6 and time.process_time() - built < 6
+    assert spans == [(0, 200_021)] and names == {"a", "b", "c"}
+
+
 # 7
 
 
