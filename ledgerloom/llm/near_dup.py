@@ -13,7 +13,8 @@ is compared. A node is small if few of its members lie outside of its largest
 component: these are compared with all others. In other nodes, members are held
 against a few pivots, new ones at each level, so that a large group of near copies
 is joined in a number of comparisons that grows with the group, not with its
-square; then the node branches, the first time by set size too. Only (node, member) rows move through the
+square; then the node branches, the first time by set size too. Of the pairs between
+two components only the nearest is confirmed first, the others if that joins them not. Only (node, member) rows move through the
 trees; tokens are fetched for members of nodes that branch. Every link is
 confirmed on the full sets.
 """
@@ -37,6 +38,7 @@ ROOT_DEPTH = 3
 LAST_DEPTH = 12
 SMALL_NODE = 48
 PIVOTS = 4
+FEW = 16
 THRESHOLD = 0.8
 SHINGLE = 2
 
@@ -200,6 +202,32 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def linked(pairs: DataFrame, labels: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
+    """The components after all links among the pairs (a, b, far).
+
+    Of two components the pair with the nearest sketches is confirmed first. Most
+    pairs lie within one component then; the others are confirmed all.
+    """
+    open_pairs = cut(pairs.distinct())
+    for first in (True, False):
+        if open_pairs.isEmpty():
+            break
+        apart = _placed(_placed(open_pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
+        tried = apart.select("a", "b")
+        if first:
+            pair = F.min(F.struct("far", "a", "b")).alias("x")
+            tried = cut(apart.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(pair).select("x.a", "x.b"))
+        found = confirmed(tried, df, id_col, text_col, shingle, threshold)
+        if first:
+            before, open_pairs = open_pairs, cut(open_pairs.join(tried, ["a", "b"], "left_anti"))
+            drop(before, tried)
+        if not found.isEmpty():
+            labels = joined(labels, found)
+        drop(found)
+    drop(open_pairs)
+    return labels
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, root_depth: int = ROOT_DEPTH, last_depth: int = LAST_DEPTH, small_node: int = SMALL_NODE, pool: int = POOL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -239,7 +267,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(found.union(own))
     drop(found)
 
+    # members of small nodes outside of its largest component: against a few of that component first, most join there; then the nearest pair of two components
     before, rows = rows, rows.select("path", "id", "n", "s1", "s2")
+    near = mixed_nodes(_placed(rows, labels, "id", "c"), root_depth).where(F.col("minor") <= small_node)
+    labels = linked(against_minor(near.where(_is_few("path", "id", "size") | (F.col("c") != F.col("main"))), threshold), labels, df, id_col, text_col, shingle, threshold)
     for depth in range(root_depth, last_depth + 1):
         # nodes that hold two components or more
         rows = cut(mixed_nodes(_placed(rows, labels, "id", "c"), depth))
@@ -249,16 +280,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = against_minor(rows.where(small), threshold)
         large = rows.where(~small)
         if depth == root_depth:
-            pairs = pairs.union(_placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b"))
+            pairs = pairs.union(_placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b", "far"))
         if depth == last_depth:
             pairs = pairs.union(in_tiles(large, small_node, threshold))
         else:
             held = large.alias("r").where("c <> p.c").where(_may_link("r", "p", threshold))
-            pairs = pairs.union(held.select(F.col("p.id").alias("a"), F.col("r.id").alias("b")))
-        found = confirmed(pairs, df, id_col, text_col, shingle, threshold)
-        if not found.isEmpty():
-            labels = joined(labels, found)
-        drop(found)
+            pairs = pairs.union(held.select(F.col("p.id").alias("a"), F.col("r.id").alias("b"), _distance("r", "p").alias("far")))
+        labels = linked(pairs, labels, df, id_col, text_col, shingle, threshold)
         if depth == last_depth or large.isEmpty():
             break
         large = by_size(large, threshold) if depth == root_depth else large
@@ -273,6 +301,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _is_few(path: str, member: str, size: str) -> Column:
+    """Some sixteen members of each node, by hash; all of a node that has no more."""
+    return F.pmod(F.xxhash64(member, path), F.col(size)) < FEW
+
+
 def mixed_nodes(rows: DataFrame, depth: int) -> DataFrame:
     """rows (path, id, n, s1, s2, c) of nodes with two components or more, with the node's ``size``, the component ``main`` with most members, the number of ``minor`` members outside of it, and a pivot ``p``, a new one at each depth."""
     order = F.struct(F.xxhash64("id", F.lit(depth)).alias("turn"), "id", "n", "s1", "s2", "c")
@@ -284,7 +317,7 @@ def mixed_nodes(rows: DataFrame, depth: int) -> DataFrame:
 
 def _cross(x: DataFrame, y: DataFrame, on: list[str], also: str, threshold: float) -> DataFrame:
     met = x.alias("x").join(y.alias("y"), on).where(f"x.c <> y.c and {also}").where(_may_link("x", "y", threshold))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _distance("x", "y").alias("far"))
 
 
 def against_minor(rows: DataFrame, threshold: float) -> DataFrame:
