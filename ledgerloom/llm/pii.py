@@ -283,7 +283,7 @@ def train(patterns: DataFrame, known: Reliabilities) -> tuple[dict[str, float],
         return dict.fromkeys(names, 0.0), -30.0
     rows = VectorAssembler(inputCols=list(names), outputCol="features").transform(both)
     model = LogisticRegression(weightCol="weight", regParam=0.001, maxIter=100, standardization=False).fit(rows)
-    out = dict(zip(names, model.coefficients.tolist())), float(model.intercept)
+    out = dict(zip(names, model.coefficients.toArray().tolist())), float(model.intercept)
     drop(both)
     return out
 

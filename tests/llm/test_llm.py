@@ -638,10 +638,53 @@ def test_line_dedup_meets_every_earlier_run(spark, frequent):
 # all together
 
 
+#: What the results must hold; there may be more columns.
+RESULTS = {
+    "op1": "page_id bigint, host string, path string, rule string, verdict string", "op2": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op3": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double", "op4": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op5": "doc_id bigint, held_out boolean, score double, predicted int", "op6": "doc_id bigint, start bigint, end bigint", "op7": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op8": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint", "op9": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean", "op10": "doc_id bigint",
+    "op11": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", "op12": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+}
+TABLES = {"op1": "pages", "op7": "embeddings", "op6": None, "op8": None}
+
+
+def holds(op, rows, ids):
+    """Invariants of a result."""
+    if op in ("op4", "op5"):
+        least = 0.5 if op == "op4" else 0.3
+        return all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    if op in ("op7", "op9"):
+        key = "vec_id" if op == "op7" else "doc_id"
+        least = {}
+        for r in rows:
+            least[r["component_id"]] = min(least.get(r["component_id"], r[key]), r[key])
+        return all(r["kept"] == (r[key] == r["component_id"]) and least[r["component_id"]] == r["component_id"] for r in rows)
+    if op == "op8":
+        docs, packs = {}, {}
+        for r in rows:
+            docs.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+            packs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        gapless = lambda spans: all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
+        whole = all(gapless([x[:2] for x in sorted(p)]) and sum(x[1] for x in p) == p[0][2] for p in docs.values())
+        return set(docs) == ids and whole and all(gapless(sorted(p)) and sum(n for _, n in p) <= 2048 for p in packs.values())
+    if op == "op6":
+        return all(0 <= r["start"] and r["end"] - r["start"] >= substring_dedup.LEAST_PASSAGE and r["doc_id"] in ids for r in rows)
+    return True
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries(spark, sf, name):
     df = QUERIES[name](spark, sf)
     rows = df.collect()
+    op = name.partition("_")[0]
+    kinds = {k: "bigint" if op == "op6" and v == "int" else v for k, v in df.dtypes}
+    assert all(kinds.get(k) == v for k, v in (c.split() for c in RESULTS[op].split(", ")))
+    table = TABLES.get(op, "documents")
+    if table:
+        assert len(rows) == spark.read.parquet(f"{sf}/{table}.parquet").count()
+    assert holds(op, rows, {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()})
     if name in ORACLE:
         import duckdb
 
