@@ -260,13 +260,15 @@ def src06_named_artifacts(spark, sf):
     return readers.artifact(asked, d.where("doc_id % 4 <> 0").select("doc_id", F.explode(F.array(F.lit("resultado_fiscal"), F.lit(".env"))).alias("name"), (F.col("doc_id") % 17 == 0).alias("corrupt")))
 
 
-@registry.add("src10_clients", "SRC-10", "SELECT 'N' || n_nationkey AS nif, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS nombre FROM nation")
+@registry.add("src10_clients", "SRC-10", "SELECT c_custkey // 50 AS file, 'N' || c_custkey AS nif, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS nombre FROM customer WHERE c_custkey // 50 % 7 <> 3")
 def src10_clients(spark, sf):
-    """A file of 25 clients, and two that can't be read, which give none."""
-    rows = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name").collect()  # a dimension of 25 rows
-    text = "clientes:\n" + "".join(f"  N{k}: {{{'' if k % 4 == 0 else f'nombre: {name!r}'}}}\n" for k, name in rows)
-    load = lambda t: dimensions.load_yaml(spark, t, "clientes", "nif string, nombre string")
-    return load(text).union(load(None)).union(load("clientes: [broken"))
+    """Files of fifty clients each; every seventh can't be read and gives none."""
+    key = F.col("c_custkey")
+    entry = F.concat(F.lit("  N"), key.cast("string"), F.when(key % 4 == 0, ": {}\n").otherwise(F.concat(F.lit(": {nombre: '"), "c_name", F.lit("'}\n"))))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.floor(key / 50).alias("file"), F.struct(key, entry.alias("entry")).alias("e"))
+    texts = rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["entry"]), "").alias("text"))
+    text = F.concat(F.lit("clientes:\n"), "text", F.when(F.col("file") % 7 == 3, "[broken").otherwise(""))
+    return dimensions.read_yaml(texts.select("file", text.alias("text")), "clientes", "nif string, nombre string")
 
 
 _FILES = "SELECT book, CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS VARCHAR) || '.pdf' WHEN 1 THEN 'scan_' || doc_id || '_b.PNG' WHEN 2 THEN doc_id || '.docx' WHEN 3 THEN 'x.' || doc_id || '.tiff' ELSE 'none.pdf' END AS name, CAST(doc_id * 37 AS BIGINT) AS size, date AS added, doc_id FROM docs"

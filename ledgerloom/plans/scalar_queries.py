@@ -155,10 +155,14 @@ def flt18_editable_numbers(spark, sf):
 def src01_files_by_extension(spark, sf):
     return readers.with_extension(table(spark, sf, "pages").select("page_id", "url"), "url", ("html",)).orderBy("url", "page_id")
 
-@registry.add("src09_whitelist", "SRC-09", "SELECT * FROM (VALUES ('compras','600'),('compras','601'),('compras','602'),('ventas','700'),('ventas','705')) t(book_key, code)")
+@registry.add("src09_whitelist", "SRC-09", "SELECT s_nationkey AS file, 's' || s_suppkey AS book_key, unnest([CAST(600 + s_suppkey % 40 AS VARCHAR), s_suppkey || '.01', 'x y']) AS code FROM supplier")
 def src09_whitelist(spark, sf):
-    text = '# accounts\ncompras:\n  - "600"; "601"\n  - "602" # one more\n\nventas:\n  - "700";"705"'
-    return dimensions.whitelist(spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no int, value string"))
+    """A file for each nation, a key for each of its suppliers, with comments, blank lines and both kinds of quotes."""
+    k = F.col("s_suppkey")
+    block = F.concat(F.lit("# accounts\ns"), k.cast("string"), F.lit(":\n  - \""), (600 + k % 40).cast("string"), F.lit("\"; '"), k.cast("string"), F.lit(".01';\n\n - \"x y\" # one more"))
+    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("file"), F.struct(k, block.alias("block")).alias("b"))
+    texts = rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda x: x["block"]), "\n").alias("text"))
+    return dimensions.whitelist(dimensions.lines_of(texts), "file")
 
 @registry.add("set01_02_ordered_union", "SET-01 SET-02 SET-07", "WITH u AS (SELECT doc_id, 0 AS t, min(seq) AS p FROM doc_events WHERE status = 'uploaded' GROUP BY 1 UNION ALL SELECT doc_id, 1, min(seq) FROM doc_events WHERE status = 'review' GROUP BY 1) SELECT doc_id, t AS source, p AS pos FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t, p) = 1", ("doc_events",))
 def set01_02_ordered_union(spark, sf):
