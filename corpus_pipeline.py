@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import decontamination, line_dedup, near_dup, packing, quality
+from ledgerloom.llm.lineage import drop, shared_folder
 from ledgerloom.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,11 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``. What a stage returns is a Parquet table in the warehouse folder."""
-    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    """All stages on ``documents``. What a stage returns is a Parquet table in the shared folder, of which a stage's input goes once its result is written."""
+    root, before = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{root}/corpus_pipeline/{uuid.uuid4().hex}/{name}"
+        path = f"{root}/ledgerloom-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs, done = spark.read.parquet(path), before
+        drop(done)
+        before = docs
     return docs
