@@ -78,7 +78,7 @@ def scl15_16_edges(spark, sf):
 _VERSIONS = """v AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'x.1.2' WHEN 2 THEN '1.2' ELSE (doc_id % 3) || '.' || (doc_id % 12) || '.' || (doc_id % 4) || CASE doc_id % 4 WHEN 0 THEN '-rc.1' WHEN 1 THEN '-' ELSE '' END END AS latest,
   CASE doc_id % 13 WHEN 0 THEN '' WHEN 1 THEN '0.0.0-dev' ELSE (doc_id % 3) || '.' || (doc_id % 10) || '.' || (doc_id % 2) || CASE WHEN doc_id % 5 = 0 THEN '-dev' ELSE '' END END AS current FROM {docs})"""
 
-@registry.add("scl47_newer_versions", "SCL-47", f"""WITH {_VERSIONS.replace("{docs}", "docs")}, n AS (SELECT *, regexp_extract(latest, '^([0-9]+)\.([0-9]+)\.([0-9]+)(-.+)?', ['a','b','c','s']) AS l, regexp_extract(current, '^([0-9]+)\.([0-9]+)\.([0-9]+)(-.+)?', ['a','b','c','s']) AS r FROM v)
+@registry.add("scl47_newer_versions", "SCL-47", rf"""WITH {_VERSIONS.replace("{docs}", "docs")}, n AS (SELECT *, regexp_extract(latest, '^([0-9]+)\.([0-9]+)\.([0-9]+)(-.+)?', ['a','b','c','s']) AS l, regexp_extract(current, '^([0-9]+)\.([0-9]+)\.([0-9]+)(-.+)?', ['a','b','c','s']) AS r FROM v)
     SELECT doc_id, latest, current, CASE WHEN coalesce(latest, '') = '' OR coalesce(current, '') = '' THEN false WHEN l.a = '' OR r.a = '' THEN latest <> current ELSE (TRY_CAST(l.a AS INT), TRY_CAST(l.b AS INT), TRY_CAST(l.c AS INT), l.s = '') > (TRY_CAST(r.a AS INT), TRY_CAST(r.b AS INT), TRY_CAST(r.c AS INT), r.s = '') END AS newer FROM n""", D)
 def scl47_newer_versions(spark, sf):
     v = spark.sql(f"WITH {_VERSIONS} SELECT * FROM v", docs=view(spark, sf, "docs"))
