@@ -13,14 +13,23 @@ is compared. A node is small if few of its members lie outside of its largest
 component: these are compared with all others. In other nodes, members are held
 against a few pivots, new ones at each level, so that a large group of near copies
 is joined in a number of comparisons that grows with the group, not with its
-square; then the node branches, the first time by set size too. Only (node, member) rows move through the
-trees; tokens are fetched for members of nodes that branch. Every link is
-confirmed on the full sets.
+square; then the node branches, the first time by set size too.
+
+What is compared first are odd sketches: each element of a set flips one bit of
+1024, so the bits in which two sketches differ count the elements that only one
+set has. Sets of up to 1024 elements are sketched whole, larger ones by a
+sample of their elements, a quarter at each level; a set that may be linked with
+one of the next level is sketched at both. Only (node, member) rows move through
+the trees; sketches are fetched for members of nodes that hold more than one
+component, tokens for members of nodes that branch. Every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +38,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .blocks import SPACED, blocks, follow, mix, ragged, words
 from .components import components
 from .lineage import cut, drop
-from .salted import salt, salts_of, spread, with_facts
+from .salted import salt, salts_of, spread
 
 TREES = 16
 POOL = 48
 ROOT_DEPTH = 3
 LAST_DEPTH = 12
-SMALL_NODE = 48
-PIVOTS = 4
+SMALL_NODE = 512
+TILE = 256
+PIVOTS = 2
 THRESHOLD = 0.8
 SHINGLE = 2
 
 #: Ids that may be broadcast, 8 bytes each, once they are counted.
 BROADCAST_IDS = 1_000_000
 
-#: Bits of 128 in which the one-bit sketches of a linked pair may differ: a pair at a similarity of 0.8 has more with a probability of 0.0006.
-BITS = 24
+#: Bits of an odd sketch; as many elements of a set are sketched at most.
+BITS = 1024
+
+#: The 64-bit parts of a sketch.
+PARTS = [f"q{k}" for k in range(BITS // 64)]
+
+#: Standard deviations by which two sketches may differ more than those of a pair at the threshold are expected to: one in 30,000 such pairs does.
+SLACK = 4
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -74,43 +90,66 @@ def _minima(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, pool: int = POOL) -> DataFrame:
-    """(id, n, d1, d2, tokens, s1, s2): set size, digest, the pool of minwise tokens and a one-bit sketch."""
+def _odd_sketches(hashes: np.ndarray, level: int, levels: int) -> np.ndarray:
+    """The odd sketches of a set at ``levels`` levels from ``level`` on, as 64-bit parts one after the other."""
+    h = mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+    out = []
+    for k in range(level, level + levels):
+        drawn = h if k == 0 else h[(h >> np.uint64(64 - 2 * k)) == 0]
+        odd = np.bincount((drawn & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+    return np.concatenate(out)
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float = THRESHOLD, pool: int = POOL) -> DataFrame:
+    """(id, n, d1, d2, tokens, lv, q): set size, digest, the pool of minwise tokens, the level of the odd sketch and its parts, followed by those of the next level if links may reach it."""
     factors = mix(np.arange(1, pool + 1, dtype=np.uint64)) | np.uint64(1)
-    bit_factors = mix(np.arange(10_001, 10_129, dtype=np.uint64)) | np.uint64(1)
-    both = np.concatenate([factors, bit_factors])
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int32())), ("s1", pa.int64()), ("s2", pa.int64())])
+    percent = round(100 * threshold)
+    names = {"id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "tokens": pa.list_(pa.int32()), "lv": pa.int32(), "q": pa.list_(pa.int64())}
+    schema = pa.schema(list(names.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in blocks(batch.column(1)):
-                n, d, tokens, bits = [], [], [], []
+                n, d, tokens, levels, parts = [], [], [], [], []
                 for s in shingle_sets(data, bounds, shingle):
                     n.append(len(s))
+                    level = 0
+                    while len(s) > BITS << 2 * level:
+                        level += 1
+                    levels.append(level)
                     if len(s):
-                        low = _minima(s, both)
-                        tokens.append(low[: len(factors)].astype(np.uint32).view(np.int32))
-                        # the lowest bit of a minimum is not random enough: mix it first
-                        one = mix(low[len(factors) :] + np.uint64(77)) & np.uint64(1)
-                        bits.append(((one[:64] * weights).sum(dtype=np.uint64), (one[64:] * weights).sum(dtype=np.uint64)))
+                        tokens.append(_minima(s, factors).astype(np.uint32).view(np.int32))
+                        parts.append(_odd_sketches(s, level, 1 + (100 * len(s) >= percent * (BITS << 2 * level))))
                         d.append((mix(s).sum(dtype=np.uint64), mix(s * np.uint64(_ODD)).sum(dtype=np.uint64)))
                     else:
                         tokens.append(np.zeros(0, np.int32))
-                        bits.append((np.uint64(0), np.uint64(0)))
+                        parts.append(np.zeros(0, np.int64))
                         d.append((np.uint64(0), np.uint64(0)))
-                signed = [np.array(x, dtype=np.uint64).view(np.int64) for x in (*zip(*d), *zip(*bits))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(signed[0]), pa.array(signed[1]), ragged(tokens, pa.int32()), pa.array(signed[2]), pa.array(signed[3])], schema=schema)
+                signed = [np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*d)]
+                columns = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(signed[0]), pa.array(signed[1]), ragged(tokens, pa.int32()), pa.array(levels, pa.int32()), ragged(parts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, tokens array<int>, lv int, q array<long>")
+
+
+def _levels() -> Column:
+    """The one or two levels at which a member is sketched."""
+    return F.sequence("lv", F.col("lv") + F.when(F.size("q") > len(PARTS), 1).otherwise(0))
+
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, tokens array<int>, s1 long, s2 long")
+def marks_of(members: DataFrame) -> DataFrame:
+    """(id, lv, n, q0, ...): the odd sketches of each member, a row for each level."""
+    each = members.select("id", "n", "q", F.posexplode(_levels()).alias("k", "lv"))
+    return each.select("id", "lv", "n", *(F.get("q", F.col("k") * len(PARTS) + i).alias(q) for i, q in enumerate(PARTS)))
 
 
 def first_nodes(members: DataFrame, trees: int, root_depth: int, pool: int) -> DataFrame:
-    """(path, id, n, s1, s2): the first node of each member in each tree, by ``root_depth`` different tokens of the pool."""
+    """(path, id, lv): the first node of each member in each tree and at each of its levels, by ``root_depth`` different tokens of the pool."""
     rng = np.random.default_rng(9)
     chosen = [rng.choice(pool, root_depth, replace=False).tolist() for _ in range(trees)]
-    paths = F.array(*(F.xxhash64(F.lit(t), *(F.element_at("tokens", k + 1) for k in at)) for t, at in enumerate(chosen)))
-    return members.select(F.explode(paths).alias("path"), "id", "n", "s1", "s2")
+    paths = F.array(*(F.xxhash64(F.lit(t), "lv", *(F.element_at("tokens", k + 1) for k in at)) for t, at in enumerate(chosen)))
+    return members.select("id", "tokens", F.explode(_levels()).alias("lv")).select(F.explode(paths).alias("path"), "id", "lv")
 
 
 def by_size(rows: DataFrame, threshold: float) -> DataFrame:
@@ -125,18 +164,31 @@ def branches(rows: DataFrame, tokens: DataFrame, depth: int, threshold: float, p
     second = F.pmod(F.xxhash64("path", F.lit(depth), F.lit(-1)), F.lit(1000)) < round(1000 * (1 / threshold - 1))
     at = F.array_distinct(F.when(second, F.array(draw(0), draw(1))).otherwise(F.array(draw(0))))
     below = rows.join(tokens, "id").withColumn("at", F.explode(at))
-    return below.select(F.xxhash64("path", "at", F.element_at("tokens", F.col("at"))).alias("path"), "id", "n", "s1", "s2")
+    return below.select(F.xxhash64("path", "at", F.element_at("tokens", F.col("at"))).alias("path"), "id", "lv")
 
 
 def _distance(a: str, b: str) -> Column:
     """Bits in which two sketches differ."""
-    return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+    return reduce(add, (F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in PARTS))
 
 
 def _may_link(a: str, b: str, threshold: float) -> Column:
-    """Sizes and sketches allow a link."""
+    """Sizes and sketches, of one level, allow a link.
+
+    Sets at the threshold differ in (n1 + n2) (1 - threshold) / (1 + threshold)
+    elements. Of sets sketched whole, no pair at the threshold fails for having
+    more bits than that; beyond, and for samples, the expected number of bits
+    and ``SLACK`` standard deviations decide.
+    """
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n1, n2) >= round(100 * threshold) * F.greatest(n1, n2)) & (_distance(a, b) <= BITS)
+    percent = round(100 * threshold)
+    whole = F.col(f"{a}.lv") == 0
+    apart = F.pow(F.lit(0.25), F.col(f"{a}.lv")) * (n1 + n2) * F.lit((100 - percent) / (100 + percent))
+    near, twice = F.exp(-apart / (BITS / 2)), F.exp(-apart / (BITS / 4))
+    deviation = F.sqrt((1 - twice) * (BITS / 4) - F.when(whole, apart * twice).otherwise(0.0))
+    most = (1 - near) * (BITS / 2) + SLACK * deviation + 1
+    sizes = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+    return sizes & (_distance(a, b) <= F.when(whole, F.least(most, apart + 1e-6)).otherwise(most))
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -210,39 +262,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     after two levels more with 0.99, after five with 0.97 and after nine, at
     the last depth, with 0.91 (simulated; a pair at 0.85 with 0.97). What is
     mixed at the last depth is compared exhaustively, whatever its size, in
-    blocks.
+    blocks. An odd sketch keeps one of 30,000 pairs at the threshold apart.
 
     Null and empty texts have the empty set and are linked with nothing. Rows
     with one id are one document, linked by any of its texts. Rows without id
     are kept, without component. An empty table gives an empty result.
     """
-    sketch = cut(sketches(df, id_col, text_col, shingle, pool))
+    sketch = cut(sketches(df, id_col, text_col, shingle, threshold, pool))
     known = sketch.where("n > 0 and id is not null")
     classes = cut(known.groupBy("d1", "d2").agg(F.min("id").alias("rep"), salts_of(["id"]).alias("mask")))
     members = known.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["id", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
-    members = cut(members.select("id", "n", "s1", "s2", "tokens"))
+    members = cut(members.select("id", "n", "tokens", "lv", "q"))
+    marks = cut(marks_of(members))
 
     # ids with several texts join the classes of all of them
     several = known.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("id")
     own = known.join(several, "id", "left_semi").select("id", "d1", "d2").join(classes, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    # a few pivots of each node: a member of a loose group is near one of them in some tree
-    turn = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("turn"), "id", "n", "s1", "s2"))
-    pivots = F.array(*(turn(k) for k in range(PIVOTS))).alias("pivots")
-    rows = cut(with_facts(first_nodes(members, trees, root_depth, pool), ["path"], ["id"], [pivots, F.count("*").alias("size")], "size > 1"))
+    # a few pivots of each node that holds two members or more: a member of a loose group is near one of them in some tree
+    turn = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("turn"), "id"))["id"]
+    first = first_nodes(members, trees, root_depth, pool)
+    pivots = F.array_distinct(F.array(*(turn(k) for k in range(PIVOTS)))).alias("pivots")
+    nodes = cut(first.groupBy("path").agg(F.count("*").alias("size"), pivots, F.min("lv").alias("lv"), salts_of(["id"]).alias("mask")).where("size > 1"))
+    rows = cut(first.withColumn("__salt", salt("id")).join(spread(nodes.select("path", "mask"), "mask"), ["path", "__salt"]))
 
     # every member against that pivot of its first nodes whose sketch is nearest; the others are tried next, where this leaves them apart
-    stars = rows.select("id", "n", "s1", "s2", F.explode(F.array_distinct("pivots")).alias("p")).alias("r").where("id <> p.id").where(_may_link("r", "p", threshold))
-    stars = cut(stars.select(F.col("p.id").alias("a"), F.col("r.id").alias("b"), _distance("r", "p").alias("far")).distinct())
+    heads = spread(nodes.select("path", "lv", "mask", F.explode("pivots").alias("id")).join(marks, ["id", "lv"]).drop("lv"), "mask")
+    stars = rows.join(marks, ["id", "lv"]).alias("r").join(heads.alias("p"), ["path", "__salt"]).where("r.id <> p.id").where(_may_link("r", "p", threshold))
+    stars = cut(stars.groupBy(F.col("p.id").alias("a"), F.col("r.id").alias("b")).agg(F.min(_distance("r", "p")).alias("far")))
+    drop(nodes)
     nearest = F.min(F.struct("far", "a"))["a"].alias("a")
     found = confirmed(stars.groupBy("b").agg(nearest).select("a", "b"), df, id_col, text_col, shingle, threshold)
     labels = components(found.union(own))
     drop(found)
 
-    before, rows = rows, rows.select("path", "id", "n", "s1", "s2")
+    before, rows = rows, rows.drop("__salt")
     for depth in range(root_depth, last_depth + 1):
         # nodes that hold two components or more
-        rows = cut(mixed_nodes(_placed(rows, labels, "id", "c"), depth))
+        rows = cut(mixed_nodes(_placed(rows, labels, "id", "c"), marks, depth))
         drop(before)
         before = rows
         small = F.col("minor") <= small_node
@@ -250,21 +307,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         large = rows.where(~small)
         if depth == root_depth:
             pairs = pairs.union(_placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b"))
+        last = depth == last_depth or large.isEmpty()
         if depth == last_depth:
-            pairs = pairs.union(in_tiles(large, small_node, threshold))
-        else:
-            held = large.alias("r").where("c <> p.c").where(_may_link("r", "p", threshold))
-            pairs = pairs.union(held.select(F.col("p.id").alias("a"), F.col("r.id").alias("b")))
+            pairs = pairs.union(in_tiles(large, TILE, threshold))
+        elif not last:
+            pairs = pairs.union(against_pivots(large, marks, threshold))
         found = confirmed(pairs, df, id_col, text_col, shingle, threshold)
         if not found.isEmpty():
             labels = joined(labels, found)
         drop(found)
-        if depth == last_depth or large.isEmpty():
+        if last:
             break
         large = by_size(large, threshold) if depth == root_depth else large
         rows = branches(large, members.select("id", "tokens"), depth, threshold, pool)
     drop(stars)
-    drop(before, members)
+    drop(before, members, marks)
 
     place = spread(_placed(classes, labels, "rep", "found"), "mask")
     out = sketch.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("d1")).alias("d1"), "d2", salt("id").alias("__salt"))
@@ -273,13 +330,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def mixed_nodes(rows: DataFrame, depth: int) -> DataFrame:
-    """rows (path, id, n, s1, s2, c) of nodes with two components or more, with the node's ``size``, the component ``main`` with most members, the number of ``minor`` members outside of it, and a pivot ``p``, a new one at each depth."""
-    order = F.struct(F.xxhash64("id", F.lit(depth)).alias("turn"), "id", "n", "s1", "s2", "c")
+def mixed_nodes(rows: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
+    """rows (path, id, lv, c) of nodes with two components or more, with their sketches, the node's ``size``, the component ``main`` with most members, the number of ``minor`` members outside of it, and a pivot ``p`` (its id and component), a new one at each depth."""
+    order = F.struct(F.xxhash64("id", F.lit(depth)).alias("turn"), "id", "c")
     by = rows.groupBy("path", "c").agg(F.count("*").alias("many"), F.min(order).alias("p"), salts_of(["id"]).alias("mask"))
     nodes = by.groupBy("path").agg(F.sum("many").alias("size"), F.max(F.struct("many", "c")).alias("most"), F.min("p").alias("p"), F.bit_or("mask").alias("mask"), F.count("*").alias("components")).where("components > 1")
     nodes = nodes.select("path", "size", F.col("most.c").alias("main"), (F.col("size") - F.col("most.many")).alias("minor"), "p", F.col("mask").alias("salts"), "mask")
-    return rows.withColumn("__salt", salt("id")).join(spread(nodes, "mask"), ["path", "__salt"])
+    mixed = rows.withColumn("__salt", salt("id")).join(spread(nodes, "mask"), ["path", "__salt"])
+    return mixed.join(marks, ["id", "lv"])
+
+
+_SIDE = ["path", "id", "lv", "n", "c", *PARTS]
 
 
 def _cross(x: DataFrame, y: DataFrame, on: list[str], also: str, threshold: float) -> DataFrame:
@@ -289,9 +350,15 @@ def _cross(x: DataFrame, y: DataFrame, on: list[str], also: str, threshold: floa
 
 def against_minor(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components in nodes with few minor members: each of these with every member of its node. Grows with the node, not with its square."""
-    side = ["path", "__salt", "id", "n", "s1", "s2", "c"]
-    minor = spread(rows.where("c <> main").drop("__salt"), "salts").select(*side)
-    return _cross(minor, rows.select(*side, "main"), ["path", "__salt"], "(y.c = y.main or x.id < y.id)", threshold)
+    minor = spread(rows.where("c <> main").drop("__salt"), "salts").select(*_SIDE, "__salt")
+    return _cross(rows.select(*_SIDE, "main", "__salt"), minor, ["path", "__salt"], "(x.c = x.main or x.id > y.id)", threshold)
+
+
+def against_pivots(rows: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components: every member of a node with the node's pivot."""
+    nodes = rows.groupBy("path").agg(F.min("lv").alias("lv"), F.min("p.id").alias("id"), F.min("p.c").alias("c"), F.min("salts").alias("salts"))
+    heads = spread(nodes.join(marks, ["id", "lv"]), "salts").select(*_SIDE, "__salt")
+    return _cross(rows.select(*_SIDE, "__salt"), heads, ["path", "__salt"], "true", threshold)
 
 
 def in_tiles(rows: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -301,7 +368,7 @@ def in_tiles(rows: DataFrame, size: int, threshold: float) -> DataFrame:
     sides = []
     for k in (0, 1):
         other = F.sequence(own, tiles - 1) if k == 0 else F.sequence(F.lit(0), own)
-        out = rows.select("path", "id", "n", "s1", "s2", "c", own.alias("own"), F.explode(other).alias("other"))
+        out = rows.select(*_SIDE, own.alias("own"), F.explode(other).alias("other"))
         i, j = ("own", "other") if k == 0 else ("other", "own")
-        sides.append(out.select("path", "id", "n", "s1", "s2", "c", F.col(i).alias("i"), F.col(j).alias("j")))
+        sides.append(out.select(*_SIDE, F.col(i).alias("i"), F.col(j).alias("j")))
     return _cross(*sides, ["path", "i", "j"], "(i < j or x.id < y.id)", threshold)
