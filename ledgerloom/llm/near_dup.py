@@ -45,6 +45,7 @@ POOL = 48
 ROOT_DEPTH = 3
 LAST_DEPTH = 12
 SMALL_NODE = 512
+PART = 2048
 TILE = 256
 PIVOTS = 2
 THRESHOLD = 0.8
@@ -349,9 +350,13 @@ def _cross(x: DataFrame, y: DataFrame, on: list[str], also: str, threshold: floa
 
 
 def against_minor(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components in nodes with few minor members: each of these with every member of its node. Grows with the node, not with its square."""
-    minor = spread(rows.where("c <> main").drop("__salt"), "salts").select(*_SIDE, "__salt")
-    return _cross(rows.select(*_SIDE, "main", "__salt"), minor, ["path", "__salt"], "(x.c = x.main or x.id > y.id)", threshold)
+    """Pairs (a, b) of different components in nodes with few minor members: each of these with every member of its node. Grows with the node, not with its square.
+
+    A node's members are dealt into parts of some 2048, and its minor members go to every part: at most a quarter of the node's size in copies, and one copy in an ordinary node.
+    """
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    minor = rows.where("c <> main").select(*_SIDE, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return _cross(rows.select(*_SIDE, "main", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")), minor, ["path", "part"], "(x.c = x.main or x.id > y.id)", threshold)
 
 
 def against_pivots(rows: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
