@@ -253,6 +253,18 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components."""
+    return _placed(_placed(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
+
+
+def nearest_of_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each component the pair (a, b) with another one whose sketches differ least: no more pairs than components."""
+    placed = _placed(_placed(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
+    ends = placed.select(F.explode(F.array("ca", "cb")).alias("c"), "far", "a", "b")
+    return ends.groupBy("c").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, root_depth: int = ROOT_DEPTH, last_depth: int = LAST_DEPTH, small_node: int = SMALL_NODE, pool: int = POOL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -307,16 +319,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = against_minor(rows.where(small), threshold)
         large = rows.where(~small)
         if depth == root_depth:
-            pairs = pairs.union(_placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b"))
+            pairs = pairs.union(_placed(_placed(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b", "far"))
         last = depth == last_depth or large.isEmpty()
         if depth == last_depth:
             pairs = pairs.union(in_tiles(large, TILE, threshold))
         elif not last:
             pairs = pairs.union(against_pivots(large, marks, threshold))
-        found = confirmed(pairs, df, id_col, text_col, shingle, threshold)
-        if not found.isEmpty():
+        pairs = cut(pairs.groupBy("a", "b").agg(F.min("far").alias("far")))
+        # first the nearest candidate of each component, then those that this leaves apart
+        for part in (nearest_of_components, apart):
+            found = confirmed(part(pairs, labels), df, id_col, text_col, shingle, threshold)
+            if found.isEmpty():
+                drop(found)
+                continue
             labels = joined(labels, found)
-        drop(found)
+            drop(found)
+        drop(pairs)
         if last:
             break
         large = by_size(large, threshold) if depth == root_depth else large
@@ -346,7 +364,7 @@ _SIDE = ["path", "id", "lv", "n", "c", *PARTS]
 
 def _cross(x: DataFrame, y: DataFrame, on: list[str], also: str, threshold: float) -> DataFrame:
     met = x.alias("x").join(y.alias("y"), on).where(f"x.c <> y.c and {also}").where(_may_link("x", "y", threshold))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _distance("x", "y").alias("far"))
 
 
 def against_minor(rows: DataFrame, threshold: float) -> DataFrame:
