@@ -39,7 +39,8 @@ def visible(documents: DataFrame, focus: DataFrame, pending: DataFrame, batch: D
 
 
 def recovered_children(listing: DataFrame, uploaded: DataFrame) -> DataFrame:
-    """(book, uploaded, parts, children, statuses) of uploads (book, name) whose parts X__NofM.pdf the listing (book, name, status) holds; without a status a part is uploaded."""
+    """(book, uploaded, parts, children, statuses) of uploads (book, name) whose parts X__NofM.pdf the listing (book, name, status) holds; without a status a part is uploaded. A name that the listing of a book has twice is one file."""
+    listing = listing.groupBy("book", "name").agg(F.max("status").alias("status"))
     stem = split_name(F.regexp_replace("name", r"(?i)\.pdf$", ""))
     parts = listing.where(F.col("name").rlike(r"(?i)\.pdf$")).select("book", F.lower(stem["parent"]).alias("parent"), F.regexp_replace("name", r"(?i)\.pdf$", "").alias("child"), F.coalesce("status", F.lit("uploaded")).alias("status")).where("parent is not null")
     found = parts.groupBy("book", "parent").agg(F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("child", "status"))).alias("c"))  # the parts of one file
