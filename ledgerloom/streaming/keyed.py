@@ -216,33 +216,16 @@ def admissions(stream: DataFrame) -> DataFrame:
     return stream.where("sha256 is not null").select("sha256", "seq", "doc_id", "status").groupBy("sha256").transformWithStateInPandas(Admissions(), schema, "append", "None")
 
 
-class Children(Numbered):
-    """The children of one parent. State: those that are out."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.out = handle.getMapState("out", "child long", "n long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, tuple] = {}
-        for batch in rows:
-            for seq, book, digest, into in sorted(zip(batch["seq"], batch["book"], batch["sha256_file"], batch["split_into"]), key=lambda r: r[0]):
-                for child in into if into is not None else ():
-                    new.setdefault(int(child), (_none(book), _none(digest)))
-        some = self.out.exists()
-        new = {c: v for c, v in new.items() if not (some and self.out.containsKey((c,)))}
-        if not new:
-            return
-        n = self.number()
-        for c in new:
-            self.out.updateValue((c,), (n,))
-        yield pd.DataFrame([(key[0], c, *v, n) for c, v in new.items()], columns=["doc_id", "child", "book", "sha256_file", "change"])
-
-
 def children(stream: DataFrame) -> DataFrame:
-    """(doc_id, child, book, sha256_file, change) of the children of split events (doc_id, seq, book, sha256_file, split_into), each child of a parent once, however often its split is read."""
-    schema = "doc_id long, child long, book string, sha256_file string, change long"
-    return stream.select("doc_id", "seq", "book", "sha256_file", "split_into").groupBy("doc_id").transformWithStateInPandas(Children(), schema, "append", "None")
+    """(doc_id, child, book, sha256_file, change) of the children of split events (doc_id, seq, book, sha256_file, split_into), each child of a parent once, however often its split is read.
+
+    Children are told apart by Spark's own deduplication, with a row of state for
+    each: parents have few children, so that a call by parent would cost more
+    than the work. A child never changes once it is out: its change is the first.
+    Of events that name it in one trigger, any may give its book and digest.
+    """
+    each = stream.select("doc_id", F.explode("split_into").alias("child"), "book", "sha256_file")
+    return each.dropDuplicates(["doc_id", "child"]).withColumn("change", F.lit(1).cast("long"))
 
 
 def latest(changes: DataFrame, *keys: str) -> DataFrame:
