@@ -14,6 +14,8 @@ An event that comes twice changes nothing.
 from __future__ import annotations
 
 import bisect
+import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -104,33 +106,49 @@ def steps(stream: DataFrame, key: str = "doc_id") -> DataFrame:
     return stream.select(key, "seq", "status").groupBy(key).transformWithStateInPandas(Steps(key), schema, "append", "None")
 
 
+#: Fixed value: parts that the folders of one fiscal hash are dealt over, each one value of the state.
+FOLDER_PARTS = 64
+
+
 class Holders(Numbered):
-    """The folders of one fiscal hash. State: the first active folder, and of each folder its number, version and whether it is active."""
+    """The folders of one fiscal hash. State: the first active folder, and of each folder its number, version and whether it is active.
+
+    Folders are kept by part, so that a trigger reads and writes a part once,
+    however many of its folders come.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.first = handle.getValueState("first", "seq long, folder string")
-        self.folders = handle.getMapState("folders", "folder string", "seq long, version long, active boolean")
+        self.parts = handle.getMapState("parts", "part int", "folders string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        facts: dict[str, tuple] = {}
+    @staticmethod
+    def facts(rows: Iterator[pd.DataFrame]) -> dict[int, dict[str, list]]:
+        """By part, the newest fact [seq, version, active] of each folder."""
+        out: dict[int, dict[str, list]] = {}
         for batch in rows:
-            for folder, seq, version, status, rejected in zip(batch["folder"], batch["finalized_seq"], batch["version"], batch["status"], batch["rejected"]):
-                fact = (int(seq), int(version), status not in INACTIVE and not (_none(rejected) or False))
-                if folder not in facts or facts[folder][1] < fact[1]:
-                    facts[folder] = fact
-        for folder in list(facts):
-            old = self.folders.getValue((folder,)) if self.folders.exists() else None
-            if old is not None and old[1] >= facts[folder][1]:
-                del facts[folder]
-            else:
-                self.folders.updateValue((folder,), facts[folder])
+            active = ~batch["status"].isin(INACTIVE) & ~batch["rejected"].eq(True)
+            for folder, *fact in zip(batch["folder"].tolist(), batch["finalized_seq"].tolist(), batch["version"].tolist(), active.tolist()):
+                part = out.setdefault(zlib.crc32(folder.encode()) % FOLDER_PARTS, {})
+                if folder not in part or part[folder][1] < fact[1]:
+                    part[folder] = fact
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        facts: dict[str, list] = {}
+        some = self.parts.exists()
+        for part, new in self.facts(rows).items():
+            held = json.loads(self.parts.getValue((part,))[0]) if some and self.parts.containsKey((part,)) else {}
+            new = {folder: fact for folder, fact in new.items() if folder not in held or held[folder][1] < fact[1]}
+            if new:
+                self.parts.updateValue((part,), (json.dumps(held | new),))
+                facts |= new
         if not facts:
             return
         before = self.first.get()
         active = [(seq, folder) for folder, (seq, _, on) in facts.items() if on]
         if before and before[1] in facts:  # the holder may be free, or has another number: the next is looked for
-            active = [(v[0], k[0]) for k, v in self.folders.iterator() if v[2]]
+            active = [(seq, folder) for folder, (seq, _, on) in self.held() if on]
         elif before:
             active.append(tuple(before))
         first = min(active, default=None)
@@ -139,11 +157,15 @@ class Holders(Numbered):
         elif before:
             self.first.clear()
         if first != (tuple(before) if before else None):  # another holder: all active folders name it
-            facts |= {k[0]: tuple(v) for k, v in self.folders.iterator() if v[2]}
+            facts |= {folder: fact for folder, fact in self.held() if fact[2]}
         n = self.number()
         out = [(key[0], seq, folder, first[1] if on and first and (seq, folder) > first else None, n) for folder, (seq, _, on) in facts.items()]
         yield pd.DataFrame(out, columns=["fiscal_hash", "finalized_seq", "folder", "duplicate_of", "change"])
 
+    def held(self) -> Iterator[tuple[str, list]]:
+        for _, part in self.parts.iterator():
+            yield from json.loads(part[0]).items()
+
 
 def holders(stream: DataFrame) -> DataFrame:
     """Changes (fiscal_hash, finalized_seq, folder, duplicate_of, change) of folders whose hash another active folder has first.
