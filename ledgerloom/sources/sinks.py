@@ -24,7 +24,12 @@ def critical_fields(fields: DataFrame) -> DataFrame:
 
 def append_audit(records: DataFrame, path: str) -> None:
     """Appends audit records (book, ts and more) as JSON lines under book and UTC day."""
-    records.withColumn("fecha", F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd")).write.mode("append").partitionBy("book", "fecha").json(path)
+    _by_day(records.withColumn("fecha", F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd"))).write.mode("append").partitionBy("book", "fecha").json(path)
+
+
+def _by_day(records: DataFrame) -> DataFrame:
+    """Records brought together by book and day, so that a day is a file or a few, not one of each task; a day too large for one task is split."""
+    return records.hint("rebalance", "book", "fecha")
 
 
 class Appended(NamedTuple):
@@ -59,7 +64,7 @@ def audit(records: DataFrame, path: str, refused: str) -> Appended:
         known = there.select("key", "book", "fecha").distinct()
         old = good.join(known, ["key", "book", "fecha"], "left_semi").count()
         before = there.count()
-        good.join(known, ["key", "book", "fecha"], "left_anti").write.mode("append").partitionBy("book", "fecha").json(path)
+        _by_day(good.join(known, ["key", "book", "fecha"], "left_anti")).write.mode("append").partitionBy("book", "fecha").json(path)
         bad = tagged.where("reason is not null")
         bad.write.mode("append").json(refused)
         return Appended(spark.read.schema(fields).json(path).count() - before, old, bad.count())
