@@ -8,6 +8,7 @@ committed, or, for a sidecar, at once: a reader never sees half of a file.
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 import zipfile
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -37,9 +38,18 @@ def _replace(system: fs.FileSystem, path: str, content: bytes) -> None:
     system.move(temporary, path)
 
 
+def _state(content: bytes) -> tuple[str, str | None]:
+    """State and text of a sidecar that is there."""
+    try:
+        text = content.decode()
+        return ("ok", text) if isinstance(json.loads(text), dict) else ("corrupt", None)
+    except ValueError:  # no UTF-8, or no JSON
+        return "corrupt", None
+
+
 @dataclass
 class Folders(InputPartition):
-    """Folders that one task reads."""
+    """Folders, or archives of them, that one task reads."""
 
     names: tuple[str, ...]
 
@@ -60,12 +70,8 @@ class SidecarReader(DataSourceReader):
             if system.get_file_info(file).type != fs.FileType.File:
                 yield name, "absent", None
                 continue
-            try:
-                with system.open_input_file(file) as f:
-                    text = f.read().decode()
-                yield (name, "ok", text) if isinstance(json.loads(text), dict) else (name, "corrupt", None)
-            except ValueError:  # no UTF-8, or no JSON
-                yield name, "corrupt", None
+            with system.open_input_file(file) as f:
+                yield name, *_state(f.read())
 
 
 class SidecarWriter(DataSourceWriter):
@@ -103,6 +109,107 @@ class Sidecars(DataSource):
         return SidecarWriter(self.options["path"], self.options.get("name", SIDECAR))
 
 
+#: Folders of one archive of sidecars, about.
+PACKED = 10_000
+
+
+def pack(sidecars: DataFrame, path: str, archives: int) -> None:
+    """Writes (folder, content) in format ``packedsidecars``: a folder's archive is the one of ``archives`` that its name's hash gives."""
+    number = F.crc32(F.encode("folder", "UTF-8")) % archives
+    dealt = sidecars.select(F.concat_ws("-", F.lit(archives), number).alias("archive"), "folder", "content")
+    dealt.repartition("archive").sortWithinPartitions("archive").write.format("packedsidecars").mode("append").save(path)
+
+
+class PackedWriter(DataSourceWriter):
+    def __init__(self, path: str, name: str):
+        self.path, self.name, self.run = path, name, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[Row]) -> Parts:
+        system, root = _at(self.path)
+        system.create_dir(f"{root}/_{self.run}", recursive=True)
+        files = []
+        for archive, rows in itertools.groupby(iterator, key=lambda r: r["archive"]):
+            file = f"{root}/_{self.run}/{uuid.uuid4().hex}.zip"
+            with system.open_output_stream(file) as out, zipfile.ZipFile(out, "w") as packed:
+                for row in rows:
+                    name = f"{row['folder']}/" if row["content"] is None else f"{row['folder']}/{self.name}"
+                    packed.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), row["content"] or "")
+            files.append((archive, file))
+        return Parts(files)
+
+    def commit(self, messages: list[Parts | None]) -> None:
+        system, root = _at(self.path)
+        there = [x.base_name.split("-") for x in system.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".zip")]
+        files = [f for m in messages if m for f in m.files]
+        if len({x[0] for x in there} | {archive.split("-")[0] for archive, _ in files}) > 1:
+            raise ValueError(f"{self.path} is dealt over another number of archives")
+        run = max((int(x[2]) for x in there), default=-1) + 1
+        for k, (archive, file) in enumerate(files):
+            system.move(file, f"{root}/{archive}-{run:06d}-{k}.zip")
+        if files:
+            system.delete_dir(f"{root}/_{self.run}")
+
+    def abort(self, messages: list[Parts | None]) -> None:
+        system, root = _at(self.path)
+        if system.get_file_info(f"{root}/_{self.run}").type == fs.FileType.Directory:
+            system.delete_dir(f"{root}/_{self.run}")
+
+
+class PackedReader(DataSourceReader):
+    def __init__(self, path: str, name: str):
+        self.path, self.name = path, name
+
+    def partitions(self) -> list[Folders]:
+        system, root = _at(self.path)
+        archives: dict[str, list[tuple]] = {}
+        for x in system.get_file_info(fs.FileSelector(root)):
+            if x.base_name.endswith(".zip"):
+                archives.setdefault(x.base_name.rsplit("-", 2)[0], []).append((x.base_name.rsplit("-", 2)[1], x.path))
+        return [Folders(tuple(file for _, file in sorted(files))) for _, files in sorted(archives.items())] or [Folders(())]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        system, _ = _at(self.path)
+        found: dict[str, bytes | None] = {}  # the folders of one archive
+        for file in partition.names:
+            with system.open_input_file(file) as f, zipfile.ZipFile(f) as packed:
+                for entry in packed.infolist():
+                    folder, _, name = entry.filename.rpartition("/")
+                    found.setdefault(folder, None)
+                    if name == self.name:
+                        found[folder] = packed.read(entry)
+        for folder, content in found.items():
+            yield (folder, "absent", None) if content is None else (folder, *_state(content))
+
+
+class PackedSidecars(DataSource):
+    """Format ``packedsidecars``: as ``sidecars``, with the folders in ZIP archives in ``path``, for millions of them.
+
+    A file and a folder for each document take blocks of the disk and the names
+    of all must be listed by one process; here both grow with the archives.
+    :func:`pack` writes it. Of a folder's sidecars in several writes the last holds.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "packedsidecars"
+
+    def schema(self) -> str:
+        return "folder string, state string, content string"
+
+    def reader(self, schema: StructType) -> PackedReader:
+        return PackedReader(self.options["path"], self.options.get("name", SIDECAR))
+
+    def writer(self, schema: StructType, overwrite: bool) -> PackedWriter:
+        return PackedWriter(self.options["path"], self.options.get("name", SIDECAR))
+
+
+@dataclass
+class Parts(WriterCommitMessage):
+    """The archives that a task wrote: number and file of each."""
+
+    files: list[tuple[str, str]]
+
+
 @dataclass
 class Part(WriterCommitMessage):
     """What a task wrote: its file, and how many members it holds."""
@@ -190,6 +297,6 @@ class Archives(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats ``sidecars`` and ``ziparchive`` known to a session."""
-    for source in (Sidecars, Archives):
+    """Makes the formats ``sidecars``, ``packedsidecars`` and ``ziparchive`` known to a session."""
+    for source in (Sidecars, PackedSidecars, Archives):
         spark.dataSource.register(source)
