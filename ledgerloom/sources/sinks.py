@@ -62,12 +62,11 @@ def audit(records: DataFrame, path: str, refused: str) -> Appended:
         fields = "key string, payload string, ts string, book string, fecha string"
         there = spark.read.schema(fields).json(path) if _exists(spark, path) else spark.createDataFrame([], fields)
         known = there.select("key", "book", "fecha").distinct()
-        old = good.join(known, ["key", "book", "fecha"], "left_semi").count()
-        before = there.count()
+        total, old = good.join(known.withColumn("there", F.lit(True)), ["key", "book", "fecha"], "left").agg(F.count("*"), F.count("there")).first()
         _by_day(good.join(known, ["key", "book", "fecha"], "left_anti")).write.mode("append").partitionBy("book", "fecha").json(path)
         bad = tagged.where("reason is not null")
         bad.write.mode("append").json(refused)
-        return Appended(spark.read.schema(fields).json(path).count() - before, old, bad.count())
+        return Appended(total - old, old, bad.count())
     except (PySparkException, Py4JError) as error:
         logging.getLogger(__name__).error("audit records could not be written to %s: %s", path, error)
         return Appended(0, 0, 0, str(error).splitlines()[0])
