@@ -25,14 +25,18 @@ def keyed(invoices: DataFrame) -> DataFrame:
 
 def rows(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, line_index, row): a CSV row for each tax line; an invoice without lines has none."""
+    return invoices.join(lines, "doc_id").select("doc_id", "line_index", _row().alias("row"))
+
+
+def _row() -> Column:
+    """The CSV row of an invoice with one of its lines."""
     book = F.col("book")
-    both = invoices.join(lines, "doc_id")
     cells = [
         day_first(F.coalesce("date", F.lit(""))), F.lit(""), F.coalesce("number", F.lit("")), F.coalesce(counterpart(book, F.col("issuer_name"), F.col("receiver_name")), F.lit("")),
         export_cell(F.coalesce(counterpart(book, F.col("issuer_nif"), F.col("receiver_nif")), F.lit(""))), F.upper(F.coalesce("concept", F.lit(""))), comma_amount(F.coalesce("base", F.lit(0))), export_rate(F.col("rate")),
         comma_amount(F.coalesce("tax", F.lit(0))), F.lit(""), F.lit(""), F.lit("0"), F.lit("0"), F.lit(""), comma_amount(F.coalesce("total", F.lit(0))),
     ]
-    return both.select("doc_id", "line_index", F.concat_ws(";", *(csv_cell(F.coalesce(c, F.lit(""))) for c in cells)).alias("row"))
+    return F.concat_ws(";", *(csv_cell(F.coalesce(c, F.lit(""))) for c in cells))
 
 
 def files(invoices: DataFrame, day: str) -> DataFrame:
@@ -67,28 +71,53 @@ def _from_heads(placed: DataFrame, head: Column) -> DataFrame:
     return out.select("file_nif", "file_kind", (F.col("index") - F.coalesce("begin", "carried")).alias("line"), "row")
 
 
-def file_lines(invoices: DataFrame, lines: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(file_nif, file_kind, line, row): the lines of all files, in order within each, as a stored table.
+#: Lines of a file that one task may put in order.
+ORDERED = 500_000
+
+
+def file_lines(invoices: DataFrame, lines: DataFrame, ranges: int | None = None, most: int = ORDERED) -> DataFrame:
+    """(file_nif, file_kind, line, row): the lines of all files, in order within each.
 
     Line 0 is the byte order mark with the header; a client and kind whose
-    invoices have no lines have a file with nothing else. All lines of all files
-    are ordered in ranges, wherever a file begins or ends, so that a client with
-    a third of all lines is many ranges.
+    invoices have no lines have a file with nothing else. A file of at most
+    ``most`` lines is ordered in one task. The lines of larger ones, and of all
+    with ``ranges``, are ordered in ranges, wherever a file begins or ends, and
+    stored, so that a client with a third of all lines is many ranges. The
+    driver is told the names of the large ones, one in ``most`` lines at most.
     """
-    tagged = keyed(invoices).select("doc_id", "file_nif", "file_kind", F.coalesce("date", F.lit("")).alias("day"), F.coalesce("number", F.lit("")).alias("n"))
-    body = tagged.join(rows(invoices, lines), "doc_id").withColumn("head", F.lit(1))
+    names = ["file_nif", "file_kind"]
+    tagged = keyed(invoices)
+    day, n = F.coalesce("date", F.lit("")).alias("day"), F.coalesce("number", F.lit("")).alias("n")
+    body = tagged.join(lines, "doc_id").select("doc_id", *names, day, n, "line_index", _row().alias("row"), F.lit(1).alias("head"))
     none = {"day": F.lit(""), "n": F.lit(""), "doc_id": F.lit(None).cast("long"), "line_index": F.lit(None).cast("int"), "row": F.lit(BOM + HEADER), "head": F.lit(0)}
     heads = tagged.select("file_nif", "file_kind").distinct().withColumns(none)
     order = ("file_nif", "file_kind", "head", "day", "n", "doc_id", "line_index")
-    placed = indexed(body.unionByName(heads).select(*order, "row"), *order, ranges=ranges)
-    return _from_heads(placed, F.col("head") == 0)
+    every = body.unionByName(heads).select(*order, "row")
+    in_ranges = lambda some: _from_heads(indexed(some, *order, ranges=ranges), F.col("head") == 0)
+    if ranges:
+        return in_ranges(every)
+    sizes = tagged.select("doc_id", *names).join(lines.groupBy("doc_id").agg(F.count("*").alias("c")), "doc_id").groupBy(*names).agg(F.sum("c").alias("c"))
+    large = sizes.where(F.col("c") > most).select(*names).collect()
+    place = (F.row_number().over(W.partitionBy(*names).orderBy(*order[2:])) - 1).cast("long")
+    one_task = lambda some: some.select(*names, place.alias("line"), "row")
+    if not large:
+        return one_task(every)
+    known = F.broadcast(invoices.sparkSession.createDataFrame(large, "file_nif string, file_kind string"))
+    return one_task(every.join(known, names, "left_anti")).unionByName(in_ranges(every.join(known, names, "left_semi")))
 
 
 def leaves(placed: DataFrame, fan: int = FAN) -> DataFrame:
     """(file_nif, file_kind, leaf, lines, bytes, digest) of each ``fan`` lines of :func:`file_lines`: the sha256 of their bytes, line ends included. Leaves one after the other are the file."""
+    return _digested(_texts(placed, fan))
+
+
+def _texts(placed: DataFrame, fan: int) -> DataFrame:
     part = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "row"))), lambda x: F.concat(x["row"], F.lit(END))), "")
-    out = placed.groupBy("file_nif", "file_kind", F.floor(F.col("line") / fan).alias("leaf")).agg(F.count("*").alias("lines"), part.alias("text"))
-    return out.select("file_nif", "file_kind", "leaf", "lines", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
+    return placed.groupBy("file_nif", "file_kind", F.floor(F.col("line") / fan).alias("leaf")).agg(F.count("*").alias("lines"), part.alias("text"))
+
+
+def _digested(texts: DataFrame) -> DataFrame:
+    return texts.select("file_nif", "file_kind", "leaf", "lines", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
 
 
 def file_digests(leaf: DataFrame, fan: int = FAN) -> DataFrame:
@@ -124,10 +153,26 @@ def read_parts(spark: SparkSession, path: str, ranges: int | None = None) -> Dat
     return _from_heads(indexed(out, "file_nif", "file_kind", "name", "block", "id", ranges=ranges), F.col("row") == BOM + HEADER)
 
 
+def write_packed(placed: DataFrame, path: str, fan: int = FAN) -> None:
+    """Files as archives, for millions of them: a member for each ``fan`` lines, named by file and place; members of a file one after the other are the file, byte for byte."""
+    name = F.concat_ws("/", F.coalesce(F.concat_ws("__", "file_nif", "file_kind"), F.lit("")), F.lpad(F.col("leaf").cast("string"), 12, "0"))
+    members = _texts(placed, fan).select(name.alias("name"), F.encode("text", "UTF-8").alias("content"))
+    members.write.format("ziparchive").mode("append").save(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`leaves` of the files that :func:`write_packed` wrote, of the bytes read."""
+    file, text = F.substring_index("name", "/", 1), F.decode("content", "UTF-8")
+    keys = [F.substring_index(file, "__", 1).alias("file_nif"), F.substring_index(file, "__", -1).alias("file_kind"), F.substring_index("name", "/", -1).cast("long").alias("leaf")]
+    count = (F.size(F.split(text, END)) - 1).cast("long")
+    return _digested(spark.read.format("ziparchive").load(path).select(*keys, count.alias("lines"), text.alias("text")))
+
+
 def contents(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """(file_nif, file_kind, content): the bytes-exact file as one value, for clients of ordinary size; :func:`file_lines` has no such bound."""
-    tagged = keyed(invoices).select("doc_id", "file_nif", "file_kind", F.coalesce("date", F.lit("")).alias("day"), F.coalesce("number", F.lit("")).alias("n"))
-    each = tagged.join(rows(invoices, lines), "doc_id", "left")
+    there = F.when(F.col("line_index").isNotNull(), _row())
+    day, n = F.coalesce("date", F.lit("")).alias("day"), F.coalesce("number", F.lit("")).alias("n")
+    each = keyed(invoices).join(lines, "doc_id", "left").select("doc_id", "file_nif", "file_kind", day, n, "line_index", there.alias("row"))
     body = F.sort_array(F.collect_list(F.when(F.col("row").isNotNull(), F.struct("day", "n", "doc_id", "line_index", "row"))))
     text = F.array_join(F.concat(F.array(F.lit(HEADER)), F.transform(body, lambda x: x["row"])), END)
     return each.groupBy("file_nif", "file_kind").agg(F.concat(F.lit(BOM), text, F.lit(END)).alias("content"))
