@@ -23,10 +23,10 @@ def routes(spark: SparkSession) -> DataFrame:
 
 def module_states(documents: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(doc_id, module, state): ok, pendiente if there is no artifact, error if it is corrupt."""
-    modules = F.explode(F.array(*map(F.lit, MODULES))).alias("module")
-    there = artifacts.groupBy("doc_id", "module").agg(F.max(F.col("corrupt")).alias("corrupt"))
-    state = F.when(F.col("corrupt"), "error").when(F.col("corrupt").isNull(), "pendiente").otherwise("ok")
-    return documents.select("doc_id", modules).join(there, ["doc_id", "module"], "left").withColumn("state", state).drop("corrupt")
+    there = artifacts.groupBy("doc_id").agg(*(F.max(F.when(F.col("module") == m, F.col("corrupt"))).alias(m) for m in MODULES))
+    state = lambda m: F.when(F.col(m), "error").when(F.col(m).isNull(), "pendiente").otherwise("ok")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("module"), state(m).alias("state")) for m in MODULES))).alias("x")
+    return documents.select("doc_id").join(there, "doc_id", "left").select("doc_id", each).select("doc_id", "x.*")  # a row for each document until the end
 
 
 def routed_fields(documents: DataFrame, fields: DataFrame, states: DataFrame) -> DataFrame:
