@@ -56,25 +56,36 @@ def inbox_listing(files: DataFrame, status: DataFrame) -> DataFrame:
     return out.select("book", "name", F.round(F.col("size") / 1024, 1).alias("size_kb"), "added", "status", "folder").orderBy("book", "added", "name")
 
 
+#: Files whose names a task cuts into parts, some forty each.
+CUT_FILES = 100_000
+
+
 def original_file(documents: DataFrame, origins: DataFrame, inbox: DataFrame) -> DataFrame:
     """(doc_id, name, found): the file of each document (doc_id text, folder), or null.
 
     In order: the origin of its first event (origins: doc_id, name) if it is in
     the inbox (book, name); the inbox file of its book with its id as stem; one
     that has the id anywhere in its name. Of several, the first by name. The
-    last is an equi-join too: names are cut into all parts as long as some id.
+    last two are an equi-join too: names are cut into all parts that are as long
+    as some id and have only characters that ids have, and of each part the best
+    name is found before any document is looked up.
     """
-    files = inbox.where(name_parts(F.col("name"))[2].isin(*INVOICE_EXTENSIONS)).select("book", "name")
-    book = F.substring_index("folder", "_", 1)
-    docs = documents.select("doc_id", book.alias("book"))
-    first = docs.select("doc_id").join(origins, "doc_id").join(inbox.select("name").distinct(), "name").select("doc_id", F.lit(0).alias("rank"), "name")
-    stems = files.select("book", name_parts(F.col("name"))[1].alias("doc_id"), "name")
-    exact = docs.join(stems, ["book", "doc_id"]).select("doc_id", F.lit(1).alias("rank"), "name")
-    sizes = documents.select(F.length("doc_id").alias("n")).distinct()  # a few lengths
-    parts = files.join(F.broadcast(sizes), F.length("name") >= F.col("n")).select("book", "name", "n", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)).alias("i"))
-    parts = parts.select("book", F.substring(F.col("name"), F.col("i"), F.col("n")).alias("doc_id"), "name").distinct()
-    loose = docs.join(parts, ["book", "doc_id"]).select("doc_id", F.lit(2).alias("rank"), "name")
-    best = first.union(exact).union(loose).groupBy("doc_id").agg(F.min(F.struct("rank", "name")).alias("f"))
+    _, stem, end = name_parts(F.col("name"))
+    files = inbox.where(end.isin(*INVOICE_EXTENSIONS)).select("book", "name", stem.alias("stem"))
+    files = files.repartition(inbox.count() // CUT_FILES + 1)  # what a task cuts fits its memory
+    docs = documents.select("doc_id", F.substring_index("folder", "_", 1).alias("book"))
+    there = origins.join(inbox.select("name").distinct(), "name", "left_semi")
+    first = docs.select("doc_id").join(there, "doc_id").select("doc_id", F.struct(F.lit(0).alias("rank"), "name").alias("f"))
+    ids = documents.where(F.col("doc_id").isNotNull())
+    sizes = F.broadcast(ids.select(F.length("doc_id").alias("n")).distinct())  # a few lengths
+    letters = F.broadcast(ids.select(F.explode(F.split("doc_id", "")).alias("c")).distinct().agg(F.array_join(F.collect_list("c"), "").alias("letters")))  # a row
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
+    cut = files.join(sizes, F.length("name") >= F.col("n")).crossJoin(letters)
+    part = F.explode(F.filter(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("name"), i, F.col("n")))), lambda x: F.call_function("translate", x, F.col("letters"), F.lit("")) == ""))
+    parts = cut.select("book", "name", "stem", part.alias("doc_id"))
+    rank = F.when(F.col("doc_id") == F.col("stem"), 1).otherwise(2)
+    named = parts.groupBy("book", "doc_id").agg(F.min(F.struct(rank.alias("rank"), "name")).alias("f"))
+    best = first.union(docs.join(named, ["book", "doc_id"]).select("doc_id", "f")).groupBy("doc_id").agg(F.min("f").alias("f"))
     how = F.when(F.col("f.rank") == 0, "origin").when(F.col("f.rank") == 1, "stem").when(F.col("f.rank") == 2, "part")
     return documents.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.col("f.name").alias("name"), how.alias("found"))
 
