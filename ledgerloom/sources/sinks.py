@@ -116,6 +116,11 @@ def final_records(documents: DataFrame, fields: DataFrame, csv: DataFrame) -> Da
     )
 
 
+def write_final(records: DataFrame, path: str) -> None:
+    """Final records as compressed JSON lines: the names of fields make most of a record, and repeat."""
+    records.write.option("compression", "gzip").json(path)
+
+
 def split_manifests(splits: DataFrame) -> DataFrame:
     """(origen_pdf, origen_sha256, n_facturas, facturas) of splits (name, sha256, children)."""
     return splits.select(F.col("name").alias("origen_pdf"), F.col("sha256").alias("origen_sha256"), F.size("children").cast("long").alias("n_facturas"), F.col("children").alias("facturas"))
