@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.readers import cell_confidence
@@ -12,6 +16,9 @@ ANSWER = (
     "lineas_fiscales:array<struct<base_euros:decimal(18,2),tipo_porcentaje:decimal(6,2),cuota:decimal(18,2),total_linea:decimal(18,2)>>>"
 )
 
+#: The names in an answer; without any of them it says nothing.
+FIELDS = re.findall(r"[<,](\w+):(?:string|decimal|array)", re.sub(r"array<struct<.*>>", "array", ANSWER))
+
 #: Confidences of a cell that is there, of a total that doesn't fit its lines, and of a rescued number.
 PRESENT, DOUBTFUL, RESCUED = 0.95, 0.5, 0.5
 TOLERANCE = "0.02"
@@ -50,7 +57,7 @@ def extracted(files: DataFrame, engine: str = "external") -> DataFrame:
     for a number rescued from the text, wants review and says why.
     """
     answer = files.withColumn("a", F.from_json("answer", ANSWER))
-    ok, a = F.coalesce(F.col("a").isNotNull() & (F.to_json("a") != "{}"), F.lit(False)), lambda c: F.when(F.col("ok"), F.col(f"a.{c}"))
+    ok, a = F.coalesce(reduce(or_, (F.col(f"a.{c}").isNotNull() for c in FIELDS)), F.lit(False)), lambda c: F.when(F.col("ok"), F.col(f"a.{c}"))
     rescued = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), NUMBER, 0), F.lit(""))
     lines = F.coalesce(a("lineas_fiscales"), F.array().cast("array<struct<base_euros:decimal(18,2),tipo_porcentaje:decimal(6,2),cuota:decimal(18,2),total_linea:decimal(18,2)>>"))
     fits = sum_fits(lines, a("total_factura"))
