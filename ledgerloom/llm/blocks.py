@@ -7,7 +7,9 @@ are empty texts here; each operator says what that means for its result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,25 @@ def word_hashes(text: str, table: np.ndarray = ALNUM) -> np.ndarray:
     return words(data, np.array([0, len(data)]), table)[0]
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library keep of memory that is free: a Python worker stays for later tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with :func:`give_back` at its task's end."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list array of the given arrays."""
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import ALNUM_BYTES
+from .blocks import ALNUM_BYTES, giving_back
 from .lineage import cut, drop
 
 WINDOW = 13
@@ -222,6 +222,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     def step(handle: Broadcast):
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
+        @giving_back
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = handle.value
             for batch in batches:
@@ -281,6 +282,7 @@ def remove_spans(found: DataFrame, least_words: int = WINDOW, keep: list[str] =
     """(doc_id, text, kept columns) with the words of every span of ``least_words`` or more taken out; the rest keeps its bytes."""
     source = found.select("id", "text", "spans", *keep)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import blocks, follow, mix, powers, separated_by, words
+from .blocks import blocks, follow, giving_back, mix, powers, separated_by, words
 from .lineage import cut
 from .salted import with_facts
 
@@ -76,6 +76,7 @@ def windows(df: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
     """(id, key, f, x, n, size): each window of each text, n being its first line's number among the lines that aren't blank."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("f", pa.int64()), ("x", pa.int64()), ("n", pa.int32()), ("size", pa.int32())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, bounds in blocks(batch.column(2)):
@@ -114,6 +115,7 @@ def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = with_key.join(marks.select(F.col("key").alias(key), F.col("runs").alias(mark)), key, "left").drop(key)
     schema = joined.withColumn(count, F.lit(0).cast("long")).drop(mark).schema
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, marked = batch.schema.get_field_index(text_col), batch.column(mark)

@@ -35,9 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import SPACED, blocks, follow, mix, ragged, words
+from .blocks import SPACED, blocks, follow, giving_back, mix, ragged, words
 from .components import components
-from .lineage import cut, drop
+from .lineage import batches_of, cut, drop
 from .salted import salt, salts_of, spread
 
 TREES = 16
@@ -54,6 +54,9 @@ SHINGLE = 2
 #: Ids that may be broadcast, 8 bytes each, once they are counted.
 BROADCAST_IDS = 1_000_000
 
+#: Rows with texts, or with two, that go to Python at once.
+BATCH = 1000
+
 #: Bits of an odd sketch; as many elements of a set are sketched at most.
 BITS = 1024
 
@@ -109,6 +112,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold:
     names = {"id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "tokens": pa.list_(pa.int32()), "lv": pa.int32(), "q": pa.list_(pa.int64())}
     schema = pa.schema(list(names.items()))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in blocks(batch.column(1)):
@@ -216,6 +220,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shing
     percent = round(100 * threshold)
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
@@ -233,7 +238,8 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shing
     # the texts of a document with very many pairs go to several tasks
     left = spread(pairs.groupBy("a").agg(salts_of(["b"]).alias("mask")), "mask").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     met = right.withColumn("__salt", salt("b")).join(left, ["a", "__salt"])
-    out = cut(met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+    with batches_of(df.sparkSession, BATCH):
+        out = cut(met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
     drop(pairs, ids, texts)
     return out
 
@@ -281,7 +287,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with one id are one document, linked by any of its texts. Rows without id
     are kept, without component. An empty table gives an empty result.
     """
-    sketch = cut(sketches(df, id_col, text_col, shingle, threshold, pool))
+    with batches_of(df.sparkSession, BATCH):
+        sketch = cut(sketches(df, id_col, text_col, shingle, threshold, pool))
     known = sketch.where("n > 0 and id is not null")
     classes = cut(known.groupBy("d1", "d2").agg(F.min("id").alias("rep"), salts_of(["id"]).alias("mask")))
     members = known.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["id", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])

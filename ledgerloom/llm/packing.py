@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from .blocks import giving_back
 from .lineage import cut
 
 WIDTH = 2048
@@ -144,6 +145,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, close = _word_ids_at(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:

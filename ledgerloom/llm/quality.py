@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .blocks import ALNUM, SPACED, blocks, follow, mix, words
+from .blocks import ALNUM, SPACED, blocks, follow, give_back, giving_back, mix, words
 from .lineage import cut
 
 BITS = 18
@@ -132,6 +132,8 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 model.learn(*docs[k])
         w = model.weights()
         at = np.flatnonzero(w)
+        del docs, model, group
+        give_back()
         return pd.DataFrame({"at": at, "w": w[at]})
 
     sample = labelled_sample(df, labels, label_col, id_col, text_col, sample_rows)
@@ -147,9 +149,10 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     """(id, score, kept columns); a null or empty text scores by the intercept alone. Rows that repeat score alike."""
     handle = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     bits = len(weights).bit_length() - 1
-    source = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *keep)
-    schema = source.drop("__text").withColumn("__score", F.lit(0.0)).schema
+    source = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(c for c in keep if c != text_col))  # a kept text goes once
+    schema = (source if text_col in keep else source.drop("__text")).withColumn("__score", F.lit(0.0)).schema
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = handle.value
         for batch in batches:
@@ -158,7 +161,8 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
                 at, row, n = features(data, bounds, bits)
                 dot = 10 * np.bincount(row, weights=w[at], minlength=len(n)) / np.maximum(n, 1)
                 scores.append(1 / (1 + np.exp(-np.clip(dot + float(w[-1]), -30, 30))))
-            out = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if i != 1}
+            out = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name in schema.names}
             yield pa.RecordBatch.from_pydict(out | {"__score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
 
-    return source.mapInArrow(run, schema).withColumnRenamed("__score", "score").withColumnRenamed("__id", "id")
+    scored = source.mapInArrow(run, schema).withColumnsRenamed({"__score": "score", "__id": "id", "__text": text_col})
+    return scored.select("id", *keep, "score")
