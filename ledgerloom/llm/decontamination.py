@@ -203,14 +203,16 @@ def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
         yield many - 1 - k, items.sparkSession.sparkContext.broadcast(Automaton([r for r in rows if r[1]], window))
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] = ()) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] = (), clean: int | None = None) -> DataFrame:
     """Per row: id, text, n_words, spans (array of [start, end) word numbers, merged), items (array, sorted) and the kept columns.
 
     A span is a maximal stretch of words that lie in windows of ``window``
     consecutive words of some item; an item of fewer words is one window. Null
     and empty texts have no words and no spans; null items have no windows;
     items without id mark words, but are not among ``items``; a repeated row is
-    judged like the first; an empty table gives an empty result.
+    judged like the first; an empty table gives an empty result. With ``clean``
+    the text comes without the spans of so many words or more, as from
+    :func:`remove_spans`, in the same step: a task has one Python worker then.
     """
     own = ["__id", "__text", "__n_words", "__spans", "__items"]
     spans = "array<struct<start:long,end:long>>"
@@ -219,7 +221,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     for name in own:
         schema[name].nullable = True
 
-    def step(handle: Broadcast):
+    def step(handle: Broadcast, clean: int | None):
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
         @giving_back
@@ -236,13 +238,15 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                         spans.append([{"start": s, "end": e} for s, e in merged([*((x["start"], x["end"]) for x in had or ()), *found])])
                         items.append(sorted({*(names or ()), *seen}))
                     made = {"__n_words": pa.array(n, pa.int64()), "__spans": pa.array(spans, kinds[0]), "__items": pa.array(items, kinds[1])}
+                    if clean is not None:
+                        made["__text"] = _cleaned(part.column(1), spans, clean)
                     yield pa.RecordBatch.from_pydict({f.name: part.column(i) for i, f in enumerate(part.schema)} | made)
 
         return run
 
     before = None
     for left, handle in automata(benchmark, item_col, item_text_col, window, block_words):
-        out = out.mapInArrow(step(handle), schema)
+        out = out.mapInArrow(step(handle, None if left else clean), schema)
         if left:
             out = cut(out)
             drop(before)
@@ -285,16 +289,21 @@ def remove_spans(found: DataFrame, least_words: int = WINDOW, keep: list[str] =
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                long = [(x["start"], x["end"]) for x in spans or () if x["end"] - x["start"] >= least_words]
-                texts.append(text if text is None or not long else _without(text.encode(), long).decode(errors="ignore"))
             columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name != "spans"}
-            yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, batch.schema.field(1).type)})
+            yield pa.RecordBatch.from_pydict(columns | {"text": _cleaned(batch.column(1), batch.column(2).to_pylist(), least_words)})
 
     return source.mapInArrow(run, source.drop("spans").schema).withColumnRenamed("id", "doc_id")
 
 
+def _cleaned(texts: pa.Array, spans: list[list[dict] | None], least_words: int) -> pa.Array:
+    """texts without the words of their spans of ``least_words`` or more."""
+    out = []
+    for text, found in zip(texts.to_pylist(), spans):
+        long = [(x["start"], x["end"]) for x in found or () if x["end"] - x["start"] >= least_words]
+        out.append(text if text is None or not long else _without(text.encode(), long).decode(errors="ignore"))
+    return pa.array(out, texts.type)
+
+
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     inside = np.frombuffer(text.translate(ALNUM_BYTES), dtype=np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: The setting for the rows of an Arrow batch.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a session on one machine may go without: it gets a temporary folder."""
@@ -33,13 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is computed inside goes to Python in Arrow batches of at most so many rows: an executor holds each task's batch twice while its buffers grow."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, min(rows, int(before)) if int(before) > 0 else rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def drop(*tables: DataFrame | None) -> None:

@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from .lineage import cut
 
 WIDTH = 2048
 END_ID = 1
-CACHE_WORDS = 800_000
+#: Words that a worker knows at most, and those that it keeps when they become more and after a task: the first ones, among which the frequent ones are.
+CACHE_WORDS = 400_000
+KEPT_WORDS = 100_000
 SEGMENT = 1 << 20
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
@@ -104,14 +107,18 @@ class WordIds:
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
         known.update((w, known[head] + known[tail]) for w, head, tail in tailed)
 
+    def forget(self) -> None:
+        """All but the first words go."""
+        self.known = dict(islice(self.known.items(), KEPT_WORDS))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         words = [_words(t) for t in texts]
         every = set().union(*words)
         new = every.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {b"": b""}
-            new = every - {b""}
+            self.forget()
+            new = every.difference(self.known)
         if new:
             self.learn(new)
         get = self.known.__getitem__
@@ -159,6 +166,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     n = len(raw) // 4
                     rows += [(key, s, min(width, n - s), zlib.crc32(raw[4 * s : 4 * (s + width)]), n) for s in range(0, n, width)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        ids.forget()
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
