@@ -65,6 +65,19 @@ def wide(fields: DataFrame) -> DataFrame:
     return fields.groupBy("doc_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ROUTES))
 
 
+def wide_documents(documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """:func:`wide` of :func:`routed_fields`, without their verdicts and so without states: a value that is there is shuffled once, by document, with its field's number.
+
+    Rows are combined after the shuffle only: before it they would be sorted with 13 columns each.
+    """
+    number = F.coalesce(*(F.when((F.col("module") == m) & (F.col("field") == f), k) for k, (f, m) in enumerate(ROUTES.items())))
+    known = fields.where("doc_id is not null and value is not null").select("doc_id", number.cast("tinyint").alias("k"), "value").where("k is not null")
+    none = F.lit(None).cast("tinyint").alias("k"), F.lit(None).cast("string").alias("value")
+    rows = documents.select("doc_id", *none).union(known).repartition("doc_id")
+    values = (F.max(F.when(F.col("k") == k, F.col("value"))).alias(f) for k, f in enumerate(ROUTES))
+    return rows.groupBy("doc_id").agg(F.max(F.col("k").isNull()).alias("there"), *values).where("there").drop("there")
+
+
 def edited(final: DataFrame, baseline: DataFrame) -> DataFrame:
     """final (doc_id, field, value) with ``edited``: in the baseline, and with another value; two nulls are equal."""
     base = baseline.select("doc_id", "field", F.col("value").alias("before"), F.lit(True).alias("known"))
